@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, line_dedup, personal_data, quality, secret_scan, simhash, source_mix
+from . import decontaminate, language_id, line_dedup, personal_data, quality, secret_scan, simhash, source_mix, suffix_dedup, warc
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_source_mix": source_mix.op2_source_mix,
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_secrets": secret_scan.op4_secrets,
     "op5_personal_data": personal_data.op5_personal_data,
     "op6_simhash": simhash.op6_simhash,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_quality": quality.op8_quality,
+    "op9_warc": warc.op9_warc,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 

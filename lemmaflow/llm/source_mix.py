@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stash, table
+from .common import free_name, stash, table
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
@@ -158,8 +158,23 @@ def mix(docs: DataFrame) -> DataFrame:
     for more in done[1:]:
         out = out.unionByName(more)
     taken = F.col("size") * (F.col("whole") + F.col("p").cast("long"))
-    return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source")
+    return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source", "u")
+
+
+def take(docs: DataFrame) -> DataFrame:
+    """The rows that the mix takes, each as often as it is taken, with a column ``copy``
+    that counts from 1 (a longer name if there is one already). Rows without words go."""
+    drawn = mix(docs).where("taken > 0").select("doc_id", "source", "u", (F.col("taken") / F.col("size")).cast("int").alias("times"))
+    nth = W.partitionBy("doc_id", "source", "u")  # rows that agree in id, source and text were drawn separately
+    drawn = drawn.withColumn("nth", F.row_number().over(nth.orderBy(F.col("times").desc())))
+    drawn = drawn.toDF(*[free_name(docs, f"drawn_{c}") for c in drawn.columns])
+    one, two, three, times, which = drawn.columns
+    own, number, copy = free_name(docs, "row_print"), free_name(docs, "row_number"), free_name(docs, "copy")
+    rows = docs.withColumn(own, F.xxhash64("doc_id", "text"))
+    rows = rows.withColumn(number, F.row_number().over(W.partitionBy("doc_id", "source", own).orderBy(own)))
+    same = F.col("doc_id").eqNullSafe(F.col(one)) & F.col("source").eqNullSafe(F.col(two)) & (F.col(own) == F.col(three)) & (F.col(number) == F.col(which))
+    return rows.join(drawn, same).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(times))).alias(copy))
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"))
+    return mix(table(spark, sf_dir, "documents")).drop("u")
