@@ -12,8 +12,9 @@ how far every member's repeated windows reach.
 
 Groups of more than ``GROUP_ROWS`` different contexts go another exact way, linear in
 their size and spread over tasks: the windows of an anchor are cut into ranges of offsets;
-the bytes that all windows of a range share are its core; a range whose core is alone
-holds no repeated window, and the others are cut finer until a range is one window.
+the bytes that all windows of a range share are its core, those that any covers its cover; a
+range whose core is alone holds no repeated window, one whose cover is repeated only such
+windows, and the others are cut finer until a range is one window.
 
 Defined cases: null and empty texts have no bytes; a text shorter than ``LENGTH`` loses
 nothing; matches never cross documents; rows that repeat id and text are two places;
@@ -38,9 +39,9 @@ LENGTH = 400
 GRAM = 128
 REACH = LENGTH - GRAM
 SHALLOW = 64
-GROUP_ROWS = 1024
+GROUP_ROWS = 256
 #: widths of the ranges of offsets, from coarse to single windows
-RANGES = (32, 4, 1)
+RANGES = (96, 12, 1)
 _PIECE = 1 << 20
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -252,36 +253,53 @@ def _order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield solve(held)
 
 
-def _cores(width: int):
+def _ranges(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """batches: (gram, context, before, after, offsets). A hash of each range's core."""
+        """batches: (gram, context, before, after, offsets). For each range of offsets,
+        hashes of the bytes that all its windows share, and of all bytes they cover."""
         for batch in batches:
             rows = []
             for r in batch.itertuples():
                 for o in r.offsets:
-                    after = max(0, REACH - o - width + 1)
-                    if len(r.before) >= o and len(r.after) >= after:
-                        core = xxhash.xxh3_128_digest(r.before[:o] + r.after[:after])
-                        rows.append((r.gram, r.context, o, core))
-            yield pd.DataFrame(rows, columns=["gram", "context", "offset", "core"])
+                    last = min(o + width - 1, REACH)
+                    if len(r.before) >= o and len(r.after) >= REACH - last:
+                        core = xxhash.xxh3_128_digest(r.before[:o] + r.after[: REACH - last])
+                        full = len(r.before) >= last and len(r.after) >= REACH - o
+                        rows.append((r.gram, r.context, o, core, xxhash.xxh3_128_digest(r.before[:last] + r.after[: REACH - o]) if full else None))
+            yield pd.DataFrame(rows, columns=["gram", "context", "offset", "core", "cover"])
 
     return run
 
 
 def _by_ranges(large: DataFrame) -> DataFrame:
-    """The reaches of members of large groups."""
+    """The reaches of members of large groups. All windows of a range repeat if all the
+    bytes they cover do; none does if their core is alone. What is neither is cut finer, if
+    that can take a member with this core further than what is settled for it."""
     rows = large.withColumn("offsets", F.sequence(F.lit(0), F.lit(REACH), F.lit(RANGES[0])))
+    settled: DataFrame | None = None
     for level, width in enumerate(RANGES):
-        found = rows.select("gram", "context", "before", "after", "offsets").mapInPandas(_cores(width), "gram long, context long, offset int, core binary")
-        found = stash(found, f"suffix-cores{level}")
-        again = stash(found.groupBy("gram", "offset", "core").agg(F.count("*").alias("n")).where("n > 1").drop("n"), f"suffix-again{level}")
-        found = found.join(again, ["gram", "offset", "core"]).select("gram", "context", "offset")
+        found = rows.select("gram", "context", "before", "after", "offsets").mapInPandas(_ranges(width), "gram long, context long, offset int, core binary, cover binary")
+        found = stash(found, f"suffix-ranges{level}")
+        both = stash(found.groupBy("gram", "offset", "core", "cover").agg(F.count("*").alias("n")), f"suffix-covers{level}")
+        cores = stash(both.groupBy("gram", "offset", "core").agg(F.sum("n").alias("n")).where("n > 1").drop("n"), f"suffix-cores{level}")
+        covers = both.where("n > 1 and cover is not null").select("gram", "offset", "cover", F.lit(True).alias("whole"))
+        judged = found.join(cores, ["gram", "offset", "core"]).join(covers, ["gram", "offset", "cover"], "left")
+        last = F.least(F.col("offset") + width - 1, F.lit(REACH))
+        judged = stash(judged.select("gram", "context", "offset", last.alias("last"), "core", "cover", F.coalesce("whole", F.lit(False)).alias("whole")), f"suffix-judged{level}")
+        new = judged.where("whole").groupBy("gram", "context").agg(F.max("last").alias("high"), F.min("offset").alias("low"))
+        every = new if settled is None else settled.unionByName(new).groupBy("gram", "context").agg(F.max("high").alias("high"), F.min("low").alias("low"))
+        settled = stash(every, f"suffix-settled{level}")
         if width == 1:
-            return found.groupBy("gram", "context").agg(F.max("offset").cast("long").alias("before"), (F.lit(LENGTH) - F.min("offset")).cast("long").alias("since"))
+            break
         finer = RANGES[level + 1]
-        steps = F.filter(F.sequence(F.col("offset"), F.col("offset") + width - finer, F.lit(finer)), lambda o: o <= REACH)
-        offsets = stash(found.groupBy("gram", "context").agg(F.flatten(F.collect_list(steps)).alias("offsets")), f"suffix-offsets{level}")
-        rows = large.join(offsets, ["gram", "context"])
+        open_ = judged.where("not whole").join(settled, ["gram", "context"], "left").where("high is null or offset > high or last < low")
+        asked = stash(open_.groupBy("gram", "offset", "core").agg(F.lit(1).alias("asked")).drop("asked"), f"suffix-asked{level}")
+        going = stash(judged.join(asked, ["gram", "offset", "core"]), f"suffix-going{level}")
+        one = going.where("whole").groupBy("gram", "offset", "last", "cover").agg(F.min("context").alias("context"))  # partner of the open ones
+        going = going.where("not whole").select("gram", "context", "offset", "last").unionByName(one.drop("cover"))
+        offsets = going.groupBy("gram", "context").agg(F.flatten(F.collect_list(F.sequence("offset", "last", F.lit(finer)))).alias("offsets"))
+        rows = large.join(stash(offsets, f"suffix-offsets{level}"), ["gram", "context"])
+    return settled.select("gram", "context", F.col("high").cast("long").alias("before"), (F.lit(LENGTH) - F.col("low")).cast("long").alias("since"))
 
 
 def repeated_reaches(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
