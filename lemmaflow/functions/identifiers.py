@@ -11,6 +11,7 @@ from urllib.parse import unquote_to_bytes, urljoin
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 KINDS = ("openAlex", "doi", "arxiv", "semanticScholar", "isbn", "internal")
 
@@ -132,7 +133,7 @@ def short_identifier(identifiers: Column, own: Column) -> Column:
     return F.coalesce(*named, own)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def slug(values: pd.Series) -> pd.Series:
     """NFKD text in lower case, of a-z, 0-9 and single dashes, ``id-`` before any other start."""
 
@@ -143,7 +144,7 @@ def slug(values: pd.Series) -> pd.Series:
     return values.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def percent_decode(values: pd.Series) -> pd.Series:
     """Percent-decoded text; malformed input stays as it is."""
 
@@ -158,7 +159,7 @@ def percent_decode(values: pd.Series) -> pd.Series:
     return values.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def http_url(values: pd.Series, bases: pd.Series) -> pd.Series:
     """The absolute address of a link on a page; null unless it is http or https."""
 
@@ -172,7 +173,7 @@ def http_url(values: pd.Series, bases: pd.Series) -> pd.Series:
     return pd.Series([one(v, b) for v, b in zip(values, bases)], dtype=object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_digest(documents: pd.Series) -> pd.Series:
     """SHA-256 of a JSON text written anew with sorted keys and without blanks."""
 

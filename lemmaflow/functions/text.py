@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, MapType, StringType, StructType
 
 #: fixed table: licence names and the patterns that show them
 LICENSES = {
@@ -63,7 +64,7 @@ def strip_tags(value: Column) -> Column:
     return collapse(F.regexp_replace(bare, r"<[^>]*>", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_entities(values: pd.Series) -> pd.Series:
     return values.map(lambda x: None if x is None else html.unescape(x))
 
@@ -159,7 +160,7 @@ def long_date(value: Column) -> Column:
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"""([\w:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
-_TAGS = "array<struct<start:int,end:int,closing:boolean,name:string,attributes:map<string,string>>>"
+_TAGS = ArrayType(StructType().add("start", IntegerType()).add("end", IntegerType()).add("closing", BooleanType()).add("name", StringType()).add("attributes", MapType(StringType(), StringType())))
 
 
 @F.pandas_udf(_TAGS)
@@ -180,7 +181,7 @@ def scan_tags(sources: pd.Series) -> pd.Series:
     return sources.map(one)
 
 
-_SPANS = "array<struct<start:int,end:int,environment:string,title:string,body:string>>"
+_SPANS = ArrayType(StructType().add("start", IntegerType()).add("end", IntegerType()).add("environment", StringType()).add("title", StringType()).add("body", StringType()))
 
 
 @F.pandas_udf(_SPANS)
@@ -207,3 +208,14 @@ def tex_environments(sources: pd.Series) -> pd.Series:
         return [dict(zip(("start", "end", "environment", "title", "body"), f)) for f in sorted(found, key=lambda f: f[:2])]
 
     return sources.map(one)
+
+
+def tex_sections(content: Column) -> Column:
+    """Sectioning commands as rows (start, environment, title), for inline()."""
+    pattern = r"\\(?:chapter|section|subsection)\*?\{[^{}]*\}"
+    pieces = F.split(content, pattern, -1)
+    found = F.regexp_extract_all(content, F.lit(pattern), F.lit(0))
+    lengths = F.transform(F.sequence(F.lit(1), F.size(found)), lambda i: F.length(F.element_at(pieces, i)) + F.when(i > 1, F.length(F.get(found, i - 2))).otherwise(0))
+    starts = F.transform(F.sequence(F.lit(1), F.size(found)), lambda i: F.aggregate(F.slice(lengths, 1, i), F.lit(0), lambda a, x: a + x))
+    rows = F.transform(F.arrays_zip(starts.alias("start"), found.alias("found")), lambda x: F.struct(x["start"].alias("start"), F.lit("section").alias("environment"), F.regexp_extract(x["found"], r"\{([^{}]*)\}", 1).alias("title")))
+    return F.when(F.size(found) > 0, rows)
