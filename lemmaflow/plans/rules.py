@@ -53,11 +53,11 @@ def evidence_rules(df: DataFrame, name: str, entity: str, units: DataFrame) -> l
     """Evidence cites existing units, each once; a review is by another actor and of the
     captured content. evidence: struct (status, units array, actor, sha256, reviewer, reviewed_sha256)."""
     e = F.col("evidence")
-    cited = df.select("component", entity, F.explode("evidence.units").alias("unit"))
+    cited = df.select("component", entity, F.explode("evidence.units").alias("cited"))
     reviewed = df.where(e["status"] == "reviewed")
     return [
         allowed(df.select(entity, e["status"].alias("status")), f"{name}-evidence-status", "status", ("pending", "captured", "reviewed"), entity),
-        refers(cited, f"{name}-evidence-unit", entity, ["component", "unit"], units, ["component", "unit"]),
+        refers(cited, f"{name}-evidence-unit", entity, ["component", "cited"], units, ["component", "unit"]),
         holds(df, f"{name}-evidence-units-distinct", F.size(F.array_distinct(e["units"])) == F.size(e["units"]), F.col(entity)),
         holds(df.where(e["status"] != "pending"), f"{name}-evidence-captured", e["actor"].isNotNull() & e["sha256"].isNotNull(), F.col(entity)),
         holds(reviewed, f"{name}-review-independent", e["reviewer"] != e["actor"], F.col(entity)),

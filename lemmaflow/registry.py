@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .queries import relations  # noqa: F401  registers its queries
+from .queries.scalars import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -20,7 +20,7 @@ ALTERNATIVE = r"(?i)^(?:alternative|another|a different|second|third)\b.*\bproof
 
 def read_units(spark: SparkSession, folder: str, component: str) -> DataFrame:
     """Text files under a folder, one unit each, in order of their names."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(folder)
+    files = spark.read.option("recursiveFileLookup", True).text(folder, wholetext=True)
     name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.[^./]+$", 1)
     units = files.select(F.lit(component).alias("component"), name.alias("unit"), F.col("value").alias("content"))
     return units.withColumn("ordinal", F.row_number().over(W.partitionBy("component").orderBy("unit")))

@@ -62,7 +62,7 @@ def write(records: DataFrame, folder: str, limit: int = MAX_BYTES) -> None:
 
 def _contents(spark: SparkSession, folder: str) -> DataFrame:
     schema = "value string, component string, collection string, shard int, sha256 string"
-    return spark.read.schema(schema).option("wholetext", True).text(f"{folder}/shards")
+    return spark.read.schema(schema).text(f"{folder}/shards", wholetext=True)
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
