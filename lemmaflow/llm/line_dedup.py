@@ -63,10 +63,10 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     spot = F.struct("doc_id", "key", "at")
     shared = prints.groupBy("print").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where(~F.col("a").eqNullSafe(F.col("b")))
     shared = stash(shared.select(F.col("print").alias("p")), "lines-shared")
-    matched = stash(prints.join(shared, prints["print"] == shared["p"]).select("doc_id", "key", "unit", "lines", _place().alias("place")), "lines-matched")
+    matched = stash(prints.join(shared.hint("merge"), prints["print"] == shared["p"]).select("doc_id", "key", "unit", "lines", _place().alias("place")), "lines-matched")
     firsts = matched.groupBy("unit").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last")
     firsts = stash(firsts.select(F.col("unit").alias("u"), "first"), "lines-firsts")
-    later = matched.join(firsts, matched["unit"] == firsts["u"]).where("place > first")
+    later = matched.join(firsts.hint("merge"), matched["unit"] == firsts["u"]).where("place > first")
     numbers = later.select("doc_id", "key", F.explode("lines").alias("line"))
     return stash(numbers.groupBy("doc_id", "key").agg(F.collect_set("line").alias("removed")), "lines-removed")
 
@@ -76,7 +76,7 @@ def mark(docs: DataFrame, name: str = "removed") -> DataFrame:
     removed = removed_lines(docs).select(F.col("doc_id").alias("id_"), F.col("key").alias("key_"), F.col("removed").alias("removed_"))
     removed = removed.select(*[F.col(c).alias(free_name(docs, f"{c}line")) for c in removed.columns])
     one, two, three = removed.columns
-    both = docs.join(removed, docs["doc_id"].eqNullSafe(removed[one]) & (text_key(docs["text"]) == removed[two]), "left")
+    both = docs.join(removed.hint("merge"), docs["doc_id"].eqNullSafe(removed[one]) & (text_key(docs["text"]) == removed[two]), "left")
     return both.withColumn(name, F.coalesce(F.col(three), F.array().cast("array<int>"))).drop(one, two, three)
 
 

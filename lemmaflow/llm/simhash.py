@@ -121,7 +121,7 @@ def links(prints: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     edges = buckets.where((F.col("n") == 2) & near).select("a", "b")
 
     larger = buckets.where("n > 2").select(F.col("t").alias("t2"), F.col("k").alias("k2"), "n")
-    members = stash(entries.join(larger, (F.col("t") == F.col("t2")) & (F.col("k") == F.col("k2"))).select("t", "k", "fp", "n"), "simhash-members")
+    members = stash(entries.join(larger.hint("merge"), (F.col("t") == F.col("t2")) & (F.col("k") == F.col("k2"))).select("t", "k", "fp", "n"), "simhash-members")
     small = members.where(F.col("n") <= bucket_rows).select("t", "k", "fp")
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     edges = edges.unionByName(small.repartition(parts, "t", "k").sortWithinPartitions("t", "k").mapInPandas(_stars, "a long, b long"))
@@ -161,7 +161,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     keep = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
     kept, count = free_name(docs, "kept_id"), free_name(docs, "kept_rows")
     keep = stash(keep.select(F.col("doc_id").alias(kept), F.col("n").alias(count)), "simhash-keep")
-    rows = docs.join(keep, docs["doc_id"].eqNullSafe(keep[kept]))
+    rows = docs.join(keep.hint("merge"), docs["doc_id"].eqNullSafe(keep[kept]))
     single = rows.where(F.col(count) == 1)
     if keep.where(F.col(count) > 1).limit(1).count():
         fp = free_name(rows, "print_of_row")

@@ -173,7 +173,7 @@ def take(docs: DataFrame) -> DataFrame:
     rows = docs.withColumn(own, F.xxhash64("doc_id", "text"))
     rows = rows.withColumn(number, F.row_number().over(W.partitionBy("doc_id", "source", own).orderBy(own)))
     same = F.col("doc_id").eqNullSafe(F.col(one)) & F.col("source").eqNullSafe(F.col(two)) & (F.col(own) == F.col(three)) & (F.col(number) == F.col(which))
-    return rows.join(drawn, same).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(times))).alias(copy))
+    return rows.join(drawn.hint("merge"), same).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(times))).alias(copy))
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
