@@ -116,7 +116,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) ->
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     keyed = rows.withColumn("key", text_key(F.col("text")))
     found = stash(candidates(keyed.select("key", "text"), rules).select(F.col("key").alias("k"), "rules"), "secret-candidates")
-    both = keyed.join(found, keyed["key"] == found["k"], "left")
+    both = keyed.join(found.hint("merge"), keyed["key"] == found["k"], "left")
     columns = []
     for n, rule in enumerate(rules):
         hits = labelled(rule.kind, n, rule_spans(F.col("text"), rule))

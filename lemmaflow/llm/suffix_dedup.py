@@ -315,7 +315,7 @@ def repeated_reaches(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame
     sizes = stash(contexts.groupBy("gram").agg(F.count("*").alias("size")).where("size > 1"), "suffix-sizes")
     asked = contexts.join(sizes, "gram").select(F.col("one.doc_id").alias("id_"), F.col("one.print").alias("print_"), F.struct("one.at", "gram", "context", "size").alias("w"))
     asked = stash(asked.groupBy("id_", "print_").agg(F.collect_list("w").alias("wanted")), "suffix-asked")
-    found = docs.join(asked, docs["doc_id"].eqNullSafe(asked["id_"]) & (docs["print"] == asked["print_"])).select("text", "wanted")
+    found = docs.join(asked.hint("merge"), docs["doc_id"].eqNullSafe(asked["id_"]) & (docs["print"] == asked["print_"])).select("text", "wanted")
     cut = stash(found.mapInPandas(_cut, "gram long, context long, size long, before binary, after binary"), "suffix-cut")
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -362,7 +362,7 @@ def deduplicate(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     spans = found.groupBy(F.col("doc_id").alias("id_"), F.col("print").alias("print_")).agg(F.collect_list(F.struct("at", "before", "since")).alias("spans"))
     spans = stash(spans, "suffix-spans")
     # rows that repeat id and text share one entry, in which each span stands as often as the row
-    both = own.join(spans, own["doc_id"].eqNullSafe(spans["id_"]) & (own["print"] == spans["print_"]), "left")
+    both = own.join(spans.hint("merge"), own["doc_id"].eqNullSafe(spans["id_"]) & (own["print"] == spans["print_"]), "left")
     finish = F.pandas_udf(_finish, "n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string")
     return both.select("doc_id", finish("text", "spans").alias("r")).select("doc_id", "r.*")
 
