@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
@@ -69,6 +70,25 @@ def decode_entities(values: pd.Series) -> pd.Series:
     return values.map(lambda x: None if x is None else html.unescape(x))
 
 
+@F.pandas_udf(StringType())
+def identity_text(values: pd.Series) -> pd.Series:
+    """Text for the comparison of titles and names: compatibility forms, ASCII letters and digits only."""
+    return values.map(lambda v: re.sub(r"[^a-z0-9]+", " ", unicodedata.normalize("NFKD", html.unescape(v or "")).lower()).strip())
+
+
+def same_identity(title: Column, other_title: Column, author: Column, other_author: Column) -> Column:
+    """True if the titles agree and one author line contains the other (all of identity_text())."""
+    given = (F.length(title) > 0) & (F.length(author) > 0) & (F.length(other_author) > 0)
+    return F.coalesce(given & (title == other_title) & (F.contains(author, other_author) | F.contains(other_author, author)), F.lit(False))
+
+
+def edition_year(value: Column) -> Column:
+    """The year in an edition's text, or else that of a phrase "released in"; null without one."""
+    year = F.nullif(F.regexp_extract(value, r"(?is)<edition\b[^>]*>[^<]*?\b((?:19|20|21)[0-9]{2})\b", 1), F.lit(""))
+    released = F.nullif(F.regexp_extract(value, r"(?i)\breleased\s+in\s+(?:[a-z]+\s+)?((?:19|20|21)[0-9]{2})\b", 1), F.lit(""))
+    return F.coalesce(year, released).cast("int")
+
+
 def line_number(text: Column, offset: Column) -> Column:
     """The line, from 1, that holds the character at an offset from 0."""
     return F.size(F.split(F.left(text, offset), "\n"))
@@ -158,14 +178,15 @@ def long_date(value: Column) -> Column:
     return F.coalesce(F.date_format(F.try_to_date(value, "yyyy-MM-dd"), "MMMM d, yyyy"), value)
 
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([A-Za-z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"""([\w:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 _TAGS = ArrayType(StructType().add("start", IntegerType()).add("end", IntegerType()).add("closing", BooleanType()).add("name", StringType()).add("attributes", MapType(StringType(), StringType())))
 
 
 @F.pandas_udf(_TAGS)
 def scan_tags(sources: pd.Series) -> pd.Series:
-    """All tags of HTML texts with offsets and attributes; script and style bodies are skipped."""
+    """All tags of HTML or XML texts with offsets and attributes; comments, CDATA sections and
+    script and style bodies are skipped."""
 
     def one(source: str | None) -> list[dict]:
         found, skip = [], None

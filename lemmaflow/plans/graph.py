@@ -125,6 +125,30 @@ def reading_order(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return inside.groupBy("root").applyInPandas(walk, f"root {dict(roots.dtypes)['root']}, node {kind}, position int")
 
 
+def visible(edges: DataFrame, roots: DataFrame, nodes: DataFrame, matches: DataFrame) -> DataFrame:
+    """(node): what the roots (root) reach over nodes that match or have a match below them."""
+    kept = stash(keeps_ancestors(nodes.select("node"), edges, matches).select("node"), "visible-kept")
+    inside = edges.join(kept.select(F.col("node").alias("src")), "src", "left_semi").join(kept.select(F.col("node").alias("dst")), "dst", "left_semi")
+    return closure(inside, roots.join(kept.select(F.col("node").alias("root")), "root", "left_semi")).select("node").distinct()
+
+
+def first_paths(edges: DataFrame, roots: DataFrame, targets: DataFrame) -> DataFrame:
+    """(target, position, node) for an acyclic graph: the first path in the order of the
+    edges (src, dst, seq), from the first root (root, seq) that reaches the target. Every
+    node on it goes on to the first of its targets from which the end can be reached."""
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    above = stash(closure(back, targets.select(F.col("target").alias("root"))).select(F.col("root").alias("target"), "node"), "path-above")
+    beyond = above.select("target", F.col("node").alias("dst"))
+    ways = above.join(edges, F.col("node") == F.col("src")).join(beyond, ["target", "dst"]).groupBy("target", "node").agg(F.min_by("dst", "seq").alias("next"))
+    ways = stash(ways, "path-ways")
+    starts = above.join(roots, F.col("node") == F.col("root")).groupBy("target").agg(F.min_by("root", "seq").alias("node"))
+    found = [stash(starts.select("target", F.lit(1).alias("position"), "node"), "path-1")]
+    while found[-1].where("node <> target").limit(1).count():
+        on = found[-1].where("node <> target").join(ways, ["target", "node"])
+        found.append(stash(on.select("target", (F.col("position") + 1).alias("position"), F.col("next").alias("node")), f"path-{len(found) + 1}"))
+    return _all(found)
+
+
 def end_of_chain(pointers: DataFrame, limit: int = 64) -> DataFrame:
     """(node, last, broken) for pointers (node, next): where each chain ends. Pointer
     doubling takes log(length) rounds; what has not ended after ``limit`` doublings is a cycle."""

@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators.joins import preceding
+from ..operators.views import route_groups
 
 #: fixed values: environments that become nodes, with class
 ENVIRONMENTS = {"theorem": "theorem-like", "lemma": "theorem-like", "proposition": "theorem-like", "corollary": "theorem-like", "definition": "support", "example": "support", "remark": "support"}
-ALTERNATIVE = r"(?i)^(?:alternative|another|a different|second|third)\b.*\bproof"
+#: fixed pattern: titles of proofs that are complete by themselves
+ALTERNATIVE = r"(?i)^(?:first|second|third) proof\b(?!.*proof of part\b)"
 
 
 def read_units(spark: SparkSession, folder: str, component: str) -> DataFrame:
@@ -39,10 +41,11 @@ def nodes_of(units: DataFrame) -> DataFrame:
     return found.withColumn("label", F.get(text.labels(F.col("body")), 0))
 
 
-def extract_tex(units: DataFrame) -> dict[str, DataFrame]:
+def extract_tex(units: DataFrame, alternative: str = ALTERNATIVE) -> dict[str, DataFrame]:
     """Tables node, dependency, route and unresolved of TeX units. A proof belongs to the
-    nearest theorem before it, unless a section starts in between or another proof of it is
-    no titled alternative; labels that two nodes have are ambiguous and stay unresolved."""
+    nearest theorem before it, unless a section starts in between. Two proofs or more with a
+    title like ``alternative`` are a route each; else all proofs of a theorem are one route.
+    Labels that two nodes have are ambiguous and stay unresolved."""
     found = nodes_of(units)
     sections = units.select("component", "unit", "content").select("component", "unit", F.inline(text.tex_sections("content")))
     events = found.where(F.col("environment").isin("proof", *ENVIRONMENTS)).unionByName(sections, allowMissingColumns=True)
@@ -52,9 +55,8 @@ def extract_tex(units: DataFrame) -> dict[str, DataFrame]:
     nodes = events.where("node_class is not null").select("component", "unit", "node", "node_class", F.col("environment").alias("kind"), "label", text.clean_title(F.col("title")).alias("title"), text.tex_statement(F.col("body")).alias("statement"), "start")
     proofs = owned.where("environment = 'proof' and owner_of is not null").select("component", "unit", F.col("owner_of").alias("theorem"), "start", "title", "body")
 
-    whole = W.partitionBy("component", "theorem")
-    alternative = F.regexp_like(F.coalesce("title", F.lit("")), F.lit(ALTERNATIVE))
-    grouped = proofs.withColumn("route", F.when(F.count_if(alternative).over(whole) >= 1, F.row_number().over(whole.orderBy("unit", "start"))).otherwise(1))
+    titled = F.regexp_like(F.coalesce("title", F.lit("")), F.lit(alternative))
+    grouped = route_groups(proofs, ["component", "theorem"], ["unit", "start"], titled)
     refs = grouped.select("component", "theorem", "route", F.explode(F.regexp_extract_all(text.without_comments(F.col("body")), F.lit(r"\\(?:eq)?ref\{([^{}]+)\}"))).alias("ref"))
     bound = nodes.where("label is not null").groupBy("component", F.col("label").alias("ref")).agg(F.count("*").alias("n"), F.min("node").alias("target"))
     linked = refs.join(bound, ["component", "ref"], "left")
@@ -62,18 +64,18 @@ def extract_tex(units: DataFrame) -> dict[str, DataFrame]:
     prerequisites = nodes.select("component", F.col("node").alias("target"), "node_class", "kind")
     edges = edges.join(prerequisites, ["component", "target"]).withColumn("role", text.dependency_role(F.col("node_class"), F.col("kind"))).drop("node_class", "kind")
     in_routes = edges.select("component", "theorem", F.explode("routes").alias("route"), "target").groupBy("component", "theorem", "route").agg(F.array_sort(F.collect_set("target")).alias("targets"))
-    routes = grouped.select("component", "theorem", "route").distinct().join(in_routes, ["component", "theorem", "route"], "left").withColumn("targets", F.coalesce("targets", F.array().cast("array<string>")))
+    routes = grouped.where("route is not null").select("component", "theorem", "route").distinct().join(in_routes, ["component", "theorem", "route"], "left").withColumn("targets", F.coalesce("targets", F.array().cast("array<string>")))
     unresolved = linked.where("n is null or n > 1").select("component", "theorem", "ref", F.when(F.col("n") > 1, "ambiguous").otherwise("missing").alias("reason")).distinct()
     return {"node": nodes, "dependency": edges, "route": routes, "unresolved": unresolved}
 
 
 def html_candidates(pages: DataFrame, key: str, source: str) -> DataFrame:
-    """(key, position, level, title, node_class, kind) of all headings of HTML pages; class
-    and kind are null where the heading names no kind of statement."""
-    tags = pages.select(key, F.col(source).alias("source__"), F.posexplode(text.scan_tags(F.col(source))).alias("n", "tag"))
+    """(key, position, level, title, node_class, kind) of all headings of HTML pages, one for
+    each key; class and kind are null where the heading names no kind of statement."""
+    tags = pages.select(key, F.posexplode(text.scan_tags(F.col(source))).alias("n", "tag"))
     heads = tags.where(F.regexp_like("tag.name", F.lit("^h[1-6]$")))
     after = F.lead("tag").over(W.partitionBy(key).orderBy("n"))
-    opened = heads.withColumn("close", after).where("not tag.closing")
+    opened = heads.withColumn("close", after).where("not tag.closing").join(pages.select(key, F.col(source).alias("source__")), key)
     stop = F.when(F.col("close.closing"), F.col("close.start")).otherwise(F.length("source__"))
     title = text.decode_entities(text.strip_tags(F.substr("source__", F.col("tag.end") + 1, stop - F.col("tag.end"))))
     rows = opened.select(key, F.col("tag.start").alias("position"), F.substr(F.col("tag.name"), F.lit(2)).cast("int").alias("level"), title.alias("title"))

@@ -220,7 +220,7 @@ def test_tex_book(spark):
     made = books.extract_tex(units)
     assert {(r.label, r.node_class) for r in made["node"].collect()} == {("def-a", "support"), ("thm-b", "theorem-like"), ("lem-c", "theorem-like"), ("thm-d", "theorem-like"), ("dup", "support")}
     assert {(r.theorem, r.target, r.occurrences, r.role) for r in made["dependency"].collect()} == {("u:thm-b", "u:def-a", 1, "definition"), ("u:thm-d", "u:thm-b", 2, "logical")}
-    assert sorted((r.theorem, r.route, r.targets) for r in made["route"].collect()) == [("u:thm-b", 1, ["u:def-a"]), ("u:thm-b", 2, []), ("u:thm-d", 1, ["u:thm-b"])]
+    assert sorted((r.theorem, r.route, r.targets) for r in made["route"].collect()) == [("u:thm-b", 1, ["u:def-a"]), ("u:thm-d", 1, ["u:thm-b"])]
     assert {(r.ref, r.reason) for r in made["unresolved"].collect()} == {("missing", "missing"), ("dup", "ambiguous")}
     pages = spark.createDataFrame([(1, "<h1>Theorem &amp; more</h1><script>'<h2>no</h2>'</script><h3>Other</h3>")], "id int, html string")
     assert [(r.level, r.title, r.kind) for r in books.html_candidates(pages, "id", "html").orderBy("position").collect()] == [(1, "Theorem & more", "theorem"), (3, "Other", None)]
