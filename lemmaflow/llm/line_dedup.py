@@ -3,7 +3,11 @@
 Lines that hold a word are hashed. In every window of ``WINDOW`` consecutive such lines
 the least hash is selected as a fingerprint (the first of equal ones), so two documents
 that share a run of ``WINDOW`` lines are guaranteed to have selected the same line of
-it; a line of ``LONG_WORDS`` words or more is a fingerprint by itself. Positions are
+it; a line of ``LONG_WORDS`` words or more is a fingerprint by itself. With ``pairs``
+two consecutive such lines that hold ``LONG_WORDS`` words together are a fingerprint too:
+of the shortest runs that reach so many words, those of one line and of three or more
+are found already, so every repeated run of whole lines with that many words goes. The
+pipeline's stage takes pairs; the query keeps the rule of ``OP10_SQL``. Positions are
 joined on fingerprints that occur at two places or more, and each such place is extended
 both ways to the windows its line was selected for. An extended match whose whole text
 occurs earlier, in order of (doc_id, text, line), is deleted; overlapping matches make
@@ -33,12 +37,13 @@ def _place() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key", F.element_at("lines", 1).alias("line"))
 
 
-def fingerprints(rows: DataFrame) -> DataFrame:
+def fingerprints(rows: DataFrame, pairs: bool = False) -> DataFrame:
     """rows: (doc_id, key, text). Selected lines with the match each extends to:
     (doc_id, key, print, at, unit, lines); ``at`` is the selected line's number."""
     numbered = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("line"), x.alias("text")))
     own = rows.select("doc_id", "key", F.filter(numbered, lambda x: F.regexp_like(x["text"], F.lit(_WORD))).alias("own")).where(F.size("own") > 0)
     own = own.withColumn("hashes", F.transform("own", lambda x: F.xxhash64(x["text"])))
+    own = own.withColumn("counts", F.transform("own", lambda x: F.regexp_count(x["text"], F.lit(_WORD + "+"))))
 
     def window(i: Column) -> Column:
         hashes, lines = F.slice("hashes", i, WINDOW), F.slice("own", i, WINDOW)
@@ -51,15 +56,29 @@ def fingerprints(rows: DataFrame) -> DataFrame:
         )
 
     starts = F.when(F.size("own") >= WINDOW, F.sequence(F.lit(1), F.size("own") - WINDOW + 1)).otherwise(F.array().cast("array<int>"))
-    long = F.filter("own", lambda x: F.regexp_count(x["text"], F.lit(_WORD + "+")) >= LONG_WORDS)
+    long = F.filter("own", lambda x, i: F.get("counts", i) >= LONG_WORDS)
     alone = F.transform(long, lambda x: F.struct(F.xxhash64(x["text"], F.lit("alone")).alias("print"), x["line"].alias("at"), F.md5(x["text"]).alias("unit"), F.array(x["line"]).alias("lines")))
-    return own.select("doc_id", "key", F.explode(F.concat(F.transform(starts, window), alone)).alias("m")).select("doc_id", "key", "m.*")
+    units = [F.transform(starts, window), alone]
+
+    def pair(i: Column) -> Column:
+        first, second = F.get("own", i), F.get("own", i + 1)
+        return F.struct(
+            F.xxhash64(first["text"], second["text"], F.lit("pair")).alias("print"),
+            first["line"].alias("at"),
+            F.md5(F.concat_ws("\n", first["text"], second["text"])).alias("unit"),
+            F.array(first["line"], second["line"]).alias("lines"),
+        )
+
+    if pairs:
+        heads = F.when(F.size("own") >= 2, F.sequence(F.lit(0), F.size("own") - 2)).otherwise(F.array().cast("array<int>"))
+        units.append(F.transform(F.filter(heads, lambda i: F.get("counts", i) + F.get("counts", i + 1) >= LONG_WORDS), pair))
+    return own.select("doc_id", "key", F.explode(F.concat(*units)).alias("m")).select("doc_id", "key", "m.*")
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
+def removed_lines(docs: DataFrame, pairs: bool = False) -> DataFrame:
     """(doc_id, key, removed): line numbers (from 0) to delete, for the texts that have any."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", text_key(F.col("text")))
-    prints = stash(fingerprints(rows), "lines-prints")
+    prints = stash(fingerprints(rows, pairs), "lines-prints")
     spot = F.struct("doc_id", "key", "at")
     shared = prints.groupBy("print").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where(~F.col("a").eqNullSafe(F.col("b")))
     shared = stash(shared.select(F.col("print").alias("p")), "lines-shared")
@@ -71,9 +90,9 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     return stash(numbers.groupBy("doc_id", "key").agg(F.collect_set("line").alias("removed")), "lines-removed")
 
 
-def mark(docs: DataFrame, name: str = "removed") -> DataFrame:
+def mark(docs: DataFrame, name: str = "removed", pairs: bool = False) -> DataFrame:
     """``docs`` with a column of the line numbers to delete (empty if none)."""
-    removed = removed_lines(docs).select(F.col("doc_id").alias("id_"), F.col("key").alias("key_"), F.col("removed").alias("removed_"))
+    removed = removed_lines(docs, pairs).select(F.col("doc_id").alias("id_"), F.col("key").alias("key_"), F.col("removed").alias("removed_"))
     removed = removed.select(*[F.col(c).alias(free_name(docs, f"{c}line")) for c in removed.columns])
     one, two, three = removed.columns
     both = docs.join(removed.hint("merge"), docs["doc_id"].eqNullSafe(removed[one]) & (text_key(docs["text"]) == removed[two]), "left")
@@ -88,11 +107,11 @@ def kept_text(text: Column, removed: Column) -> Column:
 
 
 def deduplicate_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with later repeated runs deleted from the text and n_chars, if there is
-    such a column, counted anew. Documents left without any word by it go."""
+    """``docs`` with later repeated runs, pairs of lines among them, deleted from the text
+    and n_chars, if there is such a column, counted anew. Documents left without any word by it go."""
     name = free_name(docs, "removed")
     kept = free_name(docs, "kept")
-    out = mark(docs, name).withColumn(kept, kept_text(docs["text"], F.col(name)))
+    out = mark(docs, name, pairs=True).withColumn(kept, kept_text(docs["text"], F.col(name)))
     out = out.where((F.size(name) == 0) | F.regexp_like(F.col(kept), F.lit(_WORD)))
     columns = []
     for c in docs.columns:

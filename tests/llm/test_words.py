@@ -154,5 +154,33 @@ def test_line_dedup(make, nasty):
     assert line_dedup.deduplicate_lines(make([])).count() == 0
 
 
+def test_line_dedup_of_pairs(make):
+    w = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    a, b, c, d = w("a", 23), w("b", 46), w("c", 24), w("d", 25)
+    rows = [(1, f"{a}\n{b}"), (2, f"x\n\n{a}\n\n{b}\ny"), (3, f"{b}\n{a}"), (4, f"{c}\n{d}"), (5, f"{c}\n{d}\nz"), (6, f"{a}\n{b}"), (None, f"{a}\n{b}\nlast"), (7, f"{w('l', 60)}\nshort"), (8, f"head\n{w('l', 60)}\nshort")]
+    rows += [(20 + k, f"{w('p', 30)}\n{w('q', 30)}\nown {k}") for k in range(300)]
+
+    def units(text):
+        """(spots, words) by definition: the shortest runs of 50 words from each line both ways, and windows of three."""
+        lines = [(i, x) for i, x in enumerate(text.split("\n")) if SPACE.search(x)]
+        runs = {(i, i + 3) for i in range(len(lines) - 2)}
+        count = lambda i, j: sum(len(SPACE.findall(x)) for _, x in lines[i:j])
+        for i in range(len(lines)):
+            runs |= {(i, j) for j in [next((j for j in range(i + 1, len(lines) + 1) if count(i, j) >= 50), None)] if j}
+            runs |= {(j, i + 1) for j in [next((j for j in range(i, -1, -1) if count(j, i + 1) >= 50), None)] if j is not None}
+        return [([n for n, _ in lines[i:j]], tuple(x for _, x in lines[i:j])) for i, j in runs]
+
+    first, gone = {}, {}
+    for doc, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        for spots, unit in sorted(units(text)):
+            if first.setdefault(unit, (doc, spots[0])) != (doc, spots[0]):
+                gone.setdefault(doc, set()).update(spots)
+    expected = {doc: "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone.get(doc, ())) for doc, text in rows}
+    kept = {r.doc_id: r.text for r in line_dedup.deduplicate_lines(make(rows)).collect()}
+    assert kept == {doc: text for doc, text in expected.items() if SPACE.search(text)}
+    assert 6 not in kept and kept[2] == "x\n\n\ny" and kept[None] == "last" and kept[5] == f"{c}\n{d}\nz" and kept[8] == "head"
+    assert kept[3] == f"{b}\n{a}" and sum(text.startswith("own") for text in kept.values()) == 299
+
+
 def test_hashes_are_of_the_kept_text():
     assert hashlib.sha256(b"").hexdigest()[:8] == "e3b0c442"
