@@ -24,7 +24,7 @@ BASE_WINDOW = 5
 LEAST_WORDS = 10
 MOST_REPEATED = 20  # per cent of words in repeated base windows
 #: window length in words: largest share of word characters inside repeated windows
-MOST_COVERED = {5: 0.25, 6: 0.24, 7: 0.23, 8: 0.22, 9: 0.21, 10: 0.20}
+MOST_COVERED = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 #: largest share of word characters in lines that repeat an earlier line
 MOST_LINE_CHARS = 0.30
 _SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))

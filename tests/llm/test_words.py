@@ -41,6 +41,16 @@ def test_quality(make, nasty):
     assert quality.judge(make([])).count() == 0
 
 
+def test_coverage_decides_beyond_the_base_rule(make):
+    w = lambda name, n: " ".join(f"{name}{k:03}" for k in range(n))
+    rows = [(1, f"{w('a', 12)} {w('b', 100)} {w('a', 12)} {w('c', 76)}"), (2, f"{w('a', 9)} {w('b', 100)} {w('a', 9)} {w('c', 82)}"), (3, w("a", 200))]
+    rows.append((4, f"{w('a', 6)} {w('b', 100)} {w('a', 6)} {w('c', 88)}"))
+    got = {r.doc_id: r for r in quality.judge(make(rows)).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert abs(got[1].coverage[5] - 0.12) < 1e-9
+    assert [got[k].kept for k in (1, 2, 3, 4)] == [False, True, True, True]
+
+
 def test_decontamination(spark, make, nasty, monkeypatch):
     rows = [*nasty, (300, "One two, THREE four. five six seven eight nine ten eleven!", None, None), (301, "tiny item", None, None), (302, "a tiny item. And a tiny ITEM", None, None)]
     long = nasty[0][1].split()
