@@ -1,4 +1,4 @@
-"""Operator 10, line dedup: winnowing over line hashes, in SQL functions only.
+"""Operator 10, line dedup: repeated windows of lines, in SQL functions only.
 
 Lines that hold a word are hashed. In every window of ``WINDOW`` consecutive such lines
 the least hash is selected as a fingerprint (the first of equal ones), so two documents
@@ -7,10 +7,11 @@ it; a line of ``LONG_WORDS`` words or more is a fingerprint by itself. With ``pa
 two consecutive such lines that hold ``LONG_WORDS`` words together are a fingerprint too:
 of the shortest runs that reach so many words, those of one line and of three or more
 are found already, so every repeated run of whole lines with that many words goes. The
-pipeline's stage takes pairs; the query keeps the rule of ``OP10_SQL``. Positions are
-joined on fingerprints that occur at two places or more, and each such place is extended
-both ways to the windows its line was selected for. An extended match whose whole text
-occurs earlier, in order of (doc_id, text, line), is deleted; overlapping matches make
+pipeline's stage takes pairs; the query keeps the rule of ``OP10_SQL``. There is
+one row for each window, and no match is extended from a joined position: windows whose
+fingerprint occurs at two places or more are grouped by a digest of their whole text,
+and since windows overlap, this finds the same lines. A window whose whole text
+occurs earlier, in order of (doc_id, text, line), is deleted; overlapping windows make
 up longer runs. So: a line goes if a window of lines it is in, or its own long line,
 occurred before in the corpus, and the first occurrence of everything stays.
 
