@@ -30,6 +30,16 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete the folders of stashed tables that every reader of them has been stashed after.
+    Tables that are no longer there are passed over."""
+    for df in tables:
+        jvm, spark = df.sparkSession._jvm, df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_key(text: Column) -> Column:
     """16 bytes that name a text: rows with equal texts share it (null counts as empty)."""
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))

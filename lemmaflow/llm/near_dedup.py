@@ -1,17 +1,20 @@
-"""Near copies for the pipeline: five-word shingles, Jaccard similarity of 0.8 or more, exactly.
+"""Near copies for the pipeline: SimHash first, then all pairs of similarity 0.8 exactly.
 
-No covering table reaches that similarity on SimHash (pairs at 0.8 differ in about 10 of
-64 bits), so candidates come from prefixes instead. The shingles of all texts have one
+Similarity is that of Jaccard over five-word shingles. The SimHash of a text's shingles
+goes through the covering tables of ``simhash``; pairs that meet there within its radius and have the
+similarity are linked at once. Pairs at 0.8 differ in about 10 of 64 bits, which no covering
+table of a bearable number reaches, so the rest is found by prefixes. The shingles of all texts have one
 order, frequent ones last. If two sets of a and b shingles share 0.8 of their union, the
 first of the shared ones is among the first a - ceil(0.8 a) + 1 of the one and the first
 b - ceil(0.8 b) + 1 of the other, so only such prefixes are joined, and every pair of
 similarity 0.8 meets. Any order loses nothing; the frequent shingles are found in a
 sample of texts, so that few texts meet by chance.
 
-Texts that meet are compared in two rounds: each with the least one of its bucket, then
-those of a bucket that are still in different components with each other. Sizes and
-places rule out most pairs; the others are settled by the sets themselves, which are
-made again for the texts that are in any pair only.
+Texts that meet in a prefix are compared in two rounds: each with the least one of its bucket, then
+those of a bucket that are still in different components with each other. Sizes,
+places and profiles (how many shingles have each of 64 to 2048 hashed values, so that the sum
+of the lesser counts bounds what two sets share) rule out most pairs; the others are settled by the
+sets themselves, which are made again for the texts that are in any such pair only.
 
 Defined cases: words are as in SimHash (lower case in ASCII); fewer than five words are
 one shingle; texts with equal sets, null and empty ones among them, are copies; sets and
@@ -30,7 +33,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import free_name, stash, text_key
+from . import simhash
+from .common import free_name, release, stash, text_key
 from .components import components
 
 SHINGLE = 5
@@ -42,6 +46,7 @@ SAMPLE_PART = 16
 FREQUENT_IN = 3
 FREQUENT = 200_000
 _FILTER_WORDS = 1 << 18
+_LEAST_PROFILE, _MOST_PROFILE = 64, 2048
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -86,11 +91,23 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
     return np.sort(most.toPandas()["h"].to_numpy(np.int64))
 
 
-def prefixes(text: Column, frequent: DataFrame | np.ndarray, spark) -> Column:
-    """A struct of the set's hash, its size and its prefix in the common order."""
+def profile(found: np.ndarray) -> np.ndarray:
+    """How many of the shingles have each value of their lowest bits; more values for larger sets."""
+    values = min(max(1 << (len(found) // 4).bit_length(), _LEAST_PROFILE), _MOST_PROFILE)
+    return np.bincount(found.view(np.uint64) & np.uint64(values - 1), minlength=values).astype(np.int32)
+
+
+def most_shared(x: np.ndarray, y: np.ndarray) -> int:
+    """A bound on the shingles that two sets with these profiles share."""
+    values = min(len(x), len(y))
+    return int(np.minimum(x.reshape(-1, values).sum(axis=0), y.reshape(-1, values).sum(axis=0)).sum())
+
+
+def prefixes(text: Column, frequent: np.ndarray, spark) -> Column:
+    """A struct of the set's hash, its size, its prefix in the common order, profile and SimHash."""
     shared = spark.sparkContext.broadcast(frequent)
 
-    @F.pandas_udf("fp long, size int, prefix array<long>")
+    @F.pandas_udf("fp long, size int, prefix array<long>, profile array<int>, sim long")
     def made(texts: pd.Series) -> pd.DataFrame:
         late, rows = shared.value, []
         for x in texts:
@@ -100,22 +117,28 @@ def prefixes(text: Column, frequent: DataFrame | np.ndarray, spark) -> Column:
             inside = at < len(late)
             is_late[inside] = late[at[inside]] == found[inside]
             ordered = np.concatenate((found[~is_late], found[is_late]))
-            rows.append((set_print(found), len(found), ordered[: prefix_length(len(found))]))
-        out = pd.DataFrame(rows, columns=["fp", "size", "prefix"])
-        return out.astype({"prefix": object})
+            sim = int(np.uint64(simhash.majority(found.view(np.uint64))).astype(np.int64))
+            rows.append((set_print(found), len(found), ordered[: prefix_length(len(found))], profile(found), sim))
+        out = pd.DataFrame(rows, columns=["fp", "size", "prefix", "profile", "sim"])
+        return out.astype({"prefix": object, "profile": object})
 
     return made(text)
 
 
+def _packed(size: str, at: str) -> Column:
+    """Size and place of a shingle in one number."""
+    return F.shiftleft(F.col(size).cast("long"), 32) + F.col(at)
+
+
 def meets(sets: DataFrame) -> DataFrame:
-    """sets: distinct (fp, size, prefix). (h, fp, size, at, first, first_size, first_at): the
+    """sets: (fp, size, prefix). Distinct (h, fp, size, at, first, first_size, first_at): the
     members of each shingle that is in two prefixes or more, with the least of them."""
-    entries = sets.select("fp", "size", F.posexplode("prefix").alias("at", "h"))
+    entries = sets.select("fp", "size", F.posexplode("prefix").alias("at", "h")).select("h", "fp", _packed("size", "at").alias("spot"))
     bucket = W.partitionBy("h")
-    me = F.struct("fp", "size", "at")
-    both = entries.select("h", "fp", "size", "at", F.min(me).over(bucket).alias("least"), F.max("fp").over(bucket).alias("most"))
-    both = both.where(F.col("least")["fp"] < F.col("most"))
-    return both.select("h", "fp", "size", "at", F.col("least")["fp"].alias("first"), F.col("least")["size"].alias("first_size"), F.col("least")["at"].alias("first_at"))
+    both = entries.select("h", "fp", "spot", F.min(F.struct("fp", "spot")).over(bucket).alias("least"), F.max("fp").over(bucket).alias("most"))
+    both = both.where(F.col("least")["fp"] < F.col("most")).select("h", "fp", "spot", F.col("least")["fp"].alias("first"), F.col("least")["spot"].alias("first_spot")).distinct()
+    size, place = lambda c: F.shiftright(c, 32).cast("int"), lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    return both.select("h", "fp", size("spot").alias("size"), place("spot").alias("at"), "first", size("first_spot").alias("first_size"), place("first_spot").alias("first_at"))
 
 
 def possible(size: str, at: str, other_size: str, other_at: str) -> Column:
@@ -126,33 +149,48 @@ def possible(size: str, at: str, other_size: str, other_at: str) -> Column:
     return (shared * (NUMERATOR + DENOMINATOR) >= (a + b) * NUMERATOR) & (F.least(a, b) * DENOMINATOR >= F.greatest(a, b) * NUMERATOR)
 
 
+def alike(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) whose profiles leave the similarity possible."""
+    one, two = profiles.select(F.col("fp").alias("fa"), F.col("profile").alias("pa")), profiles.select(F.col("fp").alias("fb"), F.col("profile").alias("pb"))
+
+    @F.pandas_udf("boolean")
+    def near(pa: pd.Series, pb: pd.Series) -> pd.Series:
+        return pd.Series([(NUMERATOR + DENOMINATOR) * most_shared(x, y) >= NUMERATOR * int(x.sum() + y.sum()) for x, y in zip(pa, pb)], dtype=bool)
+
+    joined = pairs.join(one.hint("merge"), pairs["a"] == one["fa"]).drop("fa")
+    joined = joined.join(two.hint("merge"), joined["b"] == two["fb"]).drop("fb")
+    return joined.where(near("pa", "pb")).select("a", "b")
+
+
 def _sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(fp, shingles) of the wanted (fp): their sets, made again from ``texts`` (text).
-    A bit table of bounded size lets few other texts through; the join drops those."""
-    slot = F.pmod("fp", F.lit(_FILTER_WORDS * 64))
-    bits = wanted.groupBy((slot / 64).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(fp, {64}) as int))")).alias("bits")).toPandas()
+    """texts: (print, text), wanted: distinct (fp, print). (fp, shingles) of the wanted: their
+    sets, made again. A bit table of bounded size lets few other texts through; the join drops those."""
+    spot = F.pmod("print", F.lit(_FILTER_WORDS * 64))
+    words = wanted.groupBy((spot / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(print, 64) as int))")).alias("bits")).toPandas()
     table = np.zeros(_FILTER_WORDS, np.int64)
-    table[bits["w"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.int64)
+    table[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
     shared = texts.sparkSession.sparkContext.broadcast(table.view(np.uint64))
 
     def make(batches):
         words = shared.value
         for batch in batches:
-            found = [shingles(x) for x in batch["text"]]
-            fps = np.array([set_print(x) for x in found], np.int64)
-            spot = np.mod(fps, _FILTER_WORDS * 64).astype(np.uint64)
-            inside = (words[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63))) & np.uint64(1)
-            keep = np.flatnonzero(inside)
-            yield pd.DataFrame({"fp": fps[keep], "shingles": pd.Series([found[k] for k in keep], dtype=object)})
-
-    some = stash(texts.select("text").mapInPandas(make, "fp long, shingles array<long>"), "near-some")
+            at = np.mod(batch["print"].to_numpy(np.int64), _FILTER_WORDS * 64).astype(np.uint64)
+            inside = (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
+            found = [shingles(x) for x in batch["text"][inside.astype(bool)]]
+            yield pd.DataFrame({"fp": np.array([set_print(x) for x in found], np.int64), "shingles": pd.Series(found, dtype=object)})
+
+    some = stash(texts.mapInPandas(make, "fp long, shingles array<long>"), "near-some")
     w = wanted.select(F.col("fp").alias("w"))
-    return stash(some.join(w.hint("merge"), some["fp"] == w["w"]).groupBy("fp").agg(F.first("shingles").alias("shingles")), "near-sets")
+    sets = stash(some.join(w.hint("merge"), some["fp"] == w["w"]).groupBy("fp").agg(F.first("shingles").alias("shingles")), "near-sets")
+    release(some)
+    return sets
 
 
-def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def similar(pairs: DataFrame, profiles: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the distinct pairs (a, b) whose sets have the similarity."""
-    wanted = stash(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "near-wanted")
+    pairs = stash(alike(pairs, profiles), "near-pairs")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct()
+    wanted = stash(named.join(profiles.hint("merge"), named["w"] == profiles["fp"]).select("fp", "print"), "near-wanted")
     sets = _sets_of(texts, wanted)
     one, two = sets.select(F.col("fp").alias("fa"), F.col("shingles").alias("sa")), sets.select(F.col("fp").alias("fb"), F.col("shingles").alias("sb"))
 
@@ -163,15 +201,31 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     joined = pairs.join(one.hint("merge"), pairs["a"] == one["fa"]).drop("fa")
     joined = joined.join(two.hint("merge"), joined["b"] == two["fb"]).drop("fb")
-    return stash(joined.where(close("sa", "sb")).select("a", "b"), "near-links")
+    found = stash(joined.where(close("sa", "sb")).select("a", "b"), "near-links")
+    release(pairs, wanted, sets)
+    return found
+
+
+def by_simhash(sets: DataFrame) -> DataFrame:
+    """sets: (fp, sim). Candidate pairs (a, b): sets of one SimHash with the least of them, and
+    the least ones of SimHashes that a covering table brings together within the radius."""
+    prints = stash(sets.groupBy("sim").agg(F.min("fp").alias("least")), "near-prints")
+    met = stash(simhash.links(prints.select(F.col("sim").alias("fp"))), "near-covered")
+    one, two = prints.select(F.col("sim").alias("s1"), F.col("least").alias("a")), prints.select(F.col("sim").alias("s2"), F.col("least").alias("b"))
+    across = met.join(one.hint("merge"), met["a"] == one["s1"]).drop(met["a"]).join(two.hint("merge"), met["b"] == two["s2"]).select(one["a"].alias("a"), two["b"].alias("b"))
+    inside = sets.select("sim", F.col("fp").alias("a")).join(prints.hint("merge"), "sim").where("a <> least").select("a", F.col("least").alias("b"))
+    return stash(across.unionByName(inside).distinct(), "near-simhash")
 
 
 def links(sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """Edges (a, b) with the same components as all pairs of sets with the similarity."""
-    members = stash(meets(sets), "near-members")
+    """sets: (fp, size, prefix, profile, sim, print), any row of it repeated; texts: (print, text).
+    Edges (a, b) with the same components as all pairs of sets with the similarity."""
+    profiles = stash(sets.groupBy("fp").agg(F.any_value("profile").alias("profile"), F.any_value("sim").alias("sim"), F.any_value("print").alias("print")), "near-profiles")
+    members = stash(meets(sets.select("fp", "size", "prefix")), "near-members")
+    close = by_simhash(profiles.select("fp", "sim"))
     stars = members.where("fp <> first").where(possible("size", "at", "first_size", "first_at"))
-    stars = stash(stars.select(F.col("fp").alias("a"), F.col("first").alias("b")).distinct(), "near-stars")
-    found = similar(stars, texts)
+    stars = stash(stars.select(F.col("fp").alias("a"), F.col("first").alias("b")).unionByName(close).distinct(), "near-stars")
+    found = similar(stars, profiles, texts)
 
     labels = stash(components(found), "near-round")
     named = members.select("h", "fp", "size", "at").join(labels.hint("merge"), members["fp"] == labels["node"], "left")
@@ -179,21 +233,22 @@ def links(sets: DataFrame, texts: DataFrame) -> DataFrame:
     named = named.select("h", "fp", "size", "at", F.coalesce("label", "fp").alias("label"))
     apart = named.select("*", F.min("label").over(bucket).alias("low"), F.max("label").over(bucket).alias("high")).where("low < high").drop("low", "high")
     apart = stash(apart, "near-apart")
+    release(members)
     other = apart.select(F.col("h").alias("h2"), F.col("fp").alias("b"), F.col("size").alias("size2"), F.col("at").alias("at2"), F.col("label").alias("label2"))
     crossed = apart.join(other.hint("merge"), (apart["h"] == other["h2"]) & (F.col("fp") > F.col("b")) & (F.col("label") != F.col("label2")) & possible("size", "at", "size2", "at2"))
     crossed = crossed.select(F.col("fp").alias("a"), "b").distinct()
     crossed = stash(crossed.join(stars.hint("merge"), ["a", "b"], "left_anti"), "near-crossed")
-    return found.unionByName(similar(crossed, texts)) if crossed.limit(1).count() else found
+    release(apart)
+    return found.unionByName(similar(crossed, profiles, texts)) if crossed.limit(1).count() else found
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One row of each component of near copies."""
     spark = docs.sparkSession
     frequent = frequent_shingles(docs)
-    made = docs.select("doc_id", text_key(F.col("text")).alias("key"), prefixes(F.col("text"), frequent, spark).alias("s")).select("doc_id", "key", "s.*")
+    made = docs.select("doc_id", text_key(F.col("text")).alias("key"), F.xxhash64("text").alias("print"), prefixes(F.col("text"), frequent, spark).alias("s")).select("doc_id", "key", "print", "s.*")
     rows = stash(made, "near-rows")
-    sets = rows.groupBy("fp").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-    labels = stash(components(links(sets, docs.select("text"))), "near-labels")
+    labels = stash(components(links(rows, docs.select(F.xxhash64("text").alias("print"), "text"))), "near-labels")
     place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key")
     named = rows.select("doc_id", "key", "fp").join(labels.hint("merge"), F.col("fp") == F.col("node"), "left")
     tops = named.groupBy(F.coalesce("label", "fp").alias("label")).agg(F.min(place).alias("top"))

@@ -38,6 +38,13 @@ BUCKET_ROWS = 1024
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
+def majority(hashes: np.ndarray) -> int:
+    """Bits that are set in over half of the 64-bit hashes, unsigned."""
+    columns = np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8)
+    ones = np.concatenate([np.bincount(columns[:, k], minlength=256) @ _BITS for k in range(8)])
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: str | None) -> int:
     """The 64-bit SimHash, unsigned."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -50,9 +57,7 @@ def fingerprint(text: str | None) -> int:
     last = ends[min(SHINGLE, len(words)) - 1 :]
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist())), np.uint64, n)
-    columns = hashes.view(np.uint8).reshape(-1, 8)
-    ones = np.concatenate([np.bincount(columns[:, k], minlength=256) @ _BITS for k in range(8)])
-    return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
+    return majority(hashes)
 
 
 def fingerprint_of(text: Column) -> Column:

@@ -359,9 +359,9 @@ def deduplicate(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     kept_sha256 for each row of ``docs``."""
     own = docs.select("doc_id", "text", F.xxhash64("text").alias("print"))
     found = repeated_reaches(own, group_rows)
-    spans = found.groupBy(F.col("doc_id").alias("id_"), F.col("print").alias("print_")).agg(F.collect_list(F.struct("at", "before", "since")).alias("spans"))
+    spans = found.groupBy(F.col("doc_id").alias("id_"), F.col("print").alias("print_")).agg(F.collect_set(F.struct("at", "before", "since")).alias("spans"))
     spans = stash(spans, "suffix-spans")
-    # rows that repeat id and text share one entry, in which each span stands as often as the row
+    # rows that repeat id and text share one entry, in which each span stands once
     both = own.join(spans.hint("merge"), own["doc_id"].eqNullSafe(spans["id_"]) & (own["print"] == spans["print_"]), "left")
     finish = F.pandas_udf(_finish, "n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string")
     return both.select("doc_id", finish("text", "spans").alias("r")).select("doc_id", "r.*")

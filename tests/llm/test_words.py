@@ -194,3 +194,15 @@ def test_line_dedup_of_pairs(make):
 
 def test_hashes_are_of_the_kept_text():
     assert hashlib.sha256(b"").hexdigest()[:8] == "e3b0c442"
+
+
+def test_only_selected_lines_become_rows(make):
+    lines = [f"line {k * 7919 % 1000} of text" for k in range(1000)]
+    docs = make([(1, "\n".join(lines)), (2, "\n".join(["other", *lines[300:303], "lines", *lines[500:502]]))])
+    rows = docs.select("doc_id", "text", F.md5("text").alias("key"))
+    made = line_dedup.postings(rows).collect()
+    of = {d: {r["at"]: len(r["runs"]) for r in made if r["doc_id"] == d} for d in (1, 2)}
+    assert len(of[1]) < 700 and sum(of[1].values()) == 998 and min(of[1].values()) >= 1
+    one = {r["print"] for r in made if r["doc_id"] == 1}
+    assert any(r["print"] in one and 1 <= r["at"] <= 3 for r in made if r["doc_id"] == 2)
+    assert {r.doc_id: r.removed for r in line_dedup.mark(docs).collect()} == {1: [], 2: [1, 2, 3]}
