@@ -1,21 +1,25 @@
 """Operator 7, benchmark decontamination with training suffix arrays.
 
-The documents of a batch are cut into shards of bounded size. A shard's words become a
-suffix array, sorted on the first ten words of each suffix. Every suffix of the test
-items is binary-searched in each shard; the range it finds holds all locations, and
-runs of hits on one diagonal give the longest verbatim matches. The items are a stated
-query set: they are broadcast in blocks of at most ``BLOCK_BYTES`` of text, so any
-number of items is searched against all rows, and nothing is shuffled.
+The documents of a batch are cut into shards of bounded size, and the words of a shard become
+a suffix array in full order, by doubling: three words first, and then only what is still
+tied. The test items are a stated query set. Each distinct run of ten of their words (all
+words of a shorter item) is binary-searched in each shard; the range it finds holds every
+location. Where a document is hit, its suffixes are placed in the suffix array of the items,
+whose neighbours there give the longest verbatim match.
+
+Items go in blocks of about ``BLOCK_BYTES`` of text, hashed, of which the driver and the tasks
+hold one at a time. A single block is searched within the plan and nothing is shuffled;
+several are one pass each, whose hits are written to the shared folder and merged by text.
 
 Defined cases: a null or empty text has no words; an item without words is never found;
 an item with a null id counts as having the empty id; items that share an id are one
 item; repeated documents are judged alike; long documents are searched in overlapping
-shards; with no items nothing is contaminated.
+shards; words that repeat without end cost no pairs; with no items nothing is contaminated;
+a column name that is taken is lengthened.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,12 +29,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rolling
-from .common import free_name, table
+from .common import free_name, stash, table, text_key
 
 WINDOW = 10
 SHARD_BYTES = 2 << 20
-BLOCK_BYTES = 16 << 20
-_SPLIT = (4, 4, 2)
+BLOCK_BYTES = 8 << 20
+_RANK_BITS = 21  # three ranks make a key; a shard has fewer than 2**21 words
+_GAP, _ITEM_GAP = np.zeros(1, np.uint64), np.ones(1, np.uint64)  # no word's hash: matches cross neither
+_HITS = "n_words long, runs array<struct<start:int,end:int>>, items array<string>, longest long"
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -48,44 +54,76 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.concatenate(found) if found else np.empty(0, np.uint64)
 
 
-def _keys(words: np.ndarray) -> list[np.ndarray]:
-    """For each position, its next ten words as three sortable keys of 4, 4 and 2 words of 16 bits."""
-    short = np.zeros(len(words) + WINDOW, np.uint64)
-    short[: len(words)] = np.maximum(words >> np.uint64(48), np.uint64(1))
-    keys, at = [], 0
-    for n in _SPLIT:
-        key = np.zeros(len(words), np.uint64)
-        for k in range(at, at + n):
-            key = (key << np.uint64(16)) | short[k : k + len(words)]
-        keys.append(key)
-        at += n
-    return keys
-
-
 class SuffixArray:
-    """The suffixes of a run of words, sorted on their first ten words."""
+    """All suffixes of a run of words, in order of their words' hashes."""
 
     def __init__(self, words: np.ndarray):
         self.words = words
-        first, second, third = _keys(words)
-        order = np.argsort(first)
-        tied = np.zeros(len(order), bool)
-        same = first[order[1:]] == first[order[:-1]]
-        tied[1:] |= same
-        tied[:-1] |= same
-        at = np.flatnonzero(tied)
-        part = order[at]
-        order[at] = part[np.lexsort((third[part], second[part], first[part]))]
+        self.vocabulary, rank = np.unique(words, return_inverse=True)
+        n = len(words)
+        padded = np.zeros(n + WINDOW + 3, np.int64)
+        padded[:n] = rank + 1
+        bits = np.int64(_RANK_BITS)
+        self.keys = (padded[:-2] << (2 * bits)) | (padded[1:-1] << bits) | padded[2:]
+        order = np.argsort(self.keys[:n], kind="stable")
+        place = np.zeros(n + 1, np.int64)  # by position, the first place of its group, from 1
+        group = self._groups(self.keys[order])
+        place[order] = group + 1
+        depth = 3
+        while depth < n:
+            tied = np.zeros(n, bool)
+            same = group[1:] == group[:-1]
+            tied[1:] |= same
+            tied[:-1] |= same
+            at = np.flatnonzero(tied)
+            if not len(at):
+                break
+            part = order[at]
+            key = group[at] * np.int64(n + 1) + place[np.minimum(part + depth, n)]
+            sorting = np.argsort(key, kind="stable")
+            order[at] = part[sorting]
+            key = key[sorting]
+            start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            group[at] = np.repeat(at[start], np.diff(np.concatenate((start, [len(at)]))))
+            place[order[at]] = group[at] + 1
+            depth *= 2
         self.order = order
-        self.sorted = [k[order] for k in (first, second, third)]
+
+    @staticmethod
+    def _groups(keys: np.ndarray) -> np.ndarray:
+        """For sorted keys, the first place of each one's run."""
+        start = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.empty(0, bool)
+        return np.maximum.accumulate(np.where(start, np.arange(len(keys)), 0)) if len(keys) else np.empty(0, np.int64)
+
+    def find(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """windows: hashes, a row of n words for each. Rows that occur, and the first and the
+        last but one place of each in ``order``."""
+        if not len(self.order) or not len(windows):
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        n = windows.shape[1]
+        at = np.minimum(np.searchsorted(self.vocabulary, windows), len(self.vocabulary) - 1)
+        rows = np.flatnonzero((self.vocabulary[at] == windows).all(axis=1))
+        ranks = at[rows] + 1
+        low, high = [], []
+        for first in range(0, n, 3):
+            a, b = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+            for k in range(first, first + 3):
+                a = (a << _RANK_BITS) | (ranks[:, k] if k < n else 0)
+                b = (b << _RANK_BITS) | (ranks[:, k] if k < n else (1 << _RANK_BITS) - 1)
+            low.append(a)
+            high.append(b)
+        starts, ends = self._bound(low, False), self._bound(high, True)
+        met = ends > starts
+        return rows[met], starts[met], ends[met]
 
     def _bound(self, wanted: list[np.ndarray], after: bool) -> np.ndarray:
         low, high = np.zeros(len(wanted[0]), np.int64), np.full(len(wanted[0]), len(self.order), np.int64)
         while (busy := low < high).any():
             mid = np.where(busy, (low + high) // 2, 0)
+            spot = self.order[mid]
             less, equal = np.zeros(len(low), bool), np.ones(len(low), bool)
-            for mine, theirs in zip(self.sorted, wanted):
-                got = mine[mid]
+            for k, theirs in enumerate(wanted):
+                got = self.keys[np.minimum(spot + 3 * k, len(self.keys) - 1)]
                 less |= equal & (got < theirs)
                 equal &= got == theirs
             right = busy & (less | (equal & after))
@@ -93,62 +131,82 @@ class SuffixArray:
             high = np.where(busy & ~right, mid, high)
         return low
 
-    def find(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """windows: hashes, one row of n words each. All (row, position) at which they occur."""
-        if not len(self.order) or not len(windows):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        n = windows.shape[1]
-        low, high, at = [], [], 0
-        for size in _SPLIT:
-            a, b = np.zeros(len(windows), np.uint64), np.zeros(len(windows), np.uint64)
-            for k in range(at, at + size):
-                word = np.maximum(windows[:, k] >> np.uint64(48), np.uint64(1)) if k < n else None
-                a = (a << np.uint64(16)) | (word if k < n else np.uint64(0))
-                b = (b << np.uint64(16)) | (word if k < n else np.uint64(0xFFFF))
-            low.append(a)
-            high.append(b)
-            at += size
-        starts, ends = self._bound(low, False), self._bound(high, True)
-        counts = ends - starts
-        rows = np.repeat(np.arange(len(windows)), counts)
-        ranks = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(starts, counts)
-        places = self.order[ranks]
-        right = places + n <= len(self.words)
-        rows, places = rows[right], places[right]
-        for k in range(n):  # the keys hold 16 bits of each word; here all 64 are compared
-            same = self.words[places + k] == windows[rows, k]
-            rows, places = rows[same], places[same]
-        return rows, places
+
+def _sums(words: np.ndarray) -> np.ndarray:
+    """Sums from which spans of words are compared in one step, as of bytes in ``rolling``."""
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(rolling.mix(words) * rolling.power("up", len(words) + 1)[: len(words)], out=sums[1:])
+    return sums
+
+
+def _shared(sums_a: np.ndarray, a: np.ndarray, sums_b: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many words the suffixes at a and b share from their start on, for each pair."""
+    down = rolling.power("down", max(len(sums_a), len(sums_b)))
+    low, high = np.zeros(len(a), np.int64), np.minimum(len(sums_a) - 1 - a, len(sums_b) - 1 - b)
+    while (busy := low < high).any():
+        mid = np.where(busy, (low + high + 1) // 2, low)
+        same = (sums_a[a + mid] - sums_a[a]) * down[a] == (sums_b[b + mid] - sums_b[b]) * down[b]
+        low = np.where(busy & same, mid, low)
+        high = np.where(busy & ~same, mid - 1, high)
+    return low
 
 
 class Queries:
-    """The test items' suffixes, by length of their window."""
+    """The distinct windows of a block of test items, the items of each, and the items' suffixes."""
 
     def __init__(self, items: list[tuple[str, str | None]]):
         self.ids = sorted({name for name, _ in items})
         place = {name: k for k, name in enumerate(self.ids)}
-        rows = defaultdict(list)
-        for number, (name, text) in enumerate(items):
+        parts, starts, owners, at = [np.empty(0, np.uint64)], {}, {}, 0
+        for name, text in items:
             words = word_hashes(text)
             n = min(WINDOW, len(words))
-            for at in range(len(words) - n + 1 if n else 0):
-                rows[n].append((words[at : at + n], place[name], number, at))
-        self.windows = [(np.array([r[0] for r in found]), *(np.array([r[k] for r in found], np.int64) for k in (1, 2, 3))) for found in rows.values()]
+            if n:
+                starts.setdefault(n, []).append(np.arange(at, at + len(words) - n + 1))
+                owners.setdefault(n, []).append(np.full(len(words) - n + 1, place[name]))
+                parts += [words, _ITEM_GAP]
+                at += len(words) + 1
+        self.words = np.concatenate(parts)
+        self.windows = []  # length, first words of the distinct windows, and the items of each from .. to
+        for n, found in starts.items():
+            first, owner = np.concatenate(found), np.concatenate(owners[n])
+            one, two = rolling.combine(self.words, n), rolling.combine(rolling.mix(self.words), n)
+            _, kept, which = np.unique(np.stack((one[first], two[first]), axis=1), axis=0, return_index=True, return_inverse=True)
+            pairs = np.unique(which.ravel() * len(self.ids) + owner)
+            edges = np.searchsorted(pairs // len(self.ids), np.arange(len(kept) + 1))
+            self.windows.append((n, first[kept], edges, pairs % len(self.ids)))
+        self.order, self.sums = SuffixArray(self.words).order, _sums(self.words)
+
+    def longest(self, words: np.ndarray, at: np.ndarray) -> int:
+        """The longest match of any suffix of ``words`` that starts at one of these places."""
+        sums = _sums(words)
+        low, high = np.zeros(len(at), np.int64), np.full(len(at), len(self.order), np.int64)
+        best = 0
+        while (busy := low < high).any():
+            mid = np.where(busy, (low + high) // 2, 0)
+            spot = self.order[mid]
+            same = _shared(sums, at, self.sums, spot)
+            best = max(best, int(same[busy].max()))
+            mine, theirs = at + same, spot + same
+            ended = (mine >= len(words)) | (theirs >= len(self.words))
+            a, b = words[np.minimum(mine, len(words) - 1)], self.words[np.minimum(theirs, len(self.words) - 1)]
+            right = busy & np.where(ended, theirs >= len(self.words), b < a)
+            low = np.where(right, mid + 1, low)
+            high = np.where(busy & ~right, mid, high)
+        return best
 
 
-def _shards(texts: list[str | None]) -> Iterator[tuple[np.ndarray, list[tuple[int, int, int, int]]]]:
+def _shards(texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, list[tuple[int, int, int, int]]]]:
     """Runs of words of bounded length with, for each document in it, (row, first word in
     the document, start in the run, end). A document that is cut overlaps by a window."""
     most = SHARD_BYTES // 4
     words: list[np.ndarray] = []
     spans: list[tuple[int, int, int, int]] = []
     filled = 0
-    gap = np.zeros(1, np.uint64)  # no word's hash: matches never cross documents
-    for row, text in enumerate(texts):
-        own = word_hashes(text)
+    for row, own in enumerate(texts):
         for at in range(0, max(len(own) - WINDOW + 1, min(len(own), 1)), most):
             piece = own[at : at + most + WINDOW - 1]
-            words += [piece, gap]
+            words += [piece, _GAP]
             spans.append((row, at, filled, filled + len(piece)))
             filled += len(piece) + 1
             if filled >= most:
@@ -158,89 +216,118 @@ def _shards(texts: list[str | None]) -> Iterator[tuple[np.ndarray, list[tuple[in
         yield np.concatenate(words), spans
 
 
-def search(queries: Queries, texts: list[str | None]) -> list[tuple[int, np.ndarray, set[int], int]]:
-    """For each text: number of words, hit words (numbers), items found, longest match in words."""
-    found = [[0, [], set(), 0] for _ in texts]
-    for words, spans in _shards(texts):
-        array = SuffixArray(words)
-        starts = np.array([s[2] for s in spans])
-        for row, at, start, end in spans:
-            found[row][0] = max(found[row][0], at + end - start)
-        for windows, item, number, offset in queries.windows:
-            rows, places = array.find(windows)
-            if not len(rows):
+def _unions(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
+    """The maximal runs that intervals make up."""
+    runs: list[tuple[int, int]] = []
+    for a, b in sorted(zip(starts.tolist(), ends.tolist())):
+        if runs and a <= runs[-1][1]:
+            runs[-1] = (runs[-1][0], max(b, runs[-1][1]))
+        else:
+            runs.append((a, b))
+    return runs
+
+
+def search(queries: Queries, texts: list[str | None]) -> list[tuple[int, list[tuple[int, int]], list[str], int]]:
+    """For each text: number of words, runs of hit words, items found (ids), longest match in words."""
+    words = [word_hashes(x) for x in texts]
+    starts: dict[int, list[np.ndarray]] = {}
+    ends: dict[int, list[np.ndarray]] = {}
+    items: dict[int, set[int]] = {}
+    for run, spans in _shards(words) if queries.windows else ():
+        array = SuffixArray(run)
+        row_of, first_of, begin = (np.array([s[k] for s in spans]) for k in (0, 1, 2))
+        for n, first, edges, owners in queries.windows:
+            which, low, high = array.find(queries.words[first[:, None] + np.arange(n)])
+            if not len(which):
                 continue
-            n = windows.shape[1]
-            order = np.lexsort((places, places - offset[rows], number[rows]))
-            rows, places = rows[order], places[order]
-            step = (np.diff(places) == 1) & (np.diff(offset[rows]) == 1) & (np.diff(number[rows]) == 0)
-            begins = np.concatenate(([0], np.flatnonzero(~step) + 1))
-            lengths = np.diff(np.concatenate((begins, [len(rows)])))
-            for b, length in zip(begins, lengths):
-                row, at, start, _ = spans[np.searchsorted(starts, places[b], "right") - 1]
-                first = at + places[b] - start
-                found[row][1].append((first, first + length + n - 1))
-                found[row][2].add(int(item[rows[b]]))
-                found[row][3] = max(found[row][3], int(length) + n - 1)
+            counts = high - low
+            ranks = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(low, counts)
+            places = array.order[ranks]
+            span = np.searchsorted(begin, places, "right") - 1
+            own = places - begin[span] + first_of[span]
+            met = np.unique(row_of[span] * np.int64(len(first)) + np.repeat(which, counts))
+            for row, window in zip((met // len(first)).tolist(), (met % len(first)).tolist()):
+                items.setdefault(row, set()).update(owners[edges[window] : edges[window + 1]].tolist())
+            by_row = np.argsort(row_of[span], kind="stable")
+            rows, cuts = np.unique(row_of[span][by_row], return_index=True)
+            for row, part in zip(rows.tolist(), np.split(own[by_row], cuts[1:])):
+                starts.setdefault(row, []).append(part)
+                ends.setdefault(row, []).append(part + n)
     out = []
-    for n_words, hits, items, longest in found:
-        mark = np.zeros(n_words + 1, np.int64)
-        for a, b in hits:
-            mark[a] += 1
-            mark[b] -= 1
-        out.append((n_words, np.flatnonzero(np.cumsum(mark[:-1]) > 0), items, longest))
+    for row, own in enumerate(words):
+        if row in items:
+            a, b = np.concatenate(starts[row]), np.concatenate(ends[row])
+            out.append((len(own), _unions(a, b), [queries.ids[i] for i in sorted(items[row])], queries.longest(own, np.unique(a))))
+        else:
+            out.append((len(own), [], [], 0))
     return out
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, str | None]]]:
-    """The items in blocks of bounded size, in order; the driver holds one block at a time."""
-    block, held = [], 0
-    for r in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), "text").sort("i").toLocalIterator():
-        block.append((r["i"], r["text"]))
-        held += len(r["text"] or "")
-        if held >= BLOCK_BYTES:
-            yield block
-            block, held = [], 0
-    if block:
-        yield block
-
-
 def _looker(shared: Broadcast):
-    @F.pandas_udf("n_words long, hits array<int>, items array<string>, longest long")
+    @F.pandas_udf(_HITS)
     def look(texts: pd.Series) -> pd.DataFrame:
-        queries = shared.value
-        rows = [(n, hits, sorted(queries.ids[i] for i in items), longest) for n, hits, items, longest in search(queries, list(texts))]
-        return pd.DataFrame(rows, columns=["n_words", "hits", "items", "longest"])
+        return pd.DataFrame(search(shared.value, list(texts)), columns=["n_words", "runs", "items", "longest"])
 
     return look
 
 
-def match(docs: DataFrame, benchmark: DataFrame, name: str = "leak") -> DataFrame:
-    """``docs`` with a struct column ``name``: n_words, n_hit, items (ids as text, sorted),
-    longest_match, contaminated. Hits of several blocks of items are merged."""
+def _merged(runs: pd.Series) -> pd.Series:
+    return pd.Series([_unions(np.array([r["start"] for r in x]), np.array([r["end"] for r in x])) for x in runs], dtype=object)
+
+
+def _searched(docs: DataFrame, benchmark: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a struct column of _HITS."""
     spark = docs.sparkSession
-    parts = []
-    made = docs
-    for k, block in enumerate([list(b) for b in _blocks(benchmark)] or [[]]):
-        look = _looker(spark.sparkContext.broadcast(Queries(block)))
-        parts.append(free_name(made, f"leak_part{k}"))
-        made = made.withColumn(parts[-1], look(docs["text"]))
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), "text")
+    blocks = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))
+
+    def block(k: int) -> Broadcast:
+        mine = items.where(F.pmod(F.xxhash64("i", "text"), F.lit(blocks)) == k)
+        return spark.sparkContext.broadcast(Queries([(r["i"], r["text"]) for r in mine.toLocalIterator()]))
+
+    if blocks == 1:
+        return docs.withColumn(name, _looker(block(0))(docs["text"]))
+    passes = []
+    for k in range(blocks):
+        shared = block(k)
+        found = docs.select(text_key(docs["text"]).alias("key"), _looker(shared)(docs["text"]).alias("f"))
+        passes.append(stash(found.where(F.size("f.items") > 0).groupBy("key").agg(F.any_value("f").alias("f")), f"leak-block{k}"))
+        shared.destroy()
+    every = passes[0]
+    for more in passes[1:]:
+        every = every.unionByName(more)
+    merge = F.pandas_udf(_merged, "array<struct<start:int,end:int>>")
+    every = every.groupBy("key").agg(F.max("f.n_words").alias("n_words"), F.flatten(F.collect_list("f.runs")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("f.items")))).alias("items"), F.max("f.longest").alias("longest"))
+    key = free_name(docs, "leak_key")
+    every = stash(every.select(F.col("key").alias(key), F.struct("n_words", merge("runs").alias("runs"), "items", "longest").alias(name)), "leak-merged")
+    words = F.coalesce(F.regexp_count(docs["text"], F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+")), F.lit(0)).cast("long")
+    none = F.struct(words.alias("n_words"), F.array().cast("array<struct<start:int,end:int>>").alias("runs"), F.array().cast("array<string>").alias("items"), F.lit(0).cast("long").alias("longest"))
+    return docs.join(every.hint("merge"), text_key(docs["text"]) == every[key], "left").withColumn(name, F.coalesce(F.col(name), none)).drop(key)
 
-    def merged(field: str) -> Column:
-        return F.array_distinct(F.flatten(F.array(*[F.col(f"{p}.{field}") for p in parts]))) if len(parts) > 1 else F.col(f"{parts[0]}.{field}")
 
-    n_hit = F.size(merged("hits")).cast("long")
-    longest = F.array_max(F.array(*[F.col(f"{p}.longest") for p in parts]))
-    leak = F.struct(F.col(f"{parts[0]}.n_words").alias("n_words"), n_hit.alias("n_hit"), F.array_sort(merged("items")).alias("items"), longest.alias("longest_match"), (n_hit > 0).alias("contaminated"))
-    return made.withColumn(name, leak).drop(*parts)
+def match(docs: DataFrame, benchmark: DataFrame, name: str = "leak") -> DataFrame:
+    """``docs`` with a last struct column, named so or longer: n_words, n_hit, items (ids as
+    text, sorted), longest_match in words, locations (runs of hit words), contaminated."""
+    name = free_name(docs, name)
+    hits = F.aggregate(F.col(f"{name}.runs"), F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["start"])
+    leak = F.struct(
+        F.col(f"{name}.n_words").alias("n_words"),
+        hits.alias("n_hit"),
+        F.col(f"{name}.items").alias("items"),
+        F.col(f"{name}.longest").alias("longest_match"),
+        F.col(f"{name}.runs").alias("locations"),
+        (F.size(f"{name}.runs") > 0).alias("contaminated"),
+    )
+    return _searched(docs, benchmark, name).withColumn(name, leak)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a window of any item."""
-    name = free_name(docs, "leak")
-    return match(docs, benchmark, name).where(~F.col(f"{name}.contaminated")).drop(name)
+    found = match(docs, benchmark)
+    name = found.columns[-1]
+    return found.where(~F.col(f"{name}.contaminated")).drop(name)
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = match(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "leak.n_words", "leak.n_hit", F.size("leak.items").cast("long").alias("n_items"), F.sha2(F.array_join("leak.items", ","), 256).alias("items_sha256"), "leak.contaminated", "leak.longest_match")
+    return found.select("doc_id", "leak.n_words", "leak.n_hit", F.size("leak.items").cast("long").alias("n_items"), F.sha2(F.array_join("leak.items", ","), 256).alias("items_sha256"), "leak.contaminated", "leak.longest_match", "leak.locations")

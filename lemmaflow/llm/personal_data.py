@@ -1,26 +1,27 @@
 """Operator 5, personal data: base patterns and bootstrapped contextual extraction, in SQL functions only.
 
-The base matches seed the bootstrap. Every identifier-like token (a token that holds a
-run of four digits or an at-sign) is an instance; the word before it, digits and
-punctuation folded, is its lexical pattern. Spark scores the graph of patterns and
-instances in rounds: a pattern is as sure as the mean of its instances, smoothed for
-rare ones; an instance that no seed names is as sure as its best pattern. Instances
-whose best pattern ends at ``LEAST_SCORE`` or more give extra spans of kind ``context``
-where they do not touch a base span.
-
-Defined cases: null and empty texts have no span; a token at the start of a text has no
+The base matches seed the bootstrap. Every identifier-like token (one with four digits or an
+at-sign) is an instance. Its lexical patterns are the words around it, digits and punctuation
+folded: one, two and three before it, one and two after it, and one on both sides. Spark scores
+the graph of patterns and instances in rounds: a pattern is as sure as the mean of its distinct
+instances, held down while it has few; an instance that no seed names is as sure as its best
+pattern if that reaches ``LEAST_SCORE``. Instances that a pattern of that score names in the end
+give extra spans of kind ``context`` where they do not touch a base span.
+
+Defined cases: null and empty texts have no span; a token without words around it has no
 pattern and is only found by the base patterns; equal texts enter the graph once, so
 copies add no weight; repeated rows and null ids each give a row; long texts are read
-whole; with no seed at all no pattern is sure and nothing is added.
+whole, in time in proportion to their length; with no seed at all no pattern is sure and nothing is added.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import stash, table, text_key
-from .spans import by_kind, joined, labelled, no_spans, spans
+from .spans import by_kind, joined, labelled, let, no_spans, spans
 
 ROUNDS = 3
 LEAST_SCORE = 0.6
@@ -67,21 +68,44 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def context_tokens(text: Column) -> Column:
-    """Identifier-like tokens with the folded word before them: (start, end, instance, pattern)."""
-    pairs = r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++)[\x20\x09-\x0D]++(?=[^\x20\x09-\x0D]*?(?:[0-9]{4}|@))(?=([^\x20\x09-\x0D]++))"
-    found = spans(text, pairs)
-    before = F.regexp_extract_all(text, F.lit(pairs), F.lit(1))
-    token = F.regexp_extract_all(text, F.lit(pairs), F.lit(2))
-
-    def row(x: Column, i: Column) -> Column:
-        word, own = F.element_at(before, (i + 1).cast("int")), F.element_at(token, (i + 1).cast("int"))
-        bare = F.regexp_replace(own, "[^A-Za-z0-9]+$", "")
-        folded = F.lower(F.regexp_replace(F.regexp_replace(word, "[0-9]+", "0"), r"[^\p{L}0:=@#]", ""))
-        return F.struct(x["end"].alias("start"), (x["end"] + F.length(bare)).alias("end"), F.lower(bare).alias("instance"), folded.alias("pattern"))
-
-    likely = F.regexp_like(text, F.lit("[0-9]{4}|@"))
-    kind = "array<struct<start:bigint,end:bigint,instance:string,pattern:string>>"
-    return F.when(likely, F.filter(F.transform(found, row), lambda x: (F.length(x["instance"]) >= 6) & (F.length(x["pattern"]) > 0))).otherwise(F.array().cast(kind))
+    """Identifier-like tokens with the patterns around them: (start, end, instance, patterns)."""
+    kind = "array<struct<start:bigint,end:bigint,instance:string,patterns:array<string>>>"
+    four = r"(?:[0-9][^0-9\x20\x09-\x0D]*+){4}|@"
+
+    def fold(x: Column) -> Column:
+        return F.lower(F.regexp_replace(F.regexp_replace(x["found"], "[0-9]+", "0"), r"[^\p{L}0:=@#]", ""))
+
+    def of_words(words: Column) -> Column:
+        def of_folded(folded: Column) -> Column:
+            def row(i: Column) -> Column:
+                own = F.get(words, i)
+                after = F.regexp_replace(own["found"], "^[^A-Za-z0-9]++", "")
+                bare = F.regexp_replace(after, r"(?<=[A-Za-z0-9])[^A-Za-z0-9]++\z", "")
+                start = own["end"] - F.length(after)
+                near = {k: F.nullif(F.get(folded, i + k), F.lit("")) for k in (-3, -2, -1, 1, 2)}
+                patterns = [F.concat(F.lit("< "), near[-1]), F.concat(F.lit("<< "), near[-2], F.lit(" "), near[-1]), F.concat(F.lit("<<< "), near[-3], F.lit(" "), near[-2], F.lit(" "), near[-1])]
+                patterns += [F.concat(F.lit("> "), near[1]), F.concat(F.lit(">> "), near[1], F.lit(" "), near[2]), F.concat(F.lit("<> "), near[-1], F.lit(" "), near[1])]
+                return F.struct(start.alias("start"), (start + F.length(bare)).alias("end"), F.lower(bare).alias("instance"), F.array_compact(F.array(*patterns)).alias("patterns"))
+
+            places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.regexp_like(F.get(words, i)["found"], F.lit(four)))
+            return F.filter(F.transform(places, row), lambda x: (F.length(x["instance"]) >= 6) & (F.size(x["patterns"]) > 0))
+
+        return F.when(F.size(words) > 0, let(F.transform(words, fold), of_folded)).otherwise(F.array().cast(kind))
+
+    return F.when(F.regexp_like(text, F.lit(four)), let(spans(text, _TOKEN), of_words)).otherwise(F.array().cast(kind))
+
+
+def judged_tokens(once: DataFrame) -> DataFrame:
+    """once: (key, tokens, and the base spans of each kind). (key, t, seed): the tokens, and
+    whether each touches a base span, by the furthest end of those that start before its own end."""
+    base = once.select("key", F.explode(F.concat(*[F.transform(k, lambda x: F.struct(x["start"].alias("s"), x["end"].alias("e"))) for k in KINDS])).alias("b"))
+    tokens = once.select("key", F.explode("tokens").alias("t"))
+    none = F.lit(None).cast(tokens.schema["t"].dataType)
+    both = tokens.select("key", F.col("t.end").alias("pos"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("reach"), "t")
+    both = both.unionByName(base.select("key", F.col("b.s").alias("pos"), F.lit(1).alias("kind"), F.col("b.e").alias("reach"), none.alias("t")))
+    before = W.partitionBy("key").orderBy("pos", "kind").rowsBetween(W.unboundedPreceding, W.currentRow)
+    both = both.withColumn("furthest", F.max("reach").over(before)).where("kind = 0")
+    return both.select("key", "t", F.coalesce(F.col("furthest") > F.col("t.start"), F.lit(False)).alias("seed"))
 
 
 def pattern_scores(edges: DataFrame) -> DataFrame:
@@ -106,13 +130,11 @@ def extract(docs: DataFrame) -> DataFrame:
     every = stash(rows.select("doc_id", "key", *base, context_tokens(F.col("text")).alias("tokens")), "pii-rows")
 
     once = every.where(F.size("tokens") > 0).groupBy("key").agg(*[F.any_value(c).alias(c) for c in (*KINDS, "tokens")])
-    flat = F.concat(*[F.transform(k, lambda x: F.struct(x["start"].alias("s"), x["end"].alias("e"))) for k in KINDS])
-    seen = once.withColumn("base", flat).select("key", "base", F.explode("tokens").alias("t"))
-    touched = F.exists("base", lambda b: (b["s"] < F.col("t.end")) & (b["e"] > F.col("t.start")))
-    tokens = stash(seen.select("key", "t.start", "t.end", "t.instance", "t.pattern", touched.alias("seed")), "pii-tokens")
-    edges = stash(tokens.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pii-edges")
+    tokens = stash(judged_tokens(stash(once, "pii-once")).select("key", "t.*", "seed"), "pii-tokens")
+    named = tokens.select("key", "start", "end", "instance", "seed", F.explode("patterns").alias("pattern"))
+    edges = stash(named.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pii-edges")
     good = stash(pattern_scores(edges).where(F.col("score") >= LEAST_SCORE).select(F.col("pattern").alias("p")), "pii-good")
-    fresh = tokens.where(~F.col("seed"))
+    fresh = named.where(~F.col("seed"))
     added = fresh.join(good.hint("merge"), fresh["pattern"] == good["p"]).groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("more"))
     added = stash(added.select(F.col("key").alias("k"), "more"), "pii-added")
     out = every.join(added.hint("merge"), every["key"] == added["k"], "left")

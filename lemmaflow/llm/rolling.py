@@ -19,7 +19,8 @@ NOT_SPACE = np.array([b not in (9, 10, 11, 12, 13, 32) for b in range(256)])
 ALNUM = np.array([b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 for b in range(256)])
 
 
-def _power(kind: str, n: int) -> np.ndarray:
+def power(kind: str, n: int) -> np.ndarray:
+    """At least the first n powers of the base ("up") or of its inverse ("down")."""
     if len(_powers[kind]) < n:
         steps = np.full(max(n, 1 << 16), _BASE if kind == "up" else _INVERSE, np.uint64)
         steps[0] = 1
@@ -37,13 +38,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 def prefix_sums(data: np.ndarray) -> np.ndarray:
     """data: uint8. Sums for span_hashes(), one more than there are bytes."""
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_VALUES[data] * _power("up", len(data))[: len(data)], out=sums[1:])
+    np.cumsum(_VALUES[data] * power("up", len(data))[: len(data)], out=sums[1:])
     return sums
 
 
 def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of data[start:end] for each pair; equal spans have equal hashes."""
-    raw = (sums[ends] - sums[starts]) * _power("down", len(sums))[starts]
+    raw = (sums[ends] - sums[starts]) * power("down", len(sums))[starts]
     return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -52,7 +53,7 @@ def gram_hashes(sums: np.ndarray, size: int) -> np.ndarray:
     n = len(sums) - 1 - size + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    return mix((sums[size:] - sums[:n]) * _power("down", len(sums))[:n])
+    return mix((sums[size:] - sums[:n]) * power("down", len(sums))[:n])
 
 
 def word_bounds(data: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -1,9 +1,10 @@
 """Operator 4, secret scan with a trigram inverted index, in SQL functions only.
 
 Every rule's regular expression is turned into a Boolean trigram query: a list of
-alternatives, each a set of trigrams that any match must contain in lower case. An
-inverted index over the trigrams that occur in queries maps each of them to the texts
-that hold it; intersecting the postings of an alternative gives its candidates, and
+alternatives, each a set of trigrams that any match must contain in lower case. One pass over
+the texts, with an expression that steps through the queries' trigrams as a tree, gives an
+inverted index that maps each of these trigrams to the texts that hold it; it can be kept, and
+``candidates`` takes one again for any rules whose trigrams it covers. Intersecting the postings of an alternative gives its candidates, and
 only these are verified with the expression. A rule without a mandatory trigram scans
 all texts. Rules differ only in how few texts they read, never in what they find.
 
@@ -14,6 +15,7 @@ length is scanned whole; a rule that has more than 16 alternatives scans all tex
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from re import _constants as sre
 from re import _parser
@@ -88,16 +90,35 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
     return sorted((a for a in sets if not any(b < a for b in sets)), key=sorted)
 
 
-def candidates(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+def query_grams(rules: tuple[Rule, ...]) -> list[str]:
+    """The trigrams of all queries of the rules."""
+    return sorted({g for rule in rules for alt in trigram_query(rule.pattern) for g in alt})
+
+
+def _tree(grams: list[str]) -> str:
+    """An expression that matches any of the strings, which share no end; common starts once."""
+    heads: dict[str, list[str]] = {}
+    for g in grams:
+        heads.setdefault(g[0], []).append(g[1:])
+    parts = [re.escape(h) + (_tree(rest) if rest[0] else "") for h, rest in sorted(heads.items())]
+    return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+
+def index(texts: DataFrame, grams: list[str]) -> DataFrame:
+    """texts: (key, text). Postings (gram, key): the texts that hold each trigram in lower case."""
+    firsts = "".join(re.escape(c) for c in sorted({g[0] for g in grams}))
+    found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"(?=[{firsts}])(?=({_tree(grams)}))"), F.lit(1)))
+    return texts.select("key", F.explode(found).alias("gram")).distinct()
+
+
+def candidates(texts: DataFrame, rules: tuple[Rule, ...], postings: DataFrame | None = None) -> DataFrame:
     """texts: (key, text). Returns (key, rules): numbers of the rules whose query a text satisfies."""
     queries = [(n, k, sorted(alt)) for n, rule in enumerate(rules) for k, alt in enumerate(trigram_query(rule.pattern))]
-    grams = sorted({g for _, _, alt in queries for g in alt})
     spark = texts.sparkSession
-    if not grams:
+    if not queries:
         return spark.createDataFrame([], "key binary, rules array<int>")
-    lower = F.lower("text")
-    held = F.filter(F.array(*[F.when(F.contains(lower, F.lit(g)), F.lit(g)) for g in grams]), lambda g: g.isNotNull())
-    postings = stash(texts.select("key", held.alias("held")).where(F.size("held") > 0).select("key", F.explode("held").alias("gram")).distinct(), "secret-postings")
+    if postings is None:
+        postings = stash(index(texts, query_grams(rules)), "secret-postings")
     wanted = spark.createDataFrame([(g, n, k, len(alt)) for n, k, alt in queries for g in alt], "gram string, rule int, alternative int, needed long")
     met = postings.join(F.broadcast(wanted), "gram").groupBy("key", "rule", "alternative", "needed").agg(F.count("*").alias("n")).where(F.col("n") == F.col("needed"))
     return met.groupBy("key").agg(F.array_sort(F.collect_set("rule")).alias("rules"))

@@ -9,14 +9,20 @@ Every record is judged alone and nothing is shuffled.
 
 Records are rows (record_type, record_id, refers_to, target_uri, date, content_type,
 headers: all WARC headers in order, block). write_warc() and read_warc() exchange them with
-WARC/1.1 files: a record's end followed by the next one's version line is the separator
-of Spark's text source, so large files are split among tasks.
+WARC files. A record's end followed by the next one's version is the separator of Spark's text
+source, so large files are split among tasks and no file is held whole; a block that
+holds such bytes itself is put together again by its Content-Length, and blocks stay bytes.
+Versions 1.0 and 1.1 are read, 1.1 is written.
 
 Defined cases: a null page or block is an empty one and still gives both records; a
-record without target has no such header; other record types give no derivatives; bytes
-that are not UTF-8 become replacement characters; malformed markup never fails, and an
-unclosed script, style or comment runs to the end; ids come from the source's id, so
-repeated rows give repeated records.
+record without target has no such header; other record types give no derivatives; a body is
+decoded by the charset it names, or as UTF-8 if that is unknown or no charset of text, and bytes
+that don't fit become replacement characters; malformed markup never fails and is read in
+one pass, and an unclosed tag, script, style or comment runs to the end; ids come from the
+source's id, so repeated rows give repeated records. Reading: a record without the blank line
+after its headers has an empty block; one that ends before its length is there is not
+``complete``, and that goes too for a block with a separator in it that two splits of one
+uncompressed file share.
 """
 
 from __future__ import annotations
@@ -41,7 +47,10 @@ RECORD = (
 )
 _DATE = "1970-01-01T00:00:00Z"
 _VERSION = "WARC/1.1"
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
+#: the inside of a tag; quotes count only after an equals sign, and every repeat gives nothing
+#: back, so that a text is read in one pass
+_INSIDE = r"""((?:[^>=]++|=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))?+)*+)(?:>|\Z)"""
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style|template)(?=[\s/>]){_INSIDE}.*?(?:</\1\s*>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*+){_INSIDE}|<[!?][^>]*+(?:>|\Z)", re.S | re.I)
 _HREF = re.compile(r"""\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 #: elements that end a line of text
 _BLOCKS = frozenset("address article aside blockquote br caption dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol option p pre section table tbody td tfoot th thead title tr ul".split())
@@ -65,9 +74,9 @@ def page_parts(source: str, base: str | None) -> tuple[str, str, list[dict]]:
     for m in _TOKEN.finditer(source):
         pieces.append(html.unescape(source[at : m.start()]).replace("\r", " ").replace("\n", " "))
         at = m.end()
-        name = (m[3] or "").lower()
+        name = (m[4] or "").lower()
         if name == "title":
-            if not m[2]:
+            if not m[3]:
                 in_title = len(pieces)
             elif in_title is not None and title is None:
                 title = "".join(pieces[in_title:])
@@ -75,7 +84,7 @@ def page_parts(source: str, base: str | None) -> tuple[str, str, list[dict]]:
             if opened is not None:
                 links.append({"url": opened[0], "text": " ".join("".join(pieces[opened[1] :]).split())})
                 opened = None
-            if not m[2] and (ref := _HREF.search(m[4])):
+            if not m[3] and (ref := _HREF.search(m[5])):
                 target = html.unescape(next(x for x in ref.groups() if x is not None)).strip()
                 try:
                     target = urljoin(base or "", target)
@@ -100,15 +109,15 @@ def http_parts(block: bytes) -> tuple[str, list[list[str]], bytes]:
     return status, [[k.strip(), v.strip()] for k, _, v in (line.partition(":") for line in lines)], body
 
 
-def _charset(headers: list[list[str]]) -> str:
+def decoded(body: bytes, headers: list[list[str]]) -> str:
+    """The body as text, by the charset of its headers if that is one."""
     for name, value in headers:
         if name.lower() == "content-type" and (m := re.search(r"charset=[\"']?([\w.:-]+)", value)):
             try:
-                "".encode(m[1])
-                return m[1]
-            except LookupError:
+                return body.decode(m[1], "replace")
+            except (LookupError, ValueError):  # no charset of text, or one that can't replace
                 break
-    return "utf-8"
+    return body.decode("utf-8", "replace")
 
 
 def _derive(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -117,7 +126,7 @@ def _derive(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for r in batch.itertuples():
             block = r.block or b""
             status, http, body = http_parts(block)
-            title, text, links = page_parts(body.decode(_charset(http), "replace"), r.target_uri)
+            title, text, links = page_parts(decoded(body, http), r.target_uri)
             plain, payload = text.encode("utf-8", "surrogatepass"), sha1_digest(body)
             source = [[h["name"], h["value"]] for h in (() if r.headers is None else r.headers)]
             about = {
@@ -163,31 +172,75 @@ def responses(pages: DataFrame) -> DataFrame:
 
 
 def write_warc(records: DataFrame, path: str) -> None:
-    """Write records as uncompressed WARC files, one for each partition."""
-    lines = F.transform("headers", lambda h: F.concat(h["name"], F.lit(": "), h["value"]))
+    """Write records as uncompressed WARC files, one for each partition. Content-Length is
+    written as the block's own length."""
+    block = F.coalesce("block", F.lit(b""))
+    own = F.filter("headers", lambda h: F.lower(h["name"]) != "content-length")
+    lines = F.concat(F.transform(own, lambda h: F.concat(h["name"], F.lit(": "), h["value"])), F.array(F.concat(F.lit("Content-Length: "), F.octet_length(block))))
     head = F.concat(F.lit(f"{_VERSION}\r\n"), F.array_join(lines, "\r\n"), F.lit("\r\n\r\n"))
-    rows = records.select(F.concat(F.encode(head, "UTF-8"), F.coalesce("block", F.lit(b""))).cast("string").alias("value"))
-    rows.write.option("lineSep", "\r\n\r\n").text(path)
+    rows = records.select(F.concat(F.encode(head, "UTF-8"), block).cast("string").alias("value"))
+    rows.write.option("lineSep", _END.decode()).text(path)
+
+
+_END = b"\r\n\r\n"
+_CUT = _END + b"WARC/1."
+_READ = RECORD + ", complete boolean"
+_NAMED = {"record_type": "warc-type", "record_id": "warc-record-id", "refers_to": "warc-refers-to", "target_uri": "warc-target-uri", "date": "warc-date", "content_type": "content-type"}
+
+
+def _head(piece: bytes) -> tuple[list[dict], int, int | None]:
+    """Headers of a record, where its block starts, and how long it should be."""
+    end = piece.find(_END)
+    lines = piece[: end if end >= 0 else len(piece)].decode("utf-8", "replace").split("\r\n")[1:]
+    headers: list[dict] = []
+    for line in lines:
+        name, colon, value = line.partition(":")
+        if line[:1] in (" ", "\t") and headers:
+            headers[-1]["value"] += " " + line.strip()
+        elif colon:
+            headers.append({"name": name.strip(), "value": value.strip()})
+    said = next((h["value"] for h in headers if h["name"].lower() == "content-length"), "")
+    return headers, len(piece) if end < 0 else end + len(_END), int(said) if said.isdecimal() else None
+
+
+def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """batches: (file, split, piece) in the order of the files."""
+    held: list[bytes] = []
+    source, missing, head = None, 0, ([], 0, None)
+
+    def row() -> tuple:
+        headers, start, length = head
+        block = b"".join(held)[start:]
+        if length is not None and len(block) > length and not block[length:].strip(b"\r\n"):
+            block = block[:length]  # the end of the file's last record
+        first = {}
+        for h in headers:
+            first.setdefault(h["name"].lower(), h["value"])
+        return (*[first.get(x) for x in _NAMED.values()], headers, block, length == len(block))
+
+    for batch in batches:
+        rows = []
+        for file, split, piece in zip(batch["file"], batch["split"], batch["piece"]):
+            if held and source == (file, split) and missing > 0:
+                held += [_CUT, piece]
+                missing -= len(_CUT) + len(piece)
+                continue
+            if held:
+                rows.append(row())
+            source, held = (file, split), [piece]
+            head = _head(piece)
+            missing = (head[2] or 0) - (len(piece) - head[1])
+        yield pd.DataFrame(rows, columns=[*_NAMED, "headers", "block", "complete"])
+    if held:
+        yield pd.DataFrame([row()], columns=[*_NAMED, "headers", "block", "complete"])
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Records of uncompressed or gzipped WARC files, with a column ``complete``: false for
     a block that isn't as long as its Content-Length says."""
-    text = spark.read.option("lineSep", f"\r\n\r\n{_VERSION}\r\n").text(path)
-    raw = F.regexp_replace("value", rf"^{re.escape(_VERSION)}\r\n|\r\n\r\n$", "")
-    # the split keeps bytes that are no UTF-8, which functions on characters would not
-    cut = F.position(F.encode(F.lit("\r\n\r\n"), "UTF-8").cast("string"), F.col("raw"))
-    rows = text.select(raw.alias("raw")).withColumn("cut", cut)
-    head = F.split(F.substr("raw", F.lit(1), F.col("cut") - 1), "\r\n")
-    pair = F.transform(head, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("name"), F.trim(F.substr(x, F.instr(x, ":") + 1)).alias("value")))
-    rows = rows.select(pair.alias("headers"), F.substr("raw", F.col("cut") + 4).cast("binary").alias("block"))
-
-    def value(name: str) -> Column:
-        return F.get(F.filter("headers", lambda h: F.lower(h["name"]) == name.lower()), 0)["value"]
-
-    named = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "refers_to": "WARC-Refers-To", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "content_type": "Content-Type"}
-    complete = F.coalesce(value("Content-Length").try_cast("long") == F.octet_length("block"), F.lit(False))
-    return rows.select(*[value(h).alias(c) for c, h in named.items()], "headers", "block", complete.alias("complete"))
+    text = spark.read.option("lineSep", _CUT.decode()).text(path)
+    rows = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("value").cast("binary").alias("piece"))
+    return rows.where(F.octet_length("piece") > 0).mapInPandas(_records, _READ)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import gzip
 import json
-from collections import defaultdict
+import math
+import zlib
+from collections import Counter, defaultdict
+from html.parser import HTMLParser
+from time import time
+from urllib.parse import urljoin
 
 import corpus_pipeline
 from lemmaflow.llm import language_id, source_mix, warc
@@ -33,6 +39,46 @@ def test_language_cases(make, nasty):
     assert {r.lang_pred for r in language_id.identify(make([(1, "some text")])).collect()} == {"und"}
 
 
+def plain_bayes(train, text):
+    """(language, posterior) by counting n-grams in dictionaries."""
+    def grams(x):
+        padded = f" {x.lower()} "
+        found = []
+        for n in language_id.ORDERS:
+            for i in range(len(padded) - n + 1):
+                h = n
+                for c in padded[i : i + n]:
+                    h = (h * 0x100000001B3 + ord(c)) % 2**64
+                h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+                h = (h ^ h >> 27) * 0x94D049BB133111EB % 2**64
+                found.append((h ^ h >> 31) >> 64 - language_id.BITS)
+        return found
+
+    counts, docs = defaultdict(Counter), Counter()
+    for x, lang in train:
+        counts[lang].update(grams(x))
+        docs[lang] += 1
+    logs = {}
+    for lang in sorted(docs):
+        total = sum(counts[lang].values()) + language_id.SMOOTHING * 2**language_id.BITS
+        logs[lang] = math.log(docs[lang] / docs.total()) + sum(math.log((counts[lang][g] + language_id.SMOOTHING) / total) for g in grams(text))
+    best = max(logs, key=logs.get)
+    return best, 1 / sum(math.exp(v - logs[best]) for v in logs.values())
+
+
+def test_language_against_plain_counts(make, monkeypatch):
+    rows = [(k, " ".join(f"{'abcdefgh'[k % 8]}{'xyz'[j % 3]}o" for j in range(5 + k % 7)), f"l{k % 8}", None) for k in range(60)]
+    rows += [(100, "ax ñandú 漢字", None, None), (101, "", "l1", None), (102, None, "l1", None)]
+    train = [(t, lang) for i, t, lang, _ in rows if zlib.crc32(str(i).encode()) % 5 and t is not None and lang is not None]
+    for most in (language_id.BLOCK_LANGUAGES, 3):
+        monkeypatch.setattr(language_id, "BLOCK_LANGUAGES", most)
+        for r in language_id.identify(make(rows, "1 as p")).collect():
+            text = next(t for i, t, *_ in rows if i == r.doc_id)
+            lang, score = plain_bayes(train, text) if text else ("und", 0.0)
+            assert r.lang_pred == lang and abs(r.score - score) < 1e-9
+            assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
 def test_long_texts_are_read_whole():
     text = "abc déf " * 70_000
     n = sum(len(b) for b in language_id.ngram_buckets(text))
@@ -117,6 +163,85 @@ def test_derivatives(spark, tmp_path):
     assert warc.derive(every.limit(0)).count() == 0
 
 
+class Plain(HTMLParser):
+    """Text and links of a well-formed page, by the parser of the standard library."""
+
+    def __init__(self):
+        super().__init__()
+        self.pieces, self.links, self.skip, self.title, self.in_title = [], [], 0, "", False
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style", "template"):
+            self.skip += 1
+        if tag in warc._BLOCKS:
+            self.pieces.append("\n")
+        if tag == "a" and "href" in dict(attrs):
+            self.links.append([dict(attrs)["href"], ""])
+            self.pieces.append(None)
+        self.in_title = tag == "title" or self.in_title
+
+    def handle_endtag(self, tag):
+        if tag in ("script", "style", "template"):
+            self.skip -= 1
+        if tag in warc._BLOCKS:
+            self.pieces.append("\n")
+        if tag == "a":
+            self.pieces.append(None)
+        self.in_title = self.in_title and tag != "title"
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.pieces.append(data.replace("\n", " ").replace("\r", " "))
+            self.title += data if self.in_title else ""
+
+
+def test_derivatives_against_another_parser(spark):
+    pages = table(spark, SF, "pages")
+    records = warc.responses(pages).select("record_id", "target_uri").collect()
+    html = {r.url: r.html for r in pages.collect()}
+    uri = {r.record_id: r.target_uri for r in records}
+    made = warc.derive(warc.responses(pages)).collect()
+    assert len(made) == 2 * len(records)
+    for r in made:
+        plain = Plain()
+        plain.feed(html[uri[r.refers_to]] or "")
+        plain.close()
+        if r.record_type == "conversion":
+            lines = (" ".join(x.split()) for x in "".join(p or "" for p in plain.pieces).split("\n"))
+            assert r.block.decode() == "\n".join(x for x in lines if x)
+        else:
+            about = json.loads(r.block)
+            assert about["html"]["title"] == " ".join(plain.title.split())
+            assert [x["url"] for x in about["html"]["links"]] == [urljoin(uri[r.refers_to], x.strip()) for x, _ in plain.links]
+
+
+def test_hostile_pages_take_one_pass():
+    began = time()
+    for text in ("<a " * 300_000, "<a href='x" * 100_000, "<!x" * 300_000, "<script " * 100_000, "<x" + "=" * 300_000, "</script " * 100_000, "<!-- x" * 100_000):
+        warc.page_parts(text, "http://a.org/")
+    assert time() - began < 10
+    for charset in ("idna", "undefined", "hex", "nothing-known"):
+        assert warc.decoded(b"a\xff", [["Content-Type", f"text/html; charset={charset}"]]) == "a\ufffd"
+    assert warc.decoded(b"a\xe9", [["content-type", "text/html; charset='latin-1'"]]) == "a\xe9"
+
+
+def test_read_bytes_and_versions(spark, tmp_path):
+    every, nested = bytes(range(256)), b"x\r\n\r\nWARC/1.0\r\nWARC-Type: inner\r\n\r\nbody\r\n\r\nWARC/1.1\r\n"
+    made = spark.createDataFrame([("response", "<urn:1>", every), ("resource", "<urn:2>", nested), ("resource", "<urn:3>", None), ("resource", "<urn:4>", b"\r\n")], "record_type string, record_id string, block binary")
+    made = made.withColumn("headers", F.array(F.struct(F.lit("WARC-Type").alias("name"), F.col("record_type").alias("value")), F.struct(F.lit("WARC-Record-ID").alias("name"), F.col("record_id").alias("value"))))
+    warc.write_warc(made.coalesce(1), str(tmp_path / "w"))
+    back = {r.record_id: r for r in warc.read_warc(spark, str(tmp_path / "w")).collect()}
+    assert {k: bytes(r.block) for k, r in back.items()} == {"<urn:1>": every, "<urn:2>": nested, "<urn:3>": b"", "<urn:4>": b"\r\n"}
+    assert all(r.complete for r in back.values()) and back["<urn:1>"].record_type == "response"
+
+    one = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    two = b"WARC/1.0\r\nwarc-type: response\r\nX: a\r\n b\r\nContent-Length: 12\r\n\r\nshort\r\n\r\n"
+    (tmp_path / "old.warc.gz").write_bytes(gzip.compress(one) + gzip.compress(one) + gzip.compress(two))
+    old = warc.read_warc(spark, str(tmp_path / "old.warc.gz")).collect()
+    assert [(r.record_type, r.complete) for r in old] == [("warcinfo", True), ("warcinfo", True), ("response", False)]
+    assert bytes(old[0].block) == b"abc" and next(h.value for h in old[2].headers if h.name == "X") == "a b"
+
+
 def test_pipeline(spark):
     docs = table(spark, SF, "documents")
     last = docs

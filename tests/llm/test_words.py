@@ -71,16 +71,45 @@ def test_decontamination(spark, make, nasty, monkeypatch):
                         seen.add("" if name is None else str(name))
         return len(found), len(hit), ",".join(sorted(seen)), bool(hit)
 
+    def longest(text):
+        found, best = word.findall(lower(text)), 0
+        for _, item in items:
+            own = word.findall(lower(item))
+            for i in range(len(own)):
+                for j in range(len(found)):
+                    k = 0
+                    while i + k < len(own) and j + k < len(found) and own[i + k] == found[j + k]:
+                        k += 1
+                    best = max(best, k)
+        return best
+
     expected = key((r[0], *plain(r[1])) for r in rows)
     docs = make(rows, "1 as leak")
+    far = {(r[0], r[1]): longest(r[1]) for r in rows if r[1] and len(r[1]) < 3000}
     for block in (decontaminate.BLOCK_BYTES, 30):
         monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
-        got = decontaminate.match(docs, benchmark, "found").select("doc_id", "found.n_words", "found.n_hit", F.array_join("found.items", ",").alias("i"), "found.contaminated").collect()
-        assert key(got) == expected
+        found = decontaminate.match(docs, benchmark, "found").collect()
+        assert key((r.doc_id, r.found.n_words, r.found.n_hit, ",".join(r.found["items"]), r.found.contaminated) for r in found) == expected
+        for r in found:
+            assert sum(x.end - x.start for x in r.found.locations) == r.found.n_hit
+            if r.found.contaminated and (r.doc_id, r.text) in far:
+                assert r.found.longest_match == far[r.doc_id, r.text]
     clean = decontaminate.decontaminate(docs, benchmark)
     assert clean.columns == docs.columns and clean.count() == sum(1 for r in expected if r[4] == "False")
     assert decontaminate.match(make([]), benchmark).count() == 0
-    assert decontaminate.match(docs, benchmark.limit(0)).where("leak.contaminated").count() == 0 if "leak" not in docs.columns else True
+    assert decontaminate.match(docs, benchmark).columns == [*docs.columns, "leak_"]
+    assert decontaminate.match(docs, benchmark.limit(0)).where("leak_.contaminated").count() == 0
+
+
+def test_words_that_repeat_cost_no_pairs():
+    from time import time
+
+    began = time()
+    queries = decontaminate.Queries([("a", "w " * 5000), ("b", "w"), ("c", "w " * 12 + "x")])
+    (n, runs, items, longest), other = decontaminate.search(queries, ["w " * 60_000, "x w x"])
+    assert (n, runs, items, longest) == (60_000, [(0, 60_000)], ["a", "b", "c"], 5000)
+    assert other == (3, [(1, 2)], ["b"], 2)  # "w x" is the end of the third item
+    assert time() - began < 30
 
 
 def plain_simhash(text):
