@@ -81,9 +81,9 @@ def arxiv_id(urls: Column) -> Column:
 
 def venue(source: Column, volume: Column, issue: Column, first: Column, last: Column) -> Column:
     """Source, volume, issue and pages in one line; a range of one page is that page."""
-    pages = F.when(first.isNotNull() & last.isNotNull() & (first != last), F.concat(first, F.lit("-"), last)).otherwise(F.coalesce(first, last))
-    rest = F.concat_ws(", ", F.concat(F.lit("vol. "), volume), F.concat(F.lit("no. "), issue), F.concat(F.lit("pp. "), pages))
-    return F.when(nonempty(source).isNull(), F.lit("Venue not recorded")).otherwise(F.concat_ws(", ", source, F.nullif(rest, F.lit(""))))
+    pages = F.when(last.isNotNull() & (first != last), F.concat(first, F.lit("-"), last)).otherwise(first)
+    details = [F.concat(F.lit("volume "), nonempty(volume)), F.concat(F.lit("issue "), nonempty(issue)), F.concat(F.lit("pages "), nonempty(pages))]
+    return F.concat_ws(", ", F.coalesce(nonempty(source), F.lit("Venue not supplied by OpenAlex")), *details)
 
 
 def sha256(value: Column) -> Column:
@@ -117,9 +117,10 @@ def permalink(repo: Column, commit: Column, file: Column, line: Column) -> Colum
 
 
 def page_key(url: Column) -> Column:
-    """Host in lower case, and path without doubled or trailing slashes."""
-    path = F.regexp_replace(F.regexp_replace(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), "/+", "/"), "/$", "")
-    return F.concat(F.lower(F.try_parse_url(url, F.lit("HOST"))), path)
+    """Host and port in lower case, and the decoded path without doubled or trailing slashes."""
+    host = F.regexp_extract(url, r"^(?i)https?://(?:[^/?#@]*@)?([^/?#]+)", 1)
+    path = F.regexp_replace(F.regexp_replace(F.regexp_extract(url, r"^(?i)https?://[^/?#]+([^?#]*)", 1), "/{2,}", "/"), "/$", "")
+    return F.when(F.length(host) > 0, F.concat(F.lower(host), percent_decode(F.when(F.length(path) > 0, path).otherwise("/"))))
 
 
 def https_if_same_host(link: Column, source: Column) -> Column:
@@ -185,13 +186,13 @@ def canonical_digest(documents: pd.Series) -> pd.Series:
     return documents.map(one)
 
 
-def unique_ids(rows, order: str, preferred: str, fallback: str):
-    """``rows`` with a column ``stable_id``: the slug of the preferred name, followed by a
-    digest and a number where an earlier row of the same slug has it already."""
+def unique_ids(rows, order: str, preferred: str, fallback: str, digits: int = 12):
+    """``rows`` with a column ``stable_id``: the slug of the preferred name, or of the fallback
+    without one, followed by a digest and a number where an earlier row of the same slug has it."""
     from pyspark.sql import Window as W
 
-    base = rows.withColumn("base_", slug(F.coalesce(preferred, fallback)))
-    digest = F.left(sha256(F.concat(F.col(preferred), F.lit("\0"), F.col(fallback))), F.lit(12))
+    base = rows.withColumn("base_", slug(F.coalesce(F.nullif(F.col(preferred), F.lit("")), F.col(fallback))))
+    digest = F.left(sha256(F.concat(F.coalesce(F.col(preferred), F.lit("")), F.lit("\0"), F.coalesce(F.col(fallback), F.lit("")))), F.lit(digits))
     base = base.withColumn("nth_", F.row_number().over(W.partitionBy("base_").orderBy(order))).withColumn("long_", F.concat("base_", F.lit("-"), digest))
     first = F.col("nth_") == 1
     base = base.withColumn("again_", F.row_number().over(W.partitionBy("long_", first).orderBy(order)) - 1)

@@ -11,13 +11,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, MapType, StringType, StructType
 
-#: fixed table: licence names and the patterns that show them
+#: fixed values: licences, the patterns that show them and their addresses
 LICENSES = {
-    "CC-BY-SA": r"(?i)creative commons attribution[- ]share|cc[ -]by[ -]sa",
-    "CC-BY": r"(?i)creative commons attribution(?![- ]share)|cc[ -]by(?![ -]sa)",
-    "GFDL": r"(?i)gnu free documentation",
-    "CC0": r"(?i)\bcc0\b|public domain",
-    "MIT": r"(?i)\bmit licen[cs]e",
+    "GFDL-1.2-or-later": (r"(?i)GNU Free Documentation License,?\s*Version 1\.2\s+or any later version", "https://www.gnu.org/licenses/old-licenses/fdl-1.2.html"),
+    "GFDL-1.3-or-later": (r"(?i)GNU Free Documentation License,?\s*Version 1\.3\s+or any later version", "https://www.gnu.org/licenses/fdl-1.3.html"),
+    "CC-BY-NC-SA-4.0": (r"(?i)creativecommons\.org/licenses/by-nc-sa/4\.0/", "https://creativecommons.org/licenses/by-nc-sa/4.0/"),
+    "CC-BY-SA-4.0": (r"(?i)creativecommons\.org/licenses/by-sa/4\.0/", "https://creativecommons.org/licenses/by-sa/4.0/"),
+    "CC-BY-4.0": (r"(?i)creativecommons\.org/licenses/by/4\.0/", "https://creativecommons.org/licenses/by/4.0/"),
 }
 
 
@@ -110,7 +110,7 @@ def bibliography_keys(text: Column) -> Column:
 
 def licenses(text: Column) -> Column:
     """Names of all licences that a text shows, in the order of the table."""
-    return F.filter(F.array(*[F.when(F.regexp_like(text, F.lit(p)), F.lit(name)) for name, p in LICENSES.items()]), lambda x: x.isNotNull())
+    return F.filter(F.array(*[F.when(F.regexp_like(text, F.lit(p)), F.lit(name)) for name, (p, _) in LICENSES.items()]), lambda x: x.isNotNull())
 
 
 def license_of(text: Column) -> Column:
@@ -119,6 +119,26 @@ def license_of(text: Column) -> Column:
     return F.when(F.size(found) == 1, F.get(found, 0))
 
 
+def license_address(name: Column) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for n, (_, url) in LICENSES.items() for x in (n, url)]), name)
+
+
+def inferred_license(edition: Column, repository: Column) -> Column:
+    """A struct (name, address, note): the one licence that the edition's text shows, and how
+    it stands to that of the repository's licence file (null without a file)."""
+    own, other = licenses(edition), F.coalesce(licenses(repository), F.array().cast("array<string>"))
+    one, two = F.when(F.size(own) == 1, F.get(own, 0)), F.when(F.size(other) == 1, F.get(other, 0))
+    many = lambda place, found: F.concat(F.lit(f"The {place} contains multiple distinct license markers ("), F.array_join(found, ", "), F.lit("); governing license identification remains pending review."))
+    note = (
+        F.when(F.size(own) > 1, many("active book source", own))
+        .when(F.size(other) > 1, many("repository-level license file", other))
+        .when(one != two, F.concat(F.lit("The active book source states "), one, F.lit(", while the repository-level license file states "), two, F.lit(". This candidate edition metadata follows the active book source; the conflict remains pending review.")))
+        .when(one.isNotNull(), F.concat(F.lit("Candidate license metadata inferred from the active pinned book source ("), one, F.lit("); not independently reviewed.")))
+        .otherwise("No unambiguous edition-level license was detected in the active pinned book source; license identification remains pending review.")
+    )
+    return F.struct(one.alias("name"), license_address(one).alias("address"), note.alias("note"))
+
+
 #: fixed rules: start of a heading, class and kind of its node
 _STARTS = (
     ("theorem", "theorem-like", "theorem"), ("lemma", "theorem-like", "lemma"), ("proposition", "theorem-like", "proposition"),

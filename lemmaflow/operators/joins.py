@@ -35,24 +35,44 @@ def preceding(rows: DataFrame, by: list[str], order: list[str], is_owner: Column
 
 def innermost(points: DataFrame, ranges: DataFrame, by: list[str], at: str, start: str, end: str, keep: list[str]) -> DataFrame:
     """``points`` with the columns ``keep`` of the innermost half-open range of the same
-    group that contains them (null without one)."""
-    named = ranges.select(*[F.col(c).alias(f"{c}__r") for c in by], F.col(start).alias("start__r"), F.struct(F.col(start), *[F.col(k) for k in keep]).alias("best__r"), F.col(end).alias("end__r"))
-    same = [points[c] == named[f"{c}__r"] for c in by]
-    inside = (points[at] >= named["start__r"]) & (points[at] < named["end__r"])
-    condition = inside
-    for s in same:
-        condition = s & condition
-    found = points.join(named, condition, "left").groupBy(*points.columns).agg(F.max("best__r").alias("best__r"))
-    return found.select(*points.columns, *[F.col(f"best__r.{k}").alias(k) for k in keep])
-
-
-def longest_prefix(rows: DataFrame, text: str, prefixes: DataFrame, prefix: str, shortest: int) -> DataFrame:
-    """``rows`` with ``matched``: the longest prefix with which ``text`` starts. The first
-    ``shortest`` characters, which all prefixes must have, are the equality key."""
-    listed = prefixes.select(F.col(prefix).alias("prefix__")).distinct().withColumn("key__", F.left("prefix__", F.lit(shortest)))
-    both = rows.withColumn("key__", F.left(text, F.lit(shortest))).join(listed, "key__", "left")
-    hit = F.when(F.startswith(text, F.col("prefix__")), F.col("prefix__"))
-    return both.groupBy(*rows.columns).agg(F.max_by(hit, F.length(hit)).alias("matched"))
+    group that contains them (null without one). A range is entered under the two or three
+    blocks of its own power of two that it touches, and a distinct position is looked up once
+    for each power of two that occurs, so no group is compared as a whole."""
+    length = F.col(end) - F.col(start)
+    level = F.floor(F.log2(length.cast("double"))).cast("int")
+    sized = ranges.where(length > 0).withColumn("level__", level)
+    block = lambda place, n: F.floor(place / F.pow(F.lit(2.0), n)).cast("long")
+    named = sized.select(
+        *[F.col(c).alias(f"{c}__r") for c in by],
+        F.col(start).alias("start__r"),
+        F.col(end).alias("end__r"),
+        F.struct(F.col(start), *[F.col(k) for k in keep]).alias("best__r"),
+        F.col("level__").alias("level__r"),
+        F.explode(F.sequence(block(F.col(start), F.col("level__")), block(F.col(end) - 1, F.col("level__")))).alias("block__r"),
+    )
+    levels = sorted(r[0] for r in sized.select("level__").distinct().collect())  # at most 64
+    spots = points.select(*by, at).distinct().withColumn("level__", F.explode(F.array(*[F.lit(n) for n in levels]).cast("array<int>")))
+    spots = spots.withColumn("block__", block(F.col(at), F.col("level__")))
+    condition = (spots["level__"] == named["level__r"]) & (spots["block__"] == named["block__r"]) & (spots[at] >= named["start__r"]) & (spots[at] < named["end__r"])
+    for c in by:
+        condition = (spots[c] == named[f"{c}__r"]) & condition
+    best = spots.join(named, condition).groupBy(*[spots[c] for c in by], spots[at]).agg(F.max("best__r").alias("best__r"))
+    best = best.toDF(*[f"{c}__b" for c in (*by, at)], "best__r")
+    same = points[at] == best[f"{at}__b"]
+    for c in by:
+        same = (points[c] == best[f"{c}__b"]) & same
+    return points.join(best, same, "left").select(*[points[c] for c in points.columns], *[F.col(f"best__r.{k}").alias(k) for k in keep])
+
+
+def longest_prefix(rows: DataFrame, text: str, prefixes: DataFrame, prefix: str) -> DataFrame:
+    """``rows`` with ``matched``: the longest prefix with which ``text`` starts. Each distinct
+    text is looked up by equality, once for each length that a prefix has."""
+    listed = prefixes.select(F.col(prefix).alias("prefix__")).where(F.length(prefix) > 0).distinct()
+    lengths = sorted(r[0] for r in listed.select(F.length("prefix__")).distinct().collect())
+    texts = rows.select(F.col(text).alias("text__")).distinct()
+    cut = texts.withColumn("cut__", F.explode(F.transform(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: F.left("text__", n))))
+    best = cut.join(listed, F.col("cut__") == F.col("prefix__")).groupBy("text__").agg(F.max_by("prefix__", F.length("prefix__")).alias("matched"))
+    return rows.join(best, rows[text] == best["text__"], "left").drop("text__")
 
 
 def resolve_or(rows: DataFrame, key: str, tables: list[tuple[DataFrame, str, str]], name: str) -> DataFrame:

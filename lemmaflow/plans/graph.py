@@ -51,15 +51,55 @@ def peel(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return _all(levels) if levels else empty, left
 
 
+def _trim(edges: DataFrame, label: str) -> DataFrame:
+    """Edges (src, dst) without those whose ends have no way in or no way on, peeled off while there are any."""
+    while True:
+        kept = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        kept = stash(kept.select("src", "dst"), label)
+        if kept.count() == edges.count():
+            return kept
+        edges = kept
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, component) of all nodes on cycles; component is one of its nodes. Colours spread
+    along the edges, the greatest wins, and what reaches a colour's own node within the colour
+    is a component; the rest is coloured anew. Every table has at most a row for each node or edge."""
+    loops = edges.where("src = dst").select(F.col("src").alias("node"))
+    left = _trim(stash(edges.select("src", "dst").where("src <> dst").distinct(), "strong-edges"), "strong-trim")
+    found: list[DataFrame] = []
+    while left.limit(1).count():
+        colour = stash(left.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("colour", F.col("node")), "strong-colour")
+        while True:
+            best = left.join(colour, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("to")).agg(F.max("colour").alias("new"))
+            step = stash(colour.join(best, F.col("node") == F.col("to"), "left").select("node", F.col("colour").alias("old"), F.greatest("colour", "new").alias("colour")), "strong-step")
+            colour = step.select("node", "colour")
+            if not step.where("colour <> old").limit(1).count():
+                break
+        same = left.join(colour.toDF("src", "c1"), "src").join(colour.toDF("dst", "c2"), "dst").where("c1 = c2")
+        same = stash(same.select("src", "dst"), "strong-same")
+        reached = [stash(colour.where("node = colour"), "strong-roots")]
+        while True:
+            back = same.join(reached[-1], F.col("dst") == F.col("node")).select(F.col("src").alias("node"), "colour").distinct()
+            new = stash(back.join(_all(reached).select("node"), "node", "left_anti"), "strong-back")
+            if not new.limit(1).count():
+                break
+            reached.append(new)
+        members = stash(_all(reached), "strong-members")
+        sizes = members.groupBy("colour").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+        found.append(stash(members.join(sizes, "colour").select("node", F.col("colour").alias("component")), "strong-found"))
+        gone = members.select("node")
+        left = _trim(left.join(gone.toDF("src"), "src", "left_anti").join(gone.toDF("dst"), "dst", "left_anti"), "strong-trim")
+    alone = loops.distinct().withColumn("component", F.col("node"))
+    if not found:
+        return alone
+    every = _all(found)
+    return every.unionByName(alone.join(every.select("node"), "node", "left_anti"))
+
+
 def on_cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes on a cycle: of what peeling in both directions leaves, those that reach themselves."""
-    _, down = peel(nodes, edges)
-    inner = edges.join(down.withColumnRenamed("node", "src"), "src", "left_semi").join(down.withColumnRenamed("node", "dst"), "dst", "left_semi")
-    _, both = peel(down, inner.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    core = stash(inner.join(both.withColumnRenamed("node", "src"), "src", "left_semi").join(both.withColumnRenamed("node", "dst"), "dst", "left_semi"), "cycle-core")
-    # from each node's successors back to the node
-    reached = closure(core, core.select(F.col("dst").alias("root")).distinct())
-    return core.join(reached, (core["dst"] == reached["root"]) & (core["src"] == reached["node"]), "left_semi").select(F.col("src").alias("node")).distinct()
+    """The nodes (node) on a cycle."""
+    return nodes.select("node").distinct().join(strong_components(edges).select("node"), "node", "left_semi")
 
 
 def redundant_edges(edges: DataFrame) -> DataFrame:

@@ -117,20 +117,21 @@ def join_asof_owner(spark: SparkSession, d: str) -> DataFrame:
     return owned.where("event_type = 'purchase'").select("event_id", "owner_of")
 
 
-@query("""WITH p AS (SELECT l_suppkey AS k, l_partkey AS spot, l_orderkey, l_linenumber FROM lineitem), r AS (SELECT l_suppkey AS k, l_partkey AS s, l_partkey + (l_orderkey % 50) AS e, l_orderkey AS name FROM lineitem WHERE l_linenumber = 1)
-SELECT p.k, p.spot, l_orderkey, l_linenumber, max({'s': s, 'name': name}).name AS name FROM p LEFT JOIN r ON p.k = r.k AND spot >= s AND spot < e GROUP BY p.k, p.spot, l_orderkey, l_linenumber""")
+@query("""WITH p AS (SELECT l_suppkey AS k, l_partkey AS spot, l_orderkey, l_linenumber FROM lineitem), r AS (SELECT l_suppkey AS k, l_partkey AS s, l_partkey + (l_orderkey % 50) AS e, l_orderkey AS name FROM lineitem WHERE l_linenumber = 1),
+b AS (SELECT x.k, spot, max({'s': s, 'name': name}).name AS name FROM (SELECT DISTINCT k, spot FROM p) x JOIN r ON x.k = r.k AND spot >= s AND spot < e GROUP BY x.k, spot) SELECT k, spot, l_orderkey, l_linenumber, name FROM p LEFT JOIN b USING (k, spot)""")
 def join_interval_innermost(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_partkey").alias("spot"), "l_orderkey", "l_linenumber")
     ranges = lines.where("l_linenumber = 1").select("k", F.col("spot").alias("s"), (F.col("spot") + F.col("l_orderkey") % 50).alias("e"), F.col("l_orderkey").alias("name"))
     return joins.innermost(lines, ranges, ["k"], "spot", "s", "e", ["name"])
 
 
-@query("""WITH x AS (SELECT DISTINCT left(p_name, n::INTEGER) AS prefix FROM part, unnest([3, 5, 8]) AS t(n) WHERE p_partkey % 10 = 0 AND length(p_name) >= n)
-SELECT p_partkey, arg_max(prefix, length(prefix)) AS matched FROM part LEFT JOIN x ON starts_with(p_name, prefix) GROUP BY p_partkey""")
+@query("""WITH x AS (SELECT DISTINCT left(p_name, n::INTEGER) AS prefix FROM part, unnest([3, 5, 8]) AS t(n) WHERE length(p_name) >= n)
+SELECT p_partkey, n, arg_max(prefix, length(prefix)) AS matched FROM part, unnest([2, 4, 6, 20]) AS u(n) LEFT JOIN x ON starts_with(left(p_name, n::INTEGER), prefix) GROUP BY p_partkey, n""")
 def join_longest_prefix(spark: SparkSession, d: str) -> DataFrame:
     parts = table(spark, d, "part").select("p_partkey", "p_name")
-    prefixes = parts.where("p_partkey % 10 = 0").select("p_name", F.explode(F.array(F.lit(3), F.lit(5), F.lit(8))).alias("n")).where("length(p_name) >= n").select(F.left("p_name", F.col("n")).alias("prefix"))
-    return joins.longest_prefix(parts, "p_name", prefixes, "prefix", 3).drop("p_name")
+    prefixes = parts.select("p_name", F.explode(F.array(F.lit(3), F.lit(5), F.lit(8))).alias("n")).where("length(p_name) >= n").select(F.left("p_name", F.col("n")).alias("prefix"))
+    rows = parts.select("p_partkey", "p_name", F.explode(F.array(*[F.lit(n) for n in (2, 4, 6, 20)])).alias("n")).withColumn("p_name", F.left("p_name", F.col("n")))
+    return joins.longest_prefix(rows, "p_name", prefixes, "prefix").drop("p_name")
 
 
 @query("""WITH a AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 <> 0 THEN c_name END AS name, c_nationkey AS nation FROM customer WHERE c_custkey % 4 <> 0), b AS (SELECT c_custkey AS k, 'new ' || c_name AS name, c_nationkey + 1 AS nation FROM customer WHERE c_custkey % 5 <> 0)

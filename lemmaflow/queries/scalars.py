@@ -25,7 +25,7 @@ def query(sql: str | None = None):
     return register
 
 
-@query(r"""SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) || regexp_replace(regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '/+', '/', 'g'), '/$', '') AS page_key FROM pages""")
+@query(r"""SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) || regexp_replace(regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '/+', '/', 'g'), '/$', '') || CASE WHEN regexp_matches(url, '^[a-z]+://[^/?#]+/*([?#].*)?$') THEN '/' ELSE '' END AS page_key FROM pages""")
 def id_normalize_url(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", ids.page_key(F.col("url")).alias("page_key"))
 
@@ -75,13 +75,18 @@ def txt_strip_html(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.sha2(text.strip_tags(F.col("html")), 256).alias("digest"))
 
 
-@query(r"""WITH m AS (SELECT doc_id, [x FOR x IN [CASE WHEN regexp_matches(text, '(?i)creative commons attribution[- ]share|cc[ -]by[ -]sa') THEN 'CC-BY-SA' END,
-CASE WHEN regexp_matches(regexp_replace(regexp_replace(text, '(?i)creative commons attribution[- ]share', '', 'g'), '(?i)cc[ -]by[ -]sa', '', 'g'), '(?i)creative commons attribution|cc[ -]by') THEN 'CC-BY' END,
-CASE WHEN regexp_matches(text, '(?i)gnu free documentation') THEN 'GFDL' END, CASE WHEN regexp_matches(text, '(?i)\bcc0\b|public domain') THEN 'CC0' END,
-CASE WHEN regexp_matches(text, '(?i)\bmit licen[cs]e') THEN 'MIT' END] IF x IS NOT NULL] AS found FROM documents)
+_LICENSE_LINES = ("See https://CreativeCommons.org/licenses/by/4.0/ now", "under creativecommons.org/licenses/by-sa/4.0/", "creativecommons.org/licenses/by-nc-sa/4.0/legalcode", "GNU free documentation license,  version 1.3 or any later version", "GNU Free Documentation License Version 1.2\nor any later version", "Creative Commons Attribution", "creativecommons.org/licenses/by/4.0/ and creativecommons.org/licenses/by-sa/4.0/")
+
+
+@query(rf"""WITH d AS (SELECT doc_id, text || ' ' || {list(_LICENSE_LINES)!r}[1 + doc_id % 7] AS t FROM documents), k AS (SELECT doc_id, lower(regexp_replace(t, '\s+', ' ', 'g')) AS t FROM d),
+m AS (SELECT doc_id, list_filter([CASE WHEN contains(replace(t, 'license,', 'license'), 'gnu free documentation license version 1.2 or any later version') THEN 'GFDL-1.2-or-later' END, CASE WHEN contains(replace(t, 'license,', 'license'), 'gnu free documentation license version 1.3 or any later version') THEN 'GFDL-1.3-or-later' END,
+CASE WHEN contains(t, 'creativecommons.org/licenses/by-nc-sa/4.0/') THEN 'CC-BY-NC-SA-4.0' END, CASE WHEN contains(t, 'creativecommons.org/licenses/by-sa/4.0/') THEN 'CC-BY-SA-4.0' END, CASE WHEN contains(t, 'creativecommons.org/licenses/by/4.0/') THEN 'CC-BY-4.0' END], x -> x IS NOT NULL) AS found FROM k)
 SELECT doc_id, array_to_string(found, ',') AS licenses, CASE WHEN len(found) = 1 THEN found[1] END AS license FROM m""")
 def txt_license_detect(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.array_join(text.licenses(F.col("text")), ",").alias("licenses"), text.license_of(F.col("text")).alias("license"))
+    line = F.element_at(F.array(*[F.lit(x) for x in _LICENSE_LINES]), (F.col("doc_id") % 7 + 1).cast("int"))
+    docs = table(spark, d, "documents").select("doc_id", F.concat_ws(" ", F.coalesce("text", F.lit(None).cast("string")), line).alias("text"), F.col("text").isNull().alias("none"))
+    docs = docs.select("doc_id", F.when(~F.col("none"), F.col("text")).alias("text"))
+    return docs.select("doc_id", F.array_join(text.licenses(F.col("text")), ",").alias("licenses"), text.license_of(F.col("text")).alias("license"))
 
 
 @query(r"""SELECT page_id, i - 1 AS position, hrefs[i] AS href FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS hrefs FROM pages), unnest(range(1, len(hrefs) + 1)) AS t(i)""")
@@ -128,10 +133,11 @@ def set_first_wins(spark: SparkSession, d: str) -> DataFrame:
     return sets.first_wins(table(spark, d, "events").select("user_id", "event_type", "event_id", "ts"), ["user_id", "event_type"], ["ts", "event_id"]).drop("ts")
 
 
-@query("""SELECT key, side FROM (SELECT p_partkey AS key, 'missing' AS side FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem) UNION ALL
-SELECT DISTINCT l_partkey, 'unexpected' FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part))""")
+@query("""WITH a AS (SELECT DISTINCT p_partkey AS key FROM part WHERE p_size > 10), b AS (SELECT DISTINCT l_partkey AS key FROM lineitem WHERE l_quantity > 49)
+SELECT key, 'missing' AS side FROM a WHERE key NOT IN (FROM b) UNION ALL SELECT key, 'unexpected' FROM b WHERE key NOT IN (FROM a)""")
 def set_expected_minus_seen(spark: SparkSession, d: str) -> DataFrame:
-    return sets.differences(table(spark, d, "part").select(F.col("p_partkey").alias("key")), table(spark, d, "lineitem").select(F.col("l_partkey").alias("key")), "key")
+    expected = table(spark, d, "part").where("p_size > 10").select(F.col("p_partkey").alias("key"))
+    return sets.differences(expected, table(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("key")), "key")
 
 
 @query("SELECT md5(text) AS digest, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1")
