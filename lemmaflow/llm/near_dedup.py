@@ -10,8 +10,9 @@ b - ceil(0.8 b) + 1 of the other, so only such prefixes are joined, and every pa
 similarity 0.8 meets. Any order loses nothing; the frequent shingles are found in a
 sample of texts, so that few texts meet by chance.
 
-Texts that meet in a prefix are compared in two rounds: each with the least one of its bucket, then
-those of a bucket that are still in different components with each other. Sizes,
+Texts that meet in a prefix are compared with one of their bucket, first the least one and then, round
+by round, the one that has most links, the next one and so on, as long as that links many; then those of a bucket
+that are still in different components are compared with each other. Sizes,
 places and profiles (how many shingles have each of 64 to 2048 hashed values, so that the sum
 of the lesser counts bounds what two sets share) rule out most pairs; the others are settled by the
 sets themselves, which are made again for the texts that are in any such pair only.
@@ -47,6 +48,11 @@ FREQUENT_IN = 3
 FREQUENT = 200_000
 _FILTER_WORDS = 1 << 18
 _LEAST_PROFILE, _MOST_PROFILE = 64, 2048
+#: texts that are named by a broadcast table of that many hashes at most, more by a bit table
+BROADCAST_ROWS = 200_000
+#: rounds of one against all of a bucket end when the pairs that are left are no more than this times the rows
+PAIRS_PER_ROW = 1
+MOST_ROUNDS = 24
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -164,19 +170,25 @@ def alike(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
 
 def _sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """texts: (print, text), wanted: distinct (fp, print). (fp, shingles) of the wanted: their
-    sets, made again. A bit table of bounded size lets few other texts through; the join drops those."""
-    spot = F.pmod("print", F.lit(_FILTER_WORDS * 64))
-    words = wanted.groupBy((spot / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(print, 64) as int))")).alias("bits")).toPandas()
-    table = np.zeros(_FILTER_WORDS, np.int64)
-    table[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    shared = texts.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+    sets, made again. Few wanted texts are named by a broadcast table; for more, a bit table of
+    bounded size lets few others through. The join drops those."""
+    table = None
+    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        texts = texts.join(F.broadcast(wanted.select("print")), "print", "left_semi")
+    else:
+        spot = F.pmod("print", F.lit(_FILTER_WORDS * 64))
+        words = wanted.groupBy((spot / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(print, 64) as int))")).alias("bits")).toPandas()
+        table = np.zeros(_FILTER_WORDS, np.int64)
+        table[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    shared = None if table is None else texts.sparkSession.sparkContext.broadcast(table.view(np.uint64))
 
     def make(batches):
-        words = shared.value
         for batch in batches:
-            at = np.mod(batch["print"].to_numpy(np.int64), _FILTER_WORDS * 64).astype(np.uint64)
-            inside = (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
-            found = [shingles(x) for x in batch["text"][inside.astype(bool)]]
+            chosen = batch["text"]
+            if shared is not None:
+                at = np.mod(batch["print"].to_numpy(np.int64), _FILTER_WORDS * 64).astype(np.uint64)
+                chosen = chosen[((shared.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)]
+            found = [shingles(x) for x in chosen]
             yield pd.DataFrame({"fp": np.array([set_print(x) for x in found], np.int64), "shingles": pd.Series(found, dtype=object)})
 
     some = stash(texts.mapInPandas(make, "fp long, shingles array<long>"), "near-some")
@@ -224,21 +236,50 @@ def links(sets: DataFrame, texts: DataFrame) -> DataFrame:
     members = stash(meets(sets.select("fp", "size", "prefix")), "near-members")
     close = by_simhash(profiles.select("fp", "sim"))
     stars = members.where("fp <> first").where(possible("size", "at", "first_size", "first_at"))
-    stars = stash(stars.select(F.col("fp").alias("a"), F.col("first").alias("b")).unionByName(close).distinct(), "near-stars")
+    stars = stars.select(F.col("fp").alias("a"), F.col("first").alias("b")).unionByName(close)
+    stars = stash(stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "near-stars")
     found = similar(stars, profiles, texts)
 
+    tested = stars
+    bucket = W.partitionBy("h")
+    for round_ in range(MOST_ROUNDS):
+        labels = stash(components(found), "near-round")
+        named = members.select("h", "fp", "size", "at").join(labels.hint("merge"), members["fp"] == labels["node"], "left")
+        named = named.select("h", "fp", "size", "at", F.coalesce("label", "fp").alias("label"))
+        spread = named.select("*", F.min("label").over(bucket).alias("low"), F.max("label").over(bucket).alias("high")).where("low < high").drop("low", "high")
+        apart = stash(spread, "near-apart")
+        release(members)
+        members = apart
+        counts = apart.groupBy("h", "label").agg(F.count("*").alias("n")).groupBy("h").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"))
+        left = counts.agg(F.sum("n").alias("rows"), (F.sum(F.col("n") * F.col("n") - F.col("within")) / 2).alias("pairs")).first()
+        if not left["rows"]:
+            return found
+        if left["pairs"] <= PAIRS_PER_ROW * left["rows"]:
+            break
+        # the member of each bucket that has most links, in every round the next one
+        degrees = stash(found.select(F.explode(F.array("a", "b")).alias("d")).groupBy("d").agg(F.count("*").alias("degree")), "near-degrees")
+        linked = apart.join(degrees.hint("merge"), apart["fp"] == degrees["d"], "left").drop("d").withColumn("degree", F.coalesce("degree", F.lit(0)))
+        rank = F.row_number().over(bucket.orderBy(F.col("degree").desc(), F.xxhash64("fp"), "fp"))
+        ranked = linked.withColumn("rank", rank)
+        mid = F.max(F.when(F.col("rank") == round_ + 1, F.struct("fp", "size", "at", "label"))).over(bucket)
+        pairs = ranked.withColumn("mid", mid).where(F.col("label") != F.col("mid")["label"])
+        pairs = pairs.select("fp", "size", "at", F.col("mid")["fp"].alias("b"), F.col("mid")["size"].alias("size2"), F.col("mid")["at"].alias("at2")).where(possible("size", "at", "size2", "at2"))
+        pairs = pairs.select(F.greatest("fp", "b").alias("a"), F.least("fp", "b").alias("b")).distinct()
+        pairs = stash(pairs.join(tested.hint("merge"), ["a", "b"], "left_anti"), "near-stars")
+        linked = similar(pairs, profiles, texts)
+        n_pairs, n_links = pairs.count(), linked.count()
+        tested = stash(tested.unionByName(pairs), "near-tested")
+        found = stash(found.unionByName(linked), "near-found")
+        if n_links * 50 < n_pairs or not n_pairs:
+            break
     labels = stash(components(found), "near-round")
     named = members.select("h", "fp", "size", "at").join(labels.hint("merge"), members["fp"] == labels["node"], "left")
-    bucket = W.partitionBy("h")
-    named = named.select("h", "fp", "size", "at", F.coalesce("label", "fp").alias("label"))
-    apart = named.select("*", F.min("label").over(bucket).alias("low"), F.max("label").over(bucket).alias("high")).where("low < high").drop("low", "high")
-    apart = stash(apart, "near-apart")
-    release(members)
+    apart = stash(named.select("h", "fp", "size", "at", F.coalesce("label", "fp").alias("label")), "near-apart")
     other = apart.select(F.col("h").alias("h2"), F.col("fp").alias("b"), F.col("size").alias("size2"), F.col("at").alias("at2"), F.col("label").alias("label2"))
     crossed = apart.join(other.hint("merge"), (apart["h"] == other["h2"]) & (F.col("fp") > F.col("b")) & (F.col("label") != F.col("label2")) & possible("size", "at", "size2", "at2"))
     crossed = crossed.select(F.col("fp").alias("a"), "b").distinct()
-    crossed = stash(crossed.join(stars.hint("merge"), ["a", "b"], "left_anti"), "near-crossed")
-    release(apart)
+    crossed = stash(crossed.join(tested.hint("merge"), ["a", "b"], "left_anti"), "near-crossed")
+    release(apart, members)
     return found.unionByName(similar(crossed, profiles, texts)) if crossed.limit(1).count() else found
 
 
