@@ -29,7 +29,7 @@ def collapse(value: Column) -> Column:
 def squeeze_lines(value: Column) -> Column:
     """Single blanks, none around line ends, at most one empty line."""
     blanks = F.regexp_replace(F.regexp_replace(value, r"[ \t\f\u000B]+", " "), r" *\n *", "\n")
-    return F.trim(F.regexp_replace(blanks, r"\n{3,}", "\n\n"))
+    return F.regexp_replace(F.regexp_replace(blanks, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
 def without_comments(value: Column) -> Column:
@@ -101,7 +101,7 @@ def labels(text: Column) -> Column:
 def citations(text: Column) -> Column:
     """Keys of all cite commands, split at commas."""
     found = F.regexp_extract_all(without_comments(text), F.lit(r"\\cite(?:\[[^\]]*\])?\{([^{}]+)\}"))
-    return F.transform(F.flatten(F.transform(found, lambda x: F.split(x, ","))), F.trim)
+    return F.transform(F.flatten(F.transform(found, lambda x: F.split(x, ","))), lambda x: F.trim(x))
 
 
 def bibliography_keys(text: Column) -> Column:
