@@ -1,4 +1,4 @@
-"""Identifiers, hashes and addresses as Column functions (ID01-ID46)."""
+"""Identifiers, hashes and addresses as Column functions (ID01-ID08, ID11, ID14, ID17, ID18, ID21-ID25, ID26-ID29, ID31-ID33, ID35, ID38, ID43, ID44)."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Text, markup and display functions on columns (TXT01-TXT72)."""
+"""Text, markup and display functions on columns (TXT01-TXT04, TXT11-TXT22, TXT33-TXT35, TXT38-TXT43, TXT46-TXT51, TXT53-TXT55, TXT58, TXT60, TXT62, TXT64-TXT67, TXT71, TXT72)."""
 
 from __future__ import annotations
 

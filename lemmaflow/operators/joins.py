@@ -1,4 +1,4 @@
-"""Joins beyond plain keys, each with an equality key so that it never becomes a cross join (JOIN01-JOIN36)."""
+"""Joins beyond plain keys, each with an equality key so that it never becomes a cross join (JOIN01, JOIN02, JOIN06, JOIN16, JOIN18-JOIN21, JOIN23, JOIN30)."""
 
 from __future__ import annotations
 

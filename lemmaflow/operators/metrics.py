@@ -1,4 +1,4 @@
-"""Coverage and manifest metrics, statuses and route choice (AGG01-AGG33, PRJ01-PRJ08, VAL26-VAL27)."""
+"""Coverage and manifest metrics, statuses and route choice (AGG01-AGG03, AGG07, AGG21-AGG23, AGG27, PRJ02, PRJ05, VAL26, VAL27)."""
 
 from __future__ import annotations
 

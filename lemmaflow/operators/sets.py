@@ -1,4 +1,4 @@
-"""Distinct rows in order, differences, paging, neighbours (SET01-SET11, ORD01-ORD12)."""
+"""Distinct rows in order, differences, paging, neighbours (SET01-SET07, ORD03-ORD06, ORD08, ORD09)."""
 
 from __future__ import annotations
 

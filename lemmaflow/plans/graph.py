@@ -1,4 +1,4 @@
-"""Graph iterations as joins of a frontier with the edges (GRF01-GRF17).
+"""Graph iterations as joins of a frontier with the edges (GRF01-GRF07, GRF09-GRF14, GRF16).
 
 Edges are (src, dst), dependent to prerequisite. Every round's table is written to the
 shared folder, so plans stay short and a lost executor costs one round's tasks at most.

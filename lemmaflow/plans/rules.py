@@ -1,4 +1,4 @@
-"""Integrity rules: each gives violations (rule, entity, detail) as rows (VAL01-VAL36)."""
+"""Integrity rules: each gives violations (rule, entity, detail) as rows (VAL02-VAL05, VAL15)."""
 
 from __future__ import annotations
 

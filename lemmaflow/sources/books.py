@@ -1,4 +1,4 @@
-"""Book sources as tables of nodes, edges, routes and references (SRC21-SRC23, EXT01-EXT23).
+"""Book sources as tables of nodes, edges, routes and references (SRC21, SRC23, EXT01, EXT02, EXT05, EXT14).
 
 Units are (component, unit, ordinal, content). A small parser lists the environments or
 tags of each unit; everything after that is joins, windows and groups.
@@ -25,7 +25,10 @@ def read_units(spark: SparkSession, folder: str, component: str) -> DataFrame:
     files = spark.read.option("recursiveFileLookup", True).text(folder, wholetext=True)
     name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.[^./]+$", 1)
     units = files.select(F.lit(component).alias("component"), name.alias("unit"), F.col("value").alias("content"))
-    return units.withColumn("ordinal", F.row_number().over(W.partitionBy("component").orderBy("unit")))
+    # only the names go through one order, not the contents
+    names = files.select(name.alias("n")).withColumn("ordinal", F.row_number().over(W.orderBy("n")))
+    numbered = names.groupBy("n").agg(F.min("ordinal").alias("ordinal"))
+    return units.join(numbered, units["unit"] == numbered["n"]).drop("n")
 
 
 def tag_rows(lines: DataFrame) -> DataFrame:

@@ -122,7 +122,12 @@ def read_export(spark: SparkSession, path: str, component: str) -> DataFrame:
     )
     pieces = F.array_distinct(F.filter(F.array("html", F.col("meta")["pb_part_content"]), lambda x: F.length(F.trim(x)) > 0))
     rows = rows.withColumn("content", F.array_join(pieces, "\n")).withColumn("exported", F.lower(F.coalesce(F.col("meta")["pb_export"], F.lit("on"))) != "off")
-    return rows.withColumn("ordinal", F.row_number().over(W.partitionBy("component").orderBy("at"))).drop("at")
+    # an item's place within its split, and how many items the splits before hold; contents are not moved
+    rows = rows.withColumns({"split": F.shiftright("at", 33), "place": F.col("at").bitwiseAND(F.lit((1 << 33) - 1))})
+    counts = rows.groupBy(F.col("split").alias("s")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("s", before.alias("before"))
+    return rows.join(starts, F.col("split") == F.col("s")).withColumn("ordinal", (F.col("place") + F.col("before") + 1).cast("int")).drop("at", "split", "place", "s", "before")
 
 
 def ordered_items(items: DataFrame) -> DataFrame:
@@ -137,4 +142,7 @@ def ordered_items(items: DataFrame) -> DataFrame:
     group = F.when(kind == "part", own).when((kind == "chapter") & child, F.col("part_at"))
     orphan = F.when(section == 2, F.col("post_parent"))
     order = W.partitionBy("component").orderBy(section, group, F.when(kind == "part", 0).otherwise(1), orphan, own)
-    return joined.withColumn("position", F.row_number().over(order)).drop("part_at")
+    # only keys go through one order, not the contents
+    places = joined.select("component", F.col("ordinal").alias("at"), F.row_number().over(order).alias("position"))
+    same = (active["component"] == places["component"]) & (active["ordinal"] == places["at"])
+    return active.join(places, same).drop(places["component"]).drop("at")

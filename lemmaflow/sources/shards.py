@@ -1,4 +1,4 @@
-"""Content-addressed JSONL shards of bounded size: writer, reader and checks (SRC03-SRC09, SNK01-SNK07).
+"""Content-addressed JSONL shards of bounded size: writer, reader and checks (SRC03, SRC04, SRC06, SRC09, SNK01-SNK04, SNK06).
 
 Records are (component, collection, ordinal, record), record being one line of JSON. A
 component's collection is cut greedily in order: a shard ends before the line that would
