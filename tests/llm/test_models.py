@@ -5,6 +5,8 @@ from __future__ import annotations
 import gzip
 import json
 import math
+import random
+import re
 import zlib
 from collections import Counter, defaultdict
 from html.parser import HTMLParser
@@ -16,6 +18,9 @@ from lemmaflow.llm import language_id, source_mix, warc
 from lemmaflow.llm.common import table
 from pyspark.sql import functions as F
 
+from test_near_dedup import plain_kept
+from test_words import lower, plain_line_dedup
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -253,3 +258,49 @@ def test_pipeline(spark):
         last = made
     out = corpus_pipeline.run(spark, SF)
     assert sorted(out.select("doc_id", "copy").collect()) == sorted(last.select("doc_id", "copy").collect())
+
+
+def test_pipeline_against_plain_stages(spark, tmp_path, make):
+    """All stages over a small table, each against plain loops over what the one before it left."""
+    rng = random.Random(12)
+    pools = {"aa": ["la", "lo", "li", "lu"], "bb": ["kri", "kro", "kra", "kru"]}
+    word = lambda lang: "".join(rng.choice(pools[lang]) for _ in range(rng.randint(2, 4)))
+    page = lambda lang, n: "\n".join(" ".join(word(lang) for _ in range(rng.randint(6, 12))) for _ in range(n))
+    rows = [(k, page(("aa", "bb")[k % 2], rng.randint(3, 8)), ("aa", "bb")[k % 2], f"s{k % 3}") for k in range(36)]
+    rows += [(40, rows[3][1], "bb", "s0"), (41, rows[4][1] + "\nlalo extra", "aa", "s1"), (42, None, "aa", "s1"), (43, "", None, None), (44, "12 34", "aa", "s0")]
+    near = rows[5][1].replace("\n", " ").split()
+    rows += [(50, " ".join(near), "bb", "s1"), (51, " ".join(["krikra", *near[1:]]), "bb", "s1")]
+    item = " ".join(rows[8][1].split()[:12])
+    make(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    train = [(t, lang) for i, t, lang, _ in rows if zlib.crc32(str(i).encode()) % 5 and t is not None and lang is not None]
+    accepted = [(i, t) for i, t, *_ in rows if t and any(c.isalpha() for c in t) and plain_bayes(train, t)[1] >= 0.5]
+    lines = plain_line_dedup(accepted)
+    single = dict(plain_kept([(i, t) for i, t in lines.items()]))
+    letters = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+    windows = {tuple(letters(item)[i : i + 10]) for i in range(3)}
+    clean = {i: t for i, t in single.items() if not windows & {tuple(letters(t)[j : j + 10]) for j in range(len(letters(t)) - 9)}}
+    assert len(rows) > len(accepted) > len(lines) > len(single) > len(clean) > 20
+
+    docs = table(spark, str(tmp_path), "documents")
+    for (name, stage), expected in zip(corpus_pipeline.STAGES, (dict(accepted), lines, single, clean)):
+        docs = spark.createDataFrame(stage(spark, docs, str(tmp_path)).collect(), docs.schema)
+        assert {r.doc_id: r.text for r in docs.collect()} == expected, name
+    mixed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    times = Counter(r.doc_id for r in mixed)
+    assert {r.doc_id: r.text for r in mixed}.items() <= clean.items() and max(times.values()) <= 3
+    size, taken, source = Counter(), Counter(), {r[0]: r[3] for r in rows}
+    for i, t in clean.items():
+        size[source[i]] += len(t.split())
+        taken[source[i]] += len(t.split()) * times[i]
+    level = sum(size.values()) / 8  # sources weigh 5, 2 and 1; none is above three times its size here
+    for k, s in enumerate(sorted(size)):
+        goal = (5, 2, 1)[k] * level
+        assert goal <= 3 * size[s] and abs(taken[s] - goal) <= max(len(t.split()) for t in clean.values())
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path, make):
+    make([]).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

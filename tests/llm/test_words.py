@@ -41,6 +41,35 @@ def test_quality(make, nasty):
     assert quality.judge(make([])).count() == 0
 
 
+def test_coverage_and_verdicts_against_plain_loops(make, nasty):
+    rows = [(k, r[1]) for k, r in enumerate(nasty)] + [(1000, "a b c d e f g h i j\n" * 3 + " ".join(f"w{k}" for k in range(60))), (1001, "é è ê ë\nx\né è ê ë\n" + " ".join(f"w{k}" for k in range(12)))]
+
+    def plain(text):
+        found, lines = SPACE.findall(text or ""), (text or "").split("\n")
+        total = max(sum(map(len, found)), 1)
+        covered = []
+        for n in quality.MOST_COVERED:
+            grams = [tuple(found[i : i + n]) for i in range(len(found) - n + 1)]
+            times = Counter(grams)
+            inside = {j for i, g in enumerate(grams) if times[g] > 1 for j in range(i, i + n)}
+            covered.append(sum(len(found[j]) for j in inside) / total)
+        seen, repeated = set(), 0
+        for x in lines:
+            repeated += sum(map(len, SPACE.findall(x))) if x in seen else 0
+            seen.add(x)
+        grams = [tuple(found[i : i + 5]) for i in range(len(found) - 4)]
+        inside = {j for i, g in enumerate(grams) if Counter(grams)[g] > 1 for j in range(i, i + 5)} if len(grams) < 500 else set()
+        failed = len(found) < 10 or 100 * len(inside) > 20 * len(found)
+        return covered, repeated / total, failed, not failed and repeated / total <= quality.MOST_LINE_CHARS and all(c <= m for c, m in zip(covered, quality.MOST_COVERED.values()))
+
+    for r in quality.judge(make(rows)).collect():
+        text = rows[r.doc_id][1] if r.doc_id < 1000 else next(t for i, t in rows if i == r.doc_id)
+        covered, lines, failed, kept = plain(text)
+        assert all(abs(x - y) < 1e-9 for x, y in zip(r.coverage, covered)) and abs(r.line_coverage - lines) < 1e-9
+        if r.n_words < 500:
+            assert (r.base_failed, r.kept) == (failed, kept)
+
+
 def test_coverage_decides_beyond_the_base_rule(make):
     w = lambda name, n: " ".join(f"{name}{k:03}" for k in range(n))
     rows = [(1, f"{w('a', 12)} {w('b', 100)} {w('a', 12)} {w('c', 76)}"), (2, f"{w('a', 9)} {w('b', 100)} {w('a', 9)} {w('c', 82)}"), (3, w("a", 200))]
@@ -193,30 +222,35 @@ def test_line_dedup(make, nasty):
     assert line_dedup.deduplicate_lines(make([])).count() == 0
 
 
-def test_line_dedup_of_pairs(make):
-    w = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
-    a, b, c, d = w("a", 23), w("b", 46), w("c", 24), w("d", 25)
-    rows = [(1, f"{a}\n{b}"), (2, f"x\n\n{a}\n\n{b}\ny"), (3, f"{b}\n{a}"), (4, f"{c}\n{d}"), (5, f"{c}\n{d}\nz"), (6, f"{a}\n{b}"), (None, f"{a}\n{b}\nlast"), (7, f"{w('l', 60)}\nshort"), (8, f"head\n{w('l', 60)}\nshort")]
-    rows += [(20 + k, f"{w('p', 30)}\n{w('q', 30)}\nown {k}") for k in range(300)]
+def plain_runs(text):
+    """(spots, lines) by definition: the shortest runs of 50 words from each line both ways, and windows of three."""
+    lines = [(i, x) for i, x in enumerate((text or "").split("\n")) if SPACE.search(x)]
+    runs = {(i, i + 3) for i in range(len(lines) - 2)}
+    count = lambda i, j: sum(len(SPACE.findall(x)) for _, x in lines[i:j])
+    for i in range(len(lines)):
+        runs |= {(i, j) for j in [next((j for j in range(i + 1, len(lines) + 1) if count(i, j) >= 50), None)] if j}
+        runs |= {(j, i + 1) for j in [next((j for j in range(i, -1, -1) if count(j, i + 1) >= 50), None)] if j is not None}
+    return [([n for n, _ in lines[i:j]], tuple(x for _, x in lines[i:j])) for i, j in runs]
 
-    def units(text):
-        """(spots, words) by definition: the shortest runs of 50 words from each line both ways, and windows of three."""
-        lines = [(i, x) for i, x in enumerate(text.split("\n")) if SPACE.search(x)]
-        runs = {(i, i + 3) for i in range(len(lines) - 2)}
-        count = lambda i, j: sum(len(SPACE.findall(x)) for _, x in lines[i:j])
-        for i in range(len(lines)):
-            runs |= {(i, j) for j in [next((j for j in range(i + 1, len(lines) + 1) if count(i, j) >= 50), None)] if j}
-            runs |= {(j, i + 1) for j in [next((j for j in range(i, -1, -1) if count(j, i + 1) >= 50), None)] if j is not None}
-        return [([n for n, _ in lines[i:j]], tuple(x for _, x in lines[i:j])) for i, j in runs]
 
+def plain_line_dedup(rows):
+    """rows: (id, text) with different ids. The texts without later repeated runs, and without those that have no word left."""
     first, gone = {}, {}
     for doc, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
-        for spots, unit in sorted(units(text)):
+        for spots, unit in sorted(plain_runs(text)):
             if first.setdefault(unit, (doc, spots[0])) != (doc, spots[0]):
                 gone.setdefault(doc, set()).update(spots)
-    expected = {doc: "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone.get(doc, ())) for doc, text in rows}
+    kept = {doc: text if doc not in gone else "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone[doc]) for doc, text in rows}
+    return {doc: text for doc, text in kept.items() if doc not in gone or SPACE.search(text)}
+
+
+def test_line_dedup_of_pairs(make):
+    w = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    a, b, c, d = w("a", 23), w("b", 46), w("c", 24), w("d", 25)
+    rows = [(1, f"{a}\n{b}"), (2, f"x\n\n{a}\n\n{b}\ny"), (3, f"{b}\n{a}"), (4, f"{c}\n{d}"), (5, f"{c}\n{d}\nz"), (6, f"{a}\n{b}"), (None, f"{a}\n{b}\nlast"), (7, f"{w('l', 60)}\nshort"), (8, f"head\n{w('l', 60)}\nshort")]
+    rows += [(20 + k, f"{w('p', 30)}\n{w('q', 30)}\nown {k}") for k in range(300)]
     kept = {r.doc_id: r.text for r in line_dedup.deduplicate_lines(make(rows)).collect()}
-    assert kept == {doc: text for doc, text in expected.items() if SPACE.search(text)}
+    assert kept == plain_line_dedup(rows)
     assert 6 not in kept and kept[2] == "x\n\n\ny" and kept[None] == "last" and kept[5] == f"{c}\n{d}\nz" and kept[8] == "head"
     assert kept[3] == f"{b}\n{a}" and sum(text.startswith("own") for text in kept.values()) == 299
 
