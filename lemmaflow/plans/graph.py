@@ -37,18 +37,22 @@ def closure(edges: DataFrame, roots: DataFrame, depth_limit: int | None = None)
 def peel(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Levels (node, level) by longest path to a node without prerequisites, and the nodes
     that no round could peel off: those on cycles and whatever depends on them."""
-    left = stash(nodes.select("node").distinct(), "peel-nodes")
+    every = stash(nodes.select("node").distinct(), "peel-nodes")
     rest = stash(edges.select("src", "dst").distinct(), "peel-edges")
+    free = stash(every.join(rest, F.col("node") == F.col("src"), "left_anti").withColumn("level", F.lit(0)), "peel-free0")
     levels: list[DataFrame] = []
-    while left.limit(1).count():
-        free = stash(left.join(rest, F.col("node") == F.col("src"), "left_anti").withColumn("level", F.lit(len(levels))), f"peel-free{len(levels)}")
-        if not free.limit(1).count():
-            break
+    while free.limit(1).count():
         levels.append(free)
-        left = stash(left.join(free, "node", "left_anti"), f"peel-left{len(levels)}")
-        rest = stash(rest.join(free, F.col("dst") == F.col("node"), "left_anti"), f"peel-rest{len(levels)}")
-    empty = nodes.select("node").withColumn("level", F.lit(0)).limit(0)
-    return _all(levels) if levels else empty, left
+        # only nodes that lost an edge in this round can have become free
+        gone = free.select(F.col("node").alias("dst"))
+        lost = rest.join(gone, "dst", "left_semi").select(F.col("src").alias("node")).distinct()
+        rest = stash(rest.join(gone, "dst", "left_anti"), f"peel-rest{len(levels)}")
+        still = rest.select(F.col("src").alias("node")).distinct()
+        free = stash(lost.join(still, "node", "left_anti").join(every, "node", "left_semi").withColumn("level", F.lit(len(levels))), f"peel-free{len(levels)}")
+    if not levels:
+        return every.withColumn("level", F.lit(0)).limit(0), every
+    peeled = _all(levels)
+    return peeled, every.join(peeled, "node", "left_anti")
 
 
 def _trim(edges: DataFrame, label: str) -> DataFrame:

@@ -75,12 +75,12 @@ def txt_strip_html(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.sha2(text.strip_tags(F.col("html")), 256).alias("digest"))
 
 
-_LICENSE_LINES = ("See https://CreativeCommons.org/licenses/by/4.0/ now", "under creativecommons.org/licenses/by-sa/4.0/", "creativecommons.org/licenses/by-nc-sa/4.0/legalcode", "GNU free documentation license,  version 1.3 or any later version", "GNU Free Documentation License Version 1.2\nor any later version", "Creative Commons Attribution", "creativecommons.org/licenses/by/4.0/ and creativecommons.org/licenses/by-sa/4.0/")
+_LICENSE_LINES = ("See https://CreativeCommons.org/licenses/by/4.0/ now", "under creativecommons.org/licenses/by-sa/4.0/", "creativecommons.org/licenses/by-nc-sa/4.0/legalcode", "GNU free documentation license,  version 1.3 or any later version", "GNU Free Documentation License Version 1.2  or any later version", "Creative Commons Attribution", "creativecommons.org/licenses/by/4.0/ and creativecommons.org/licenses/by-sa/4.0/")
 
 
 @query(rf"""WITH d AS (SELECT doc_id, text || ' ' || {list(_LICENSE_LINES)!r}[1 + doc_id % 7] AS t FROM documents), k AS (SELECT doc_id, lower(regexp_replace(t, '\s+', ' ', 'g')) AS t FROM d),
-m AS (SELECT doc_id, list_filter([CASE WHEN contains(replace(t, 'license,', 'license'), 'gnu free documentation license version 1.2 or any later version') THEN 'GFDL-1.2-or-later' END, CASE WHEN contains(replace(t, 'license,', 'license'), 'gnu free documentation license version 1.3 or any later version') THEN 'GFDL-1.3-or-later' END,
-CASE WHEN contains(t, 'creativecommons.org/licenses/by-nc-sa/4.0/') THEN 'CC-BY-NC-SA-4.0' END, CASE WHEN contains(t, 'creativecommons.org/licenses/by-sa/4.0/') THEN 'CC-BY-SA-4.0' END, CASE WHEN contains(t, 'creativecommons.org/licenses/by/4.0/') THEN 'CC-BY-4.0' END], x -> x IS NOT NULL) AS found FROM k)
+m AS (SELECT doc_id, [x FOR x IN [CASE WHEN contains(replace(t, 'license,', 'license'), 'gnu free documentation license version 1.2 or any later version') THEN 'GFDL-1.2-or-later' END, CASE WHEN contains(replace(t, 'license,', 'license'), 'gnu free documentation license version 1.3 or any later version') THEN 'GFDL-1.3-or-later' END,
+CASE WHEN contains(t, 'creativecommons.org/licenses/by-nc-sa/4.0/') THEN 'CC-BY-NC-SA-4.0' END, CASE WHEN contains(t, 'creativecommons.org/licenses/by-sa/4.0/') THEN 'CC-BY-SA-4.0' END, CASE WHEN contains(t, 'creativecommons.org/licenses/by/4.0/') THEN 'CC-BY-4.0' END] IF x IS NOT NULL] AS found FROM k)
 SELECT doc_id, array_to_string(found, ',') AS licenses, CASE WHEN len(found) = 1 THEN found[1] END AS license FROM m""")
 def txt_license_detect(spark: SparkSession, d: str) -> DataFrame:
     line = F.element_at(F.array(*[F.lit(x) for x in _LICENSE_LINES]), (F.col("doc_id") % 7 + 1).cast("int"))
