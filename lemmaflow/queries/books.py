@@ -99,12 +99,12 @@ def ext_proof_regions(spark: SparkSession, d: str) -> DataFrame:
     return regions.proof_regions(heads).select("unit", "start", "end")
 
 
-@query("""WITH r AS (SELECT o_orderkey AS proof, o_custkey % 40 AS a, o_orderkey % 40 AS b FROM orders), n AS (SELECT c_custkey % 40 AS lab, c_custkey AS node FROM customer WHERE c_mktsegment <> 'FURNITURE'),
+@query("""WITH r AS (SELECT o_orderkey AS proof, o_custkey AS a, o_orderkey // 3 AS b FROM orders), n AS (SELECT c_custkey AS lab, c_custkey AS node FROM customer WHERE c_mktsegment <> 'FURNITURE'),
 m AS (SELECT proof, node FROM r JOIN n ON lab = a UNION ALL SELECT proof, node FROM r JOIN n ON lab = b) SELECT proof, min(node) AS owner FROM m GROUP BY proof HAVING count(DISTINCT node) = 1""")
 def join_explicit_owner(spark: SparkSession, d: str) -> DataFrame:
-    title = F.format_string("Proof of \\ref{l%d} and \\ref{l%d}", F.col("o_custkey") % 40, F.col("o_orderkey") % 40)
+    title = F.format_string("Proof of \\ref{l%d} and \\ref{l%d}", F.col("o_custkey"), F.floor(F.col("o_orderkey") / 3))
     proofs = table(spark, d, "orders").select(F.lit("c").alias("component"), F.col("o_orderkey").alias("proof"), title.alias("title"))
-    labels = table(spark, d, "customer").select(F.lit("c").alias("component"), F.format_string("l%d", F.col("c_custkey") % 40).alias("label"), F.col("c_custkey").alias("node"), F.when(F.col("c_mktsegment") == "FURNITURE", "support").otherwise("theorem-like").alias("node_class"))
+    labels = table(spark, d, "customer").select(F.lit("c").alias("component"), F.format_string("l%d", F.col("c_custkey")).alias("label"), F.col("c_custkey").alias("node"), F.when(F.col("c_mktsegment") == "FURNITURE", "support").otherwise("theorem-like").alias("node_class"))
     return regions.explicit_owners(proofs, labels).select("proof", "owner")
 
 

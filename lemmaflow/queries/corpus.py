@@ -218,7 +218,7 @@ def val_corpus_papers(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH e AS (SELECT event_id AS id, user_id AS a, event_id % 40 AS b, event_type AS t FROM events), q AS (SELECT c_custkey AS k, c_nationkey AS n, c_mktsegment = 'FURNITURE' AS done FROM customer)
 SELECT 'endpoints-once' AS rule, a || '|' || b AS entity, count(*)::VARCHAR AS detail FROM e GROUP BY a, b HAVING count(*) > 1 UNION ALL SELECT 'no-self-citation', id::VARCHAR, '' FROM e WHERE a = b
 UNION ALL SELECT 'citing-exists', id::VARCHAR, a::VARCHAR FROM e WHERE a NOT IN (SELECT k FROM q WHERE n <> 3) UNION ALL SELECT 'cited-exists', id::VARCHAR, b::VARCHAR FROM e WHERE b NOT IN (SELECT k FROM q WHERE n <> 3) UNION ALL SELECT 'source-exists', id::VARCHAR, a::VARCHAR FROM e WHERE a NOT IN (SELECT k FROM q WHERE n <> 3)
-UNION ALL SELECT 'direction-of-source', id::VARCHAR, '' FROM e WHERE t <> 'click' AND a <> b UNION ALL SELECT 'queue-paper', k::VARCHAR, k::VARCHAR FROM q WHERE n = 3 UNION ALL SELECT 'complete-without-work', k::VARCHAR, '' FROM q WHERE done AND n % 6 <> 0 UNION ALL SELECT 'unresolved-with-retry', k::VARCHAR, '' FROM q WHERE n % 5 = 0 AND n % 6 <> 1
+UNION ALL SELECT 'direction-of-source', id::VARCHAR, '' FROM e WHERE t <> 'click' AND a <> b UNION ALL SELECT 'queue-paper', k::VARCHAR, k::VARCHAR FROM q WHERE n = 3 UNION ALL SELECT 'complete-without-work', k::VARCHAR, '' FROM q WHERE done AND n % 6 <> 0 UNION ALL SELECT 'unresolved-with-retry', k::VARCHAR, '' FROM q WHERE n % 5 = 0 AND n % 6 <> 1 AND NOT (done AND n % 6 = 0)
 UNION ALL SELECT 'blocked-without-identity', k::VARCHAR, '' FROM q WHERE NOT done AND n % 6 = 2 AND n <> 3 UNION ALL SELECT 'closure-complete-in-queue', k::VARCHAR, k::VARCHAR FROM q WHERE n % 7 = 0 AND NOT done""")
 def val_corpus_edges(spark: SparkSession, d: str) -> DataFrame:
     edge = table(spark, d, "events").select(F.col("event_id").alias("edge_id"), F.col("user_id").alias("citing"), (F.col("event_id") % 40).alias("cited"), F.col("user_id").alias("source"), F.when(F.col("event_type") == "click", "outgoing").otherwise("incoming").alias("direction"))
