@@ -60,3 +60,12 @@ def test_anchors_of_pieces(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "_PIECE", 700)
     cut = dict(zip(*[x.tolist() for x in suffix_dedup.anchors(raw)[:2]]))
     assert set(whole[0]) <= set(cut) and all(cut[a] == g for a, g in zip(*whole[:2]))
+
+
+def test_many_equal_rows_without_id(make):
+    rng = random.Random(21)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(6000))
+    rows = [(None, text)] * 1000 + [(1, text[:300])]
+    got = suffix_dedup.deduplicate(make(rows)).collect()
+    assert len(got) == 1001 and all(r.n_removed == (6000 if r.doc_id is None else 0) for r in got)
+    assert {len(r.spans) for r in got if r.doc_id is None} == {1}
