@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, line_dedup, personal_data, quality, secret_scan, simhash, source_mix, suffix_dedup, warc
+from . import decontaminate, language_id, line_dedup, personal_data, quality, secret_scan, simhash, source_mix, suffix_dedup, token_align, warc
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_warc": warc.op9_warc,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_token_alignment": token_align.op11_token_alignment,
 }
 
 ORACLES: dict[str, str] = {
