@@ -168,7 +168,7 @@ def alike(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
     return joined.where(near("pa", "pb")).select("a", "b")
 
 
-def _sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+def sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """texts: (print, text), wanted: distinct (fp, print). (fp, shingles) of the wanted: their
     sets, made again. Few wanted texts are named by a broadcast table; for more, a bit table of
     bounded size lets few others through. The join drops those."""
@@ -203,7 +203,7 @@ def similar(pairs: DataFrame, profiles: DataFrame, texts: DataFrame) -> DataFram
     pairs = stash(alike(pairs, profiles), "near-pairs")
     named = pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct()
     wanted = stash(named.join(profiles.hint("merge"), named["w"] == profiles["fp"]).select("fp", "print"), "near-wanted")
-    sets = _sets_of(texts, wanted)
+    sets = sets_of(texts, wanted)
     one, two = sets.select(F.col("fp").alias("fa"), F.col("shingles").alias("sa")), sets.select(F.col("fp").alias("fb"), F.col("shingles").alias("sb"))
 
     @F.pandas_udf("boolean")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, line_dedup, personal_data, quality, secret_scan, simhash, sort_means, source_mix, suffix_dedup, token_align, warc
+from . import decontaminate, language_id, line_dedup, odd_sketch, personal_data, quality, secret_scan, simhash, sort_means, source_mix, suffix_dedup, token_align, warc
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_warc": warc.op9_warc,
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op11_token_alignment": token_align.op11_token_alignment,
+    "op12_odd_sketch": odd_sketch.op12_odd_sketch,
     "op13_sort_means": sort_means.op13_sort_means,
 }
 
 ORACLES: dict[str, str] = {
     "op10_line_dedup": line_dedup.OP10_SQL,
+    "op12_odd_sketch": odd_sketch.OP12_SQL,
     "op13_sort_means": sort_means.OP13_SQL,
 }
