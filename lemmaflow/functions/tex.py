@@ -178,9 +178,18 @@ def encoded_anchor(anchor: Column) -> Column:
     return F.when(F.length(anchor) > 0, out)
 
 
-def without_build_conditionals(source: Column, start: str = r"\\ifdefined\\ollangid", end: str = r"\\fi") -> Column:
-    """TeX with conditionals that are known to be complete blanked out, line ends kept."""
-    return F.regexp_replace(source, rf"(?s){start}.*?{end}", " ")
+def blanked(text: Column) -> Column:
+    """A blank for every character but line ends."""
+    return F.regexp_replace(text, r"[^\n\r]", " ")
+
+
+def without_build_conditionals(source: Column, start: str, end: str = r"\\fi") -> Column:
+    """TeX in which conditionals that are known to be complete, from ``start`` to the next ``end``, are blanked
+    where they stand, so that offsets and lines stay. One that does not end is left."""
+    pattern = rf"(?s){start}.*?{end}"
+    pieces, found = F.split(source, pattern, -1), F.regexp_extract_all(source, F.lit(pattern), F.lit(0))
+    blanks = F.transform(found, blanked)
+    return F.array_join(F.transform(pieces, lambda x, k: F.concat(x, F.coalesce(F.get(blanks, k), F.lit("")))), "")
 
 
 def _balanced(source: str, at: int, open_: str, close: str) -> int:

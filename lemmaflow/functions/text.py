@@ -5,6 +5,8 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_left
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -198,28 +200,57 @@ def long_date(value: Column) -> Column:
     return F.coalesce(F.date_format(F.try_to_date(value, "yyyy-MM-dd"), "MMMM d, yyyy"), value)
 
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([A-Za-z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"""([\w:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
-_TAGS = ArrayType(StructType().add("start", IntegerType()).add("end", IntegerType()).add("closing", BooleanType()).add("name", StringType()).add("attributes", MapType(StringType(), StringType())))
-
-
-@F.pandas_udf(_TAGS)
-def scan_tags(sources: pd.Series) -> pd.Series:
-    """All tags of HTML or XML texts with offsets and attributes; comments, CDATA sections and
-    script and style bodies are skipped."""
-
-    def one(source: str | None) -> list[dict]:
-        found, skip = [], None
-        for m in _TAG.finditer(source or ""):
-            name, closing = (m[2] or "").lower(), bool(m[1])
-            if not name or skip and not (closing and name == skip):
-                continue
-            skip = name if name in ("script", "style") and not closing else None
-            attributes = {a[1].lower(): html.unescape(next(x for x in a.groups()[1:] if x is not None)) for a in _ATTRIBUTE.finditer(m[3])}
-            found.append({"start": m.start(), "end": m.end(), "closing": closing, "name": name, "attributes": attributes})
-        return found
-
-    return sources.map(one)
+_OPENING = re.compile(r"<!--|<!\[CDATA\[|<(/?)([A-Za-z][\w:-]*)")
+_ATTRIBUTE = re.compile(r"""(?<![\w:-])([\w:-]++)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
+_TAGS = ArrayType(StructType().add("start", IntegerType()).add("end", IntegerType()).add("closing", BooleanType()).add("single", BooleanType()).add("name", StringType()).add("attributes", MapType(StringType(), StringType())))
+
+
+def _tag_ends(source: str) -> tuple[list[int], list[int]]:
+    """The places of > and quotes, and for each the place of the > at which a tag ends that reads on from
+    there, -1 without one. A quote leads to what follows its partner; each place is looked at once."""
+    places = [m.start() for m in re.finditer("[>\"']", source)]
+    ends, quotes = [-1] * (len(places) + 1), {'"': -1, "'": -1}
+    for k in range(len(places) - 1, -1, -1):
+        mark = source[places[k]]
+        if mark == ">":
+            ends[k] = places[k]
+        else:
+            ends[k] = ends[quotes[mark] + 1] if quotes[mark] >= 0 else -1
+            quotes[mark] = k
+    return places, ends
+
+
+def tags_of(source: str, xml: bool = False) -> Iterator[dict]:
+    """The tags of a text in order, in time linear in its length."""
+    places, ends = _tag_ends(source)
+    kept = (lambda x: x) if xml else str.lower
+    at, skip = 0, None
+    while m := _OPENING.search(source, at):
+        if m[2] is None:
+            close = source.find("-->" if m[0] == "<!--" else "]]>", m.end())
+            at = len(source) if close < 0 else close + 3
+            continue
+        end = ends[bisect_left(places, m.end())]
+        if end < 0:
+            at = m.end()
+            continue
+        name, closing, at = kept(m[2]), bool(m[1]), end + 1
+        if skip and not (closing and name == skip):
+            continue
+        skip = name if not xml and name in ("script", "style") and not closing else None
+        attributes = {kept(a[1]): html.unescape(next(x for x in a.groups()[1:] if x is not None)) for a in _ATTRIBUTE.finditer(source, m.end(), end)}
+        yield {"start": m.start(), "end": end + 1, "closing": closing, "single": not closing and source[end - 1] == "/", "name": name, "attributes": attributes}
+
+
+def scan_tags(source: Column, xml: bool = False) -> Column:
+    """All tags of HTML or XML texts with offsets and attributes; comments and CDATA sections are skipped. In
+    HTML, script and style bodies are skipped too and names are in lower case; XML names stay as they are."""
+
+    @F.pandas_udf(_TAGS)
+    def found(sources: pd.Series) -> pd.Series:
+        return pd.Series([list(tags_of(x or "", xml)) for x in sources], dtype=object)
+
+    return found(source)
 
 
 _SPANS = ArrayType(StructType().add("start", IntegerType()).add("end", IntegerType()).add("environment", StringType()).add("title", StringType()).add("body", StringType()))

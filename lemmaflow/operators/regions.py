@@ -31,8 +31,8 @@ def heading_rank(text: Column) -> Column:
 
 def _next_of_rank(rank: Column, value: Column, order: list[str], levels: range) -> Column:
     """The value at the next row, in order, whose rank is not below that of the row."""
-    after = W.partitionBy(*_UNIT).orderBy(*order).rowsBetween(1, W.unboundedFollowing)
-    return F.coalesce(*[F.when(rank == r, F.first(F.when(rank <= r, value), ignorenulls=True).over(after)) for r in levels])
+    after = W.partitionBy(*_UNIT).orderBy(*[F.desc(c) for c in order]).rowsBetween(W.unboundedPreceding, -1)
+    return F.coalesce(*[F.when(rank == r, F.last(F.when(rank <= r, value), ignorenulls=True).over(after)) for r in levels])
 
 
 def section_ranges(lines: DataFrame) -> DataFrame:
@@ -55,7 +55,7 @@ def prose_ranges(lines: DataFrame, labels: DataFrame) -> DataFrame:
     w = W.partitionBy(*_UNIT).orderBy("line")
     stop = F.when(stops, F.col("line"))
     before = F.last(stop, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
-    after = F.first(stop, ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing))
+    after = F.last(stop, ignorenulls=True).over(W.partitionBy(*_UNIT).orderBy(F.desc("line")).rowsBetween(W.unboundedPreceding, -1))
     rows = lines.select(*_UNIT, "line", (F.coalesce(before, F.lit(0)) + 1).alias("start_line"), (F.coalesce(after, F.max("line").over(W.partitionBy(*_UNIT)) + 1) - 1).alias("end_line"))
     return labels.join(rows, [*_UNIT, "line"])
 

@@ -32,14 +32,13 @@ def elements(units: DataFrame) -> DataFrame:
     every element, with the bounds of what is between its tags and the start of the element
     around it. An element that is never closed runs to the end of its unit. The windows
     carry offsets only, no text."""
-    tags = units.select(*_PLACE, "content", F.posexplode(text.scan_tags(F.col("content"))).alias("n", "tag")).select(*_PLACE, "content", "n", "tag.*")
-    single = (F.substr("content", F.col("end") - 1, F.lit(1)) == "/") & ~F.col("closing")
-    tags = tags.withColumn("single", single).withColumn("length", F.length("content")).drop("content")
+    scanned = units.select(*_PLACE, F.length("content").alias("length"), text.scan_tags(F.col("content"), xml=True).alias("tags"))
+    tags = scanned.select(*_PLACE, "length", F.posexplode("tags").alias("n", "tag")).select(*_PLACE, "length", "n", "tag.*")
     step = F.when(F.col("closing"), -1).when(F.col("single"), 0).otherwise(1)
     before = F.coalesce(F.sum(step).over(W.partitionBy(*_PLACE).orderBy("n").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     tags = tags.withColumn("depth", F.when(F.col("closing"), before).otherwise(before + 1))
     close = F.when(F.col("closing"), F.struct("start", "end"))
-    after = F.first(close, ignorenulls=True).over(W.partitionBy(*_PLACE, "depth").orderBy("n").rowsBetween(1, W.unboundedFollowing))
+    after = F.last(close, ignorenulls=True).over(W.partitionBy(*_PLACE, "depth").orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, -1))
     stop = F.when(F.col("single"), F.col("end")).otherwise(F.coalesce(after["end"], "length"))
     inner_stop = F.when(F.col("single"), F.col("end")).otherwise(F.coalesce(after["start"], "length"))
     found = tags.withColumn("stop", stop).withColumn("inner_stop", inner_stop).where(~F.col("closing"))

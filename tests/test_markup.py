@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from lemmaflow.functions import text
-from lemmaflow.operators import views
+import random
+import re
+import time
+
+from lemmaflow.functions import tex, text
+from lemmaflow.operators import regions, views
 from lemmaflow.plans import graph
 from lemmaflow.sources import books, markup
 from pyspark.sql import functions as F
@@ -69,3 +73,39 @@ def test_views(spark):
     assert tuple(one.first()) == (2, 0, 2019, 2020, None, "e mile co")
     same = text.same_identity(F.lit("a"), F.lit("a"), F.lit("b c"), F.lit("b"))
     assert spark.range(1).select(same.alias("x"), text.same_identity(F.lit(""), F.lit(""), F.lit("b"), F.lit("b")).alias("y")).first() == (True, False)
+
+
+def test_tags_of_random_text_as_by_backtracking():
+    """The linear scanner against the plain pattern, which is slow on tags that never end."""
+    tag = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([A-Za-z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+    rng = random.Random(3)
+    pieces = ["<a", "<b", "</a", ">", "/>", '"', "'", " x=", " y='1'", ' z="2 > 1"', "<!--", "-->", "<![CDATA[", "]]>", "text ", "<", "=", "\n", "W:i="]
+    for _ in range(4000):
+        source = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 14)))
+        plain = [(m.start(), m.end(), bool(m[1]), m[2]) for m in tag.finditer(source) if m[2]]
+        assert [(t["start"], t["end"], t["closing"], t["name"]) for t in text.tags_of(source, xml=True)] == plain, source
+
+
+def test_long_pages_and_units_take_seconds(spark):
+    began = time.time()
+    pages = spark.createDataFrame([("c", "u", "<a " * 350_000), ("c", "v", "<p>x" * 200_000), ("c", "w", "<a " + "x" * 1_000_000 + ">")], "component string, unit string, content string")
+    assert {r["unit"]: r["n"] for r in markup.elements(pages).groupBy("unit").agg(F.count("*").alias("n")).collect()} == {"v": 200_000, "w": 1}
+    body = "\n".join(("\\section{a}", "text here", "")[k % 3] for k in range(500_000))
+    lines = regions.lines_of(spark.createDataFrame([("c", "u", body)], "component string, unit string, content string"))
+    labels = lines.where("line % 3 = 2").select("component", "unit", "line")
+    assert regions.prose_ranges(lines, labels).where("start_line = line and end_line = line").count() == 166_667
+    assert regions.section_ranges(lines).where("end_line = start_line + 1").count() == 166_666 + 1
+    assert time.time() - began < 120
+
+
+def test_xml_names_keep_their_case(spark):
+    rows = spark.createDataFrame([("<Sec xml:Id='A'>x</Sec><script><b></script>",)], "s string").select(F.explode(text.scan_tags(F.col("s"), xml=True)).alias("t")).select("t.*").collect()
+    assert [(r["name"], r["attributes"]) for r in rows] == [("Sec", {"xml:Id": "A"}), ("Sec", {}), ("script", {}), ("b", {}), ("script", {})]
+
+
+def test_build_conditionals_keep_offsets(spark):
+    source = "a\n\\ifdefined\\x\nx\ny\r\n\\fi\nb \\ifdefined\\x 1\\fi\\ifdefined\\x 2\\fi c \\ifdefined\\x open"
+    got = spark.createDataFrame([(source,), ("plain",), (None,)], "s string").select(tex.without_build_conditionals(F.col("s"), r"\\ifdefined\\x").alias("o"))
+    first, second, third = [r["o"] for r in got.collect()]
+    assert first == "a\n" + " " * 12 + "\n \n \r\n   \nb " + " " * 17 + " " * 17 + " c \\ifdefined\\x open" and len(first) == len(source)
+    assert (second, third) == ("plain", None)
