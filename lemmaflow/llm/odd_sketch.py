@@ -3,13 +3,15 @@
 ``SAMPLES`` MinHash samples of a set give ``BANDS`` keys of ``BAND_ROWS`` samples, and are folded into a
 bitmap in which each sample flips one bit. Sets that share a key are candidates; the bits in which their
 bitmaps differ are at most two for each sample that differs, so a count over ``MOST_BITS`` rules a pair
-out, and what is left is confirmed on the full sets. A pair of similarity 0.85 shares no key with
-probability 6e-9 and is ruled out by its bitmaps with less than 1e-9; nothing else is lost.
+out. A second bitmap, in which each shingle flips a bit, differs in no more bits than the sets in
+shingles, and rules out what is too different for its size without any loss; what is left is confirmed on
+the full sets. A pair of similarity 0.85 shares no key with probability 6e-9 and is ruled out by
+the first bitmap with less than 1e-9; nothing else is lost.
 
 Only distinct sets meet. First every set of a bucket is tried with the least one. Buckets that
 then hold several components are cut into cells: all but the largest component is compared,
 bitmap by bitmap, with everything else of the bucket, a cell having at most two blocks of
-``BLOCK_ROWS`` sets. Each set offers its nearest few in other components, then more, at last all,
+``BLOCK_ROWS`` sets. Each set offers its nearest few in other components, then, where that left any out, all,
 so that sets which differ from one another but not from a common original meet that one first.
 
 Defined cases: null texts and texts without words have an empty set, which is linked with
@@ -40,8 +42,9 @@ SKETCH_BITS = 1024
 LOSS = 1e-9
 BLOCK_ROWS = 4096
 #: how many of the nearest sets of other components each set offers, round by round
-WIDTHS = (4, 64, None)
-_ROWS_AT_ONCE = 64
+WIDTHS = (4, None)
+WHOLE_BITS = 2048
+_PAIRS_AT_ONCE = 1 << 18
 
 
 def _most_bits() -> int:
@@ -61,38 +64,51 @@ def samples(found: np.ndarray) -> np.ndarray:
     """The MinHash samples of a set that is not empty."""
     short = (mix(found.view(np.uint64)) >> np.uint64(32)).astype(np.uint32)
     least = np.full(SAMPLES, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(short), 1024):
-        part = short[at : at + 1024]
+    for at in range(0, len(short), 256):
+        part = short[at : at + 256]
         np.minimum(least, ((part[None, :] ^ _FLIPS[:, None]) * _FACTORS[:, None]).min(axis=1), out=least)
     return least
 
 
 def band_keys(sampled: np.ndarray) -> np.ndarray:
-    """A hash of each band's samples and number."""
-    key = np.arange(BANDS, dtype=np.uint64)
-    for column in sampled.reshape(BANDS, BAND_ROWS).T:
-        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + column)
+    """For rows of samples, a hash of each band's samples and number."""
+    key = np.tile(np.arange(BANDS, dtype=np.uint64), (len(sampled), 1))
+    bands = sampled.reshape(len(sampled), BANDS, BAND_ROWS)
+    for k in range(BAND_ROWS):
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + bands[:, :, k])
     return key.view(np.int64)
 
 
+def _bitmaps(spots: np.ndarray, owners: np.ndarray, rows: int, bits: int) -> np.ndarray:
+    """For each owner the bits that an odd number of its spots falls on, as 64-bit words."""
+    odd = np.bincount(owners * bits + spots.astype(np.int64), minlength=rows * bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).reshape(rows, bits // 64)
+
+
 def odd_sketch(sampled: np.ndarray) -> np.ndarray:
-    """Bits that an odd number of samples falls on, as 64-bit words."""
+    """For rows of samples, the bitmap in which each sample flips a bit."""
     spots = mix(sampled.astype(np.uint64) + (np.arange(SAMPLES, dtype=np.uint64) << np.uint64(32))) % np.uint64(SKETCH_BITS)
-    odd = np.bincount(spots.astype(np.int64), minlength=SKETCH_BITS) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+    return _bitmaps(spots.ravel(), np.repeat(np.arange(len(sampled)), SAMPLES), len(sampled), SKETCH_BITS)
+
+
+def whole_sketch(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set, the bitmap in which each of its shingles flips a bit."""
+    spots = mix(~np.concatenate([np.empty(0, np.int64), *sets]).view(np.uint64)) % np.uint64(WHOLE_BITS)
+    return _bitmaps(spots, np.repeat(np.arange(len(sets)), [len(x) for x in sets]), len(sets), WHOLE_BITS)
 
 
 def described(text: Column) -> Column:
-    """A struct of the set's hash, its size, keys of its bands and its bitmap."""
+    """A struct of the set's hash, its size, keys of its bands and its two bitmaps."""
 
-    @F.pandas_udf("fp long, n long, bands array<long>, sketch array<long>")
+    @F.pandas_udf("fp long, n long, bands array<long>, sketch array<long>, whole array<long>")
     def made(texts: pd.Series) -> pd.DataFrame:
-        rows, none = [], np.empty(0, np.int64)
-        for x in texts:
-            found = shingles(x)
-            sampled = samples(found) if len(found) else None
-            rows.append((set_print(found), len(found), none, none) if sampled is None else (set_print(found), len(found), band_keys(sampled), odd_sketch(sampled)))
-        return pd.DataFrame(rows, columns=["fp", "n", "bands", "sketch"]).astype({"bands": object, "sketch": object})
+        parts = []
+        for at in range(0, len(texts), 256):
+            sets = [shingles(x) for x in texts.iloc[at : at + 256]]
+            sampled = np.stack([samples(x) if len(x) else np.zeros(SAMPLES, np.uint32) for x in sets])
+            columns = {"fp": [set_print(x) for x in sets], "n": [len(x) for x in sets]}
+            parts.append(pd.DataFrame(columns | {"bands": list(band_keys(sampled)), "sketch": list(odd_sketch(sampled)), "whole": list(whole_sketch(sets))}))
+        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=["fp", "n", "bands", "sketch", "whole"])
 
     return made(text)
 
@@ -103,11 +119,11 @@ def _sizes_fit(one: Column, two: Column) -> Column:
 
 def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that their bitmaps do not rule out."""
-    one, two = sets.select(F.col("fp").alias("fa"), F.col("sketch").alias("sa")), sets.select(F.col("fp").alias("fb"), F.col("sketch").alias("sb"))
-    joined = pairs.join(one.hint("merge"), pairs["a"] == one["fa"]).drop("fa")
-    joined = joined.join(two.hint("merge"), joined["b"] == two["fb"]).drop("fb")
-    differing = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return joined.where(differing <= MOST_BITS).select("a", "b")
+    side = lambda k: sets.select(F.col("fp").alias(f"f{k}"), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"), F.col("whole").alias(f"w{k}"))
+    one, two = side(1), side(2)
+    joined = pairs.join(one.hint("merge"), pairs["a"] == one["f1"]).join(two.hint("merge"), pairs["b"] == two["f2"])
+    differing = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, c: s + c)
+    return joined.where((differing("s1", "s2") <= MOST_BITS) & (differing("w1", "w2") * (100 + PERCENT) <= (F.col("n1") + F.col("n2")) * (100 - PERCENT))).select("a", "b")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
@@ -129,35 +145,42 @@ def confirmed(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     return found
 
 
-def cell_pairs(rows: pd.DataFrame, width: int | None) -> list[tuple[np.ndarray, np.ndarray]]:
-    """rows of one cell: (fp, n, label, sketch, offers, taken). Pairs of each set that offers with the
-    ``width`` nearest of those that can be taken, are of another component and are not ruled out."""
-    left, right = rows[rows["offers"]], rows[rows["taken"]].sort_values("fp")
-    a, b = (np.stack(side["sketch"].to_numpy()).view(np.uint64) for side in (left, right)) if len(left) and len(right) else ((), ())
-    found = []
-    for at in range(0, len(a), _ROWS_AT_ONCE):
-        part = left.iloc[at : at + _ROWS_AT_ONCE]
-        bits = np.bitwise_count(a[at : at + _ROWS_AT_ONCE, None, :] ^ b[None, :, :]).sum(axis=2, dtype=np.int32)
-        n1, n2 = part["n"].to_numpy()[:, None], right["n"].to_numpy()[None, :]
-        fits = (np.minimum(n1, n2) * 100 >= np.maximum(n1, n2) * PERCENT) & (part["label"].to_numpy()[:, None] != right["label"].to_numpy()[None, :])
-        for k, row in enumerate(fits & (bits <= MOST_BITS)):
-            near = np.flatnonzero(row)
-            near = near[np.argsort(bits[k, near], kind="stable")][:width]
-            if len(near):
-                found.append((np.full(len(near), part["fp"].iloc[k]), right["fp"].to_numpy()[near]))
-    return found
+def cell_pairs(rows: pd.DataFrame, width: int | None) -> Iterator[pd.DataFrame]:
+    """rows of whole cells: (key, cell, fp, n, label, sketch, whole, offers, taken). Pairs (a, b) of each set that
+    offers with the ``width`` nearest of those in its cell that can be taken, are of another component and
+    are not ruled out; ``cut`` where there are more. Pairs are looked at in blocks of bounded size."""
+    cell = rows.groupby(["key", "cell"], sort=False).ngroup().to_numpy()
+    fp, n, label = (rows[c].to_numpy(np.int64) for c in ("fp", "n", "label"))
+    sketch, whole = (np.stack(rows[c].to_numpy()).view(np.uint64) for c in ("sketch", "whole"))
+    left, right = (np.flatnonzero(rows[c].to_numpy(bool)) for c in ("offers", "taken"))
+    left, right = left[np.argsort(cell[left], kind="stable")], right[np.lexsort((fp[right], cell[right]))]
+    first, last = (np.searchsorted(cell[right], cell[left], side) for side in ("left", "right"))
+    block = np.cumsum(last - first) // _PAIRS_AT_ONCE
+    for part in np.split(np.arange(len(left)), np.flatnonzero(np.diff(block)) + 1):
+        times = (last - first)[part]
+        a = np.repeat(left[part], times)
+        b = right[np.arange(len(a)) + np.repeat(first[part] - (np.cumsum(times) - times), times)]
+        fits = (label[a] != label[b]) & (np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * PERCENT)
+        a, b = a[fits], b[fits]
+        bits = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.int64)
+        close = bits <= MOST_BITS
+        a, b, bits = a[close], b[close], bits[close]
+        apart = np.bitwise_count(whole[a] ^ whole[b]).sum(axis=1, dtype=np.int64)
+        close = apart * (100 + PERCENT) <= (n[a] + n[b]) * (100 - PERCENT)
+        a, b, bits = a[close], b[close], bits[close]
+        order = np.lexsort((fp[b], bits, a))
+        a, b = a[order], b[order]
+        starts = np.flatnonzero(np.diff(a, prepend=-1))
+        rank = np.arange(len(a)) - np.repeat(starts, np.diff(starts, append=len(a)))
+        kept = rank < (len(a) if width is None else width)
+        more = np.isin(a, a[~kept])
+        yield pd.DataFrame({"a": np.maximum(fp[a], fp[b])[kept], "b": np.minimum(fp[a], fp[b])[kept], "cut": more[kept]})
 
 
 def _cells(width: int | None):
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Batches sorted by (key, cell); a cell may run over several batches."""
         held: pd.DataFrame | None = None
-
-        def settle(rows: pd.DataFrame) -> pd.DataFrame:
-            found = [p for _, cell in rows.groupby(["key", "cell"], sort=False) for p in cell_pairs(cell, width)]
-            a, b = (np.concatenate([np.empty(0, np.int64), *(p[k] for p in found)]) for k in (0, 1))
-            return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)})
-
         for batch in batches:
             if not len(batch):
                 continue
@@ -165,9 +188,9 @@ def _cells(width: int | None):
             last = (rows["key"] == rows["key"].iloc[-1]) & (rows["cell"] == rows["cell"].iloc[-1])
             held = rows[last]
             if not last.all():
-                yield settle(rows[~last])
+                yield from cell_pairs(rows[~last], width)
         if held is not None and len(held):
-            yield settle(held)
+            yield from cell_pairs(held, width)
 
     return made
 
@@ -183,7 +206,7 @@ def cells(members: DataFrame, labels: DataFrame, sets: DataFrame, block_rows: in
     blocks = lambda rows: F.ceil(rows / block_rows).cast("int")
     buckets = buckets.select(F.col("key").alias("k"), F.col("top")["main"].alias("main"), blocks(F.col("top")["rows"]).alias("main_blocks"), blocks(F.col("all") - F.col("top")["rows"]).alias("blocks"))
     open_ = stash(named.join(buckets.hint("merge"), named["key"] == buckets["k"]).drop("k"), "odd-open")
-    open_ = open_.join(sets.select(F.col("fp").alias("f"), "n", "sketch").hint("merge"), F.col("fp") == F.col("f")).drop("f")
+    open_ = open_.join(sets.select(F.col("fp").alias("f"), "n", "sketch", "whole").hint("merge"), F.col("fp") == F.col("f")).drop("f")
     deal = lambda n: F.pmod(F.xxhash64("fp"), n).cast("int")
     to = lambda i, j, offers, taken: F.struct((i.cast("long") * (1 << 32) + j).alias("cell"), F.lit(offers).alias("offers"), F.lit(taken).alias("taken"))
     each = lambda n, entry: F.transform(F.sequence(F.lit(0), n - 1), entry)
@@ -193,11 +216,11 @@ def cells(members: DataFrame, labels: DataFrame, sets: DataFrame, block_rows: in
     with_main = each(F.col("main_blocks"), lambda j: to(mine, -1 - j, True, False))
     among = each(F.col("blocks"), lambda j: F.when(j < mine, to(j, mine, False, True)).otherwise(to(mine, j, True, j == mine)))
     dealt = F.when(F.col("label") == F.col("main"), main).otherwise(F.concat(with_main, among))
-    return open_.select("key", F.explode(dealt).alias("e"), "fp", "n", "label", "sketch").select("key", "e.*", "fp", "n", "label", "sketch")
+    return open_.select("key", F.explode(dealt).alias("e"), "fp", "n", "label", "sketch", "whole").select("key", "e.*", "fp", "n", "label", "sketch", "whole")
 
 
 def links(sets: DataFrame, texts: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """sets: distinct (fp, n, bands, sketch, print) without the empty one; texts: (print, text).
+    """sets: distinct (fp, n, bands, sketch, whole, print) without the empty one; texts: (print, text).
     Edges (a, b) with the same components as all pairs of sets with the similarity."""
     entries = sets.select(F.explode("bands").alias("key"), "fp", "n")
     buckets = entries.groupBy("key").agg(F.count("*").alias("rows"), F.min(F.struct("fp", "n")).alias("least")).where("rows > 1")
@@ -211,10 +234,13 @@ def links(sets: DataFrame, texts: DataFrame, block_rows: int = BLOCK_ROWS) -> Da
     for width in WIDTHS:
         labels = stash(components(found), "odd-round")
         dealt = cells(members, labels, sets, block_rows).repartition(parts, "key", "cell").sortWithinPartitions("key", "cell")
-        tried = stash(dealt.mapInPandas(_cells(width), "a long, b long").distinct(), "odd-tried")
+        tried = dealt.mapInPandas(_cells(width), "a long, b long, cut boolean").groupBy("a", "b").agg(F.max("cut").alias("cut"))
+        tried = stash(tried, "odd-tried")
         if not tried.limit(1).count():
             break
-        found = stash(found.unionByName(confirmed(tried, sets, texts)).distinct(), "odd-found")
+        found = stash(found.unionByName(confirmed(tried.select("a", "b"), sets, texts)).distinct(), "odd-found")
+        if not tried.where("cut").limit(1).count():
+            break
     return found
 
 
@@ -222,7 +248,7 @@ def group(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``docs``."""
     made = docs.select("doc_id", F.xxhash64("text").alias("print"), described(F.col("text")).alias("s"))
     rows = stash(made.select("doc_id", "print", "s.*"), "odd-rows")
-    firsts = [F.any_value(c).alias(c) for c in ("n", "bands", "sketch", "print")]
+    firsts = [F.any_value(c).alias(c) for c in ("n", "bands", "sketch", "whole", "print")]
     sets = stash(rows.where("n > 0").groupBy("fp").agg(*firsts, F.min("doc_id").alias("least")), "odd-sets")
     texts = docs.select(F.xxhash64("text").alias("print"), "text")
     labels = stash(components(links(sets, texts)), "odd-labels")

@@ -102,7 +102,7 @@ def test_every_pair_of_a_bucket_meets_once(spark):
     prints = [int(x) for x in rng.integers(-(1 << 62), 1 << 62, 60)]
     members = spark.createDataFrame([(7, f) for f in prints], "key long, fp long")
     labels = spark.createDataFrame([(f, prints[0] if k < 35 else f) for k, f in enumerate(prints)], "node long, label long")
-    sets = spark.createDataFrame([(f, 10, [0] * 16) for f in prints], "fp long, n long, sketch array<long>")
+    sets = spark.createDataFrame([(f, 10, [0] * 16, [0] * 32) for f in prints], "fp long, n long, sketch array<long>, whole array<long>")
     dealt = odd_sketch.cells(members, labels, sets, 4).toPandas()
     met = []
     for _, cell in dealt.groupby("cell"):
@@ -129,10 +129,13 @@ def test_samples_are_fair():
             real = common / len(x)
             same = int((s == t).sum())
             agreed.append((same - 240 * real) / (240 * real * (1 - real)) ** 0.5)
-            bits = int(np.bitwise_count(odd_sketch.odd_sketch(s).view(np.uint64) ^ odd_sketch.odd_sketch(t).view(np.uint64)).sum())
-            assert bits <= 2 * (240 - same)
+            one, two = odd_sketch.odd_sketch(np.stack((s, t))).view(np.uint64)
+            bits = int(np.bitwise_count(one ^ two).sum())
+            one, two = odd_sketch.whole_sketch([a, b]).view(np.uint64)
+            assert bits <= 2 * (240 - same) and np.bitwise_count(one ^ two).sum() <= 2 * rest
             if real >= 0.85:
-                assert bits <= odd_sketch.MOST_BITS and set(odd_sketch.band_keys(s)) & set(odd_sketch.band_keys(t))
+                keys = odd_sketch.band_keys(np.stack((s, t)))
+                assert bits <= odd_sketch.MOST_BITS and set(keys[0]) & set(keys[1])
         assert abs(np.mean(agreed)) < 0.25 and np.std(agreed) < 1.25
 
 
