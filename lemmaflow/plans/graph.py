@@ -1,4 +1,4 @@
-"""Graph iterations as joins of a frontier with the edges (GRF01-GRF07, GRF09-GRF14, GRF16).
+"""Graph iterations as joins of a frontier with the edges (GRF01-GRF16).
 
 Edges are (src, dst), dependent to prerequisite. Every round's table is written to the
 shared folder, so plans stay short and a lost executor costs one round's tasks at most.
@@ -207,3 +207,64 @@ def end_of_chain(pointers: DataFrame, limit: int = 64) -> DataFrame:
             break
     ends = pointers.select(F.col("node").alias("last")).distinct().withColumn("broken", F.lit(True))
     return at.join(ends, "last", "left").select("node", "last", F.coalesce("broken", F.lit(False)).alias("broken"))
+
+
+def greedy_acyclic(edges: DataFrame) -> DataFrame:
+    """edges: (src, dst, seq), seq a whole number that no two share. Adds ``taken``: whether the edge closes no cycle
+    with those taken before it, in the order of seq. Only edges inside a strong component can be refused. The first
+    that closes a cycle is found by halving, in all components at once, by the prefix of edges that leaves no
+    way round; so a run of taken edges costs a logarithm of rounds, and each round refuses an edge a component."""
+    rows = stash(edges.select("src", "dst", "seq"), "greedy-edges")
+    refused = [stash(rows.where("src = dst").select("seq"), "greedy-loops")]
+    left = stash(rows.where("src <> dst"), "greedy-left")
+    while True:
+        component = stash(strong_components(left), "greedy-components")
+        inside = left.join(component.toDF("src", "component"), "src").join(component.toDF("dst", "other"), "dst").where("component = other")
+        inside = stash(inside.select("src", "dst", "seq", "component"), "greedy-inside")
+        if not inside.limit(1).count():
+            break
+        bounds = stash(inside.groupBy("component").agg((F.min("seq") - 1).alias("low"), F.max("seq").alias("high")), "greedy-bounds")
+        while True:
+            between = inside.join(bounds, "component").where("seq > low and seq < high")
+            middle = stash(between.groupBy("component").agg(F.percentile_approx("seq", 0.5).alias("middle")), "greedy-middle")
+            if not middle.limit(1).count():
+                break
+            prefix = inside.join(middle, "component").where("seq <= middle")
+            round_ = _trim(stash(prefix.select("src", "dst"), "greedy-prefix"), "greedy-trim")
+            closed = round_.select(F.col("src").alias("node")).distinct().join(component, "node").select("component").distinct().withColumn("closed", F.lit(True))
+            halved = bounds.join(middle, "component", "left").join(closed, "component", "left")
+            known, yes = F.col("middle").isNotNull(), F.coalesce("closed", F.lit(False))
+            bounds = stash(halved.select("component", F.when(known & ~yes, F.col("middle")).otherwise(F.col("low")).alias("low"), F.when(known & yes, F.col("middle")).otherwise(F.col("high")).alias("high")), "greedy-bounds")
+        refused.append(stash(bounds.select(F.col("high").alias("seq")), "greedy-refused"))
+        left = stash(inside.join(refused[-1], "seq", "left_anti").select("src", "dst", "seq"), "greedy-left")
+    gone = _all(refused).withColumn("gone", F.lit(True))
+    return rows.join(gone, "seq", "left").select("src", "dst", "seq", F.col("gone").isNull().alias("taken"))
+
+
+def first_visit_tree(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """edges: (src, dst, seq), roots: (root, seq), seq a whole number that orders a node's edges and the roots. (parent, node, path,
+    kind) in the order of a walk when sorted by path: ``first`` where a node is met first, ``shared`` where it is met
+    again, ``cycle`` where it stands on the path already. A node is met first on its least path, and least paths
+    are those of the nodes before it with one more step, so they spread along the edges until none gets less;
+    a round is a step of depth. Sorted by the path with a last number above all, nodes come after what they need.
+    For graphs with cycles a walk may meet nodes in another order: edges of ``greedy_acyclic`` first."""
+    rows = stash(edges.select("src", "dst", F.col("seq").cast("long").alias("seq")), "tree-edges")
+    start = roots.groupBy(F.col("root").alias("node")).agg(F.array(F.min("seq").cast("long")).alias("path"))
+    best = stash(start.withColumn("parent", F.lit(None).cast(dict(rows.dtypes)["src"])), "tree-best")
+    fresh = best
+    while fresh.limit(1).count():
+        step = fresh.join(rows, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), F.struct(F.array_append("path", F.col("seq")).alias("path"), F.col("src").alias("parent")).alias("way"))
+        step = step.groupBy("node").agg(F.min("way").alias("way"))
+        both = best.join(step, "node", "full_outer")
+        better = F.col("way").isNotNull() & (F.col("path").isNull() | (F.col("way.path") < F.col("path")))
+        pick = lambda c: F.when(better, F.col(f"way.{c}")).otherwise(F.col(c)).alias(c)
+        moved = stash(both.select("node", pick("path"), pick("parent"), better.alias("fresh")), "tree-step")
+        best, fresh = moved.select("node", "path", "parent"), moved.where("fresh").select("node", "path")
+    own = best.select(F.col("node").alias("src"), F.col("path").alias("up"))
+    seen = best.select(F.col("node").alias("dst"), F.col("path").alias("first"))
+    met = rows.join(own, "src").join(seen, "dst").withColumn("path", F.array_append("up", F.col("seq")))
+    on_path = (F.size("first") <= F.size("up")) & (F.slice("up", 1, F.size("first")) == F.col("first"))
+    kind = F.when(F.col("path") == F.col("first"), "first").when(on_path, "cycle").otherwise("shared")
+    again = roots.select(F.col("root").alias("dst"), F.array(F.col("seq").cast("long")).alias("path")).join(seen, "dst")
+    tops = again.select(F.lit(None).cast(dict(rows.dtypes)["src"]).alias("parent"), F.col("dst").alias("node"), "path", F.when(F.col("path") == F.col("first"), "first").otherwise("shared").alias("kind"))
+    return met.select(F.col("src").alias("parent"), F.col("dst").alias("node"), "path", kind.alias("kind")).unionByName(tops)
