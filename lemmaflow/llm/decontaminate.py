@@ -8,12 +8,14 @@ location. Where a document is hit, its suffixes are placed in the suffix array o
 whose neighbours there give the longest verbatim match.
 
 Items go in blocks of about ``BLOCK_BYTES`` of text, hashed, of which the driver and the tasks
-hold one at a time. A single block is searched within the plan and nothing is shuffled;
-several are one pass each, whose hits are written to the shared folder and merged by text.
+hold one at a time. Equal items are one, an item of over ``PIECE_BYTES`` is cut into pieces that share
+``OVERLAP_BYTES`` and at least a window, and there are as many blocks as keep the largest within twice
+its size, which is checked before one is fetched. A single block is searched within the plan and nothing is
+shuffled; several are one pass each, whose hits are written to the shared folder and merged by text.
 
 Defined cases: a null or empty text has no words; an item without words is never found;
 an item with a null id counts as having the empty id; items that share an id are one
-item; repeated documents are judged alike; long documents are searched in overlapping
+item; the longest match with an item that was cut is that with one of its pieces; repeated documents are judged alike; long documents are searched in overlapping
 shards; words that repeat without end cost no pairs; with no items nothing is contaminated;
 a column name that is taken is lengthened.
 """
@@ -34,6 +36,8 @@ from .common import free_name, stash, table, text_key
 WINDOW = 10
 SHARD_BYTES = 2 << 20
 BLOCK_BYTES = 8 << 20
+PIECE_BYTES = 2 << 20
+OVERLAP_BYTES = 64 << 10
 _RANK_BITS = 21  # three ranks make a key; a shard has fewer than 2**21 words
 _GAP, _ITEM_GAP = np.zeros(1, np.uint64), np.ones(1, np.uint64)  # no word's hash: matches cross neither
 _HITS = "n_words long, runs array<struct<start:int,end:int>>, items array<string>, longest long"
@@ -275,11 +279,43 @@ def _merged(runs: pd.Series) -> pd.Series:
     return pd.Series([_unions(np.array([r["start"] for r in x]), np.array([r["end"] for r in x])) for x in runs], dtype=object)
 
 
+def pieces(text: str | None, most: int, overlap: int) -> list[str]:
+    """The text, or if it has over ``most`` bytes, parts of it that between them hold all its windows."""
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    if len(raw) <= most:
+        return [text] if text else []
+    starts, ends = rolling.word_bounds(np.frombuffer(raw.lower(), np.uint8), rolling.ALNUM)
+    found, first = [], 0
+    while first < len(starts):
+        last = min(len(starts), max(int(np.searchsorted(ends, starts[first] + most, "right")), first + 2 * WINDOW))
+        found.append(raw[starts[first] : ends[last - 1]].decode("utf-8", "replace"))
+        if last == len(starts):
+            break
+        first = max(first + 1, min(last - WINDOW + 1, int(np.searchsorted(starts, ends[last - 1] - overlap))))
+    return found
+
+
+def _blocks(benchmark: DataFrame) -> tuple[DataFrame, int]:
+    """The distinct pieces (i, text) of the items, and how many hashed blocks they make."""
+    bounds = PIECE_BYTES, OVERLAP_BYTES
+    cut = F.pandas_udf(lambda texts: pd.Series([pieces(x, *bounds) for x in texts], dtype=object), "array<string>")
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), "text").where("text is not null").distinct()
+    items = stash(rows.select("i", F.explode(cut("text")).alias("text")).distinct(), "leak-items")
+    size = F.octet_length("text")
+    total, largest = items.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max(size), F.lit(0))).first()
+    blocks = max(1, -(-total // BLOCK_BYTES))
+    while blocks > 1:
+        most = items.groupBy(F.pmod(F.xxhash64("i", "text"), F.lit(blocks))).agg(F.sum(size).alias("n")).agg(F.max("n")).first()[0]
+        if most <= max(2 * BLOCK_BYTES + PIECE_BYTES, largest):  # words of megabytes make larger pieces
+            break
+        blocks *= 2
+    return items, blocks
+
+
 def _searched(docs: DataFrame, benchmark: DataFrame, name: str) -> DataFrame:
     """``docs`` with a struct column of _HITS."""
     spark = docs.sparkSession
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), "text")
-    blocks = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))
+    items, blocks = _blocks(benchmark)
 
     def block(k: int) -> Broadcast:
         mine = items.where(F.pmod(F.xxhash64("i", "text"), F.lit(blocks)) == k)

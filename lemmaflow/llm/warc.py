@@ -204,7 +204,7 @@ def _head(piece: bytes) -> tuple[list[dict], int, int | None]:
 
 
 def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """batches: (file, split, piece) in the order of the files."""
+    """batches: (file, piece) in the order of the files, each file's pieces together."""
     held: list[bytes] = []
     source, missing, head = None, 0, ([], 0, None)
 
@@ -220,14 +220,14 @@ def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for batch in batches:
         rows = []
-        for file, split, piece in zip(batch["file"], batch["split"], batch["piece"]):
-            if held and source == (file, split) and missing > 0:
+        for file, piece in zip(batch["file"], batch["piece"]):
+            if held and source == file and missing > 0:
                 held += [_CUT, piece]
                 missing -= len(_CUT) + len(piece)
                 continue
             if held:
                 rows.append(row())
-            source, held = (file, split), [piece]
+            source, held = file, [piece]
             head = _head(piece)
             missing = (head[2] or 0) - (len(piece) - head[1])
         yield pd.DataFrame(rows, columns=[*_NAMED, "headers", "block", "complete"])
@@ -237,10 +237,17 @@ def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Records of uncompressed or gzipped WARC files, with a column ``complete``: false for
-    a block that isn't as long as its Content-Length says."""
+    a block that isn't as long as its Content-Length says. A record ends where its length says, so a file's
+    pieces are read in one order: as they come from a gzipped file, which is never split; those of
+    other files, which may come from several splits, are brought together by file first."""
     text = spark.read.option("lineSep", _CUT.decode()).text(path)
-    rows = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("value").cast("binary").alias("piece"))
-    return rows.where(F.octet_length("piece") > 0).mapInPandas(_records, _READ)
+    packed = F.col("_metadata.file_name").endswith(".gz")
+    piece = [F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("piece")]
+    whole = text.where(packed).select(*piece)
+    split = text.where(~packed).select(*piece, F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("place"))
+    split = split.repartition("file").sortWithinPartitions("file", "split", "place").select("file", "piece")
+    made = [rows.where(F.octet_length("piece") > 0).mapInPandas(_records, _READ) for rows in (whole, split)]
+    return made[0].unionByName(made[1])
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -239,6 +239,24 @@ def test_read_bytes_and_versions(spark, tmp_path):
     assert {k: bytes(r.block) for k, r in back.items()} == {"<urn:1>": every, "<urn:2>": nested, "<urn:3>": b"", "<urn:4>": b"\r\n"}
     assert all(r.complete for r in back.values()) and back["<urn:1>"].record_type == "response"
 
+    many = made.where("record_id in ('<urn:1>', '<urn:2>')").withColumn("record_id", F.explode(F.transform(F.sequence(F.lit(1), F.lit(40)), lambda k: F.concat("record_id", k.cast("string")))))
+    warc.write_warc(many.coalesce(1), str(tmp_path / "many"))
+    (plain,) = (tmp_path / "many").glob("part-*")
+    data = plain.read_bytes()
+    (tmp_path / "zipped").mkdir()
+    (tmp_path / "zipped" / "part.warc.gz").write_bytes(gzip.compress(data))
+    (tmp_path / "many" / "older.warc").write_bytes(data.replace(b"WARC/1.1\r\nWARC-T", b"WARC/1.0\r\nWARC-T").replace(b"<urn:", b"<old:"))
+    usual = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("700", usual):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            for folder, names in (("many", ("<urn:", "<old:")), ("zipped", ("<urn:",))):
+                rows = {r.record_id: r for r in warc.read_warc(spark, str(tmp_path / folder)).collect()}
+                assert set(rows) == {f"{n}{k}>{m}" for n in names for k in (1, 2) for m in range(1, 41)} and all(r.complete for r in rows.values())
+                assert all(len(r.block) == len(every if ":1>" in k else nested) for k, r in rows.items())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", usual)
+
     one = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     two = b"WARC/1.0\r\nwarc-type: response\r\nX: a\r\n b\r\nContent-Length: 12\r\n\r\nshort\r\n\r\n"
     (tmp_path / "old.warc.gz").write_bytes(gzip.compress(one) + gzip.compress(one) + gzip.compress(two))

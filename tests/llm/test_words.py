@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -269,3 +270,26 @@ def test_only_selected_lines_become_rows(make):
     one = {r["print"] for r in made if r["doc_id"] == 1}
     assert any(r["print"] in one and 1 <= r["at"] <= 3 for r in made if r["doc_id"] == 2)
     assert {r.doc_id: r.removed for r in line_dedup.mark(docs).collect()} == {1: [], 2: [1, 2, 3]}
+
+
+def test_items_in_pieces(spark, make, monkeypatch):
+    """Long items and many equal ones: every window is found, and no block passes its bound."""
+    rng = random.Random(31)
+    words = lambda rng, n: " ".join(rng.choice(["ab", "cde", "fghij", "k", "lmnop", "q1"]) + str(rng.randint(0, 60)) for _ in range(n))
+    item = words(rng, 900)
+    split = item.split()
+    docs = make([(k, " ".join(split[7 * k : 7 * k + 10])) for k in range(120)] + [(500, words(rng, 50)), (501, " ".join(split[3:400]))])
+    rows = spark.range(3000).select(F.lit("a").alias("item_id"), F.lit(item).alias("text")).unionByName(spark.createDataFrame([("b", None), ("c", ""), ("d", "two words")], "item_id string, text string"))
+    whole = {r["doc_id"]: r["leak"] for r in decontaminate.match(docs, rows).collect()}
+    monkeypatch.setattr(decontaminate, "PIECE_BYTES", 300)
+    monkeypatch.setattr(decontaminate, "OVERLAP_BYTES", 60)
+    parts = decontaminate.pieces(item, 300, 60)
+    assert len(parts) > 15 and max(map(len, parts)) <= 300
+    for block in (decontaminate.BLOCK_BYTES, 900):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+        items, blocks = decontaminate._blocks(rows)
+        sizes = [r["n"] for r in items.groupBy(F.pmod(F.xxhash64("i", "text"), F.lit(blocks)).alias("k")).agg(F.sum(F.length("text")).alias("n")).collect()]
+        assert (blocks > 1) == (block == 900) and max(sizes) <= 2 * block + 300
+        cut = {r["doc_id"]: r["leak"] for r in decontaminate.match(docs, rows).collect()}
+        assert cut.keys() == whole.keys() and all(cut[k]["locations"] == whole[k]["locations"] and cut[k]["items"] == whole[k]["items"] for k in cut)
+    assert sum(x["contaminated"] for x in whole.values()) == 121
