@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..common import shared_folder, table
+from ..functions import identifiers
 from ..functions.json_text import digest, json_text
-from ..sources import component_files
+from ..operators import provider
+from ..plans import structure
+from ..sources import component_files, envelopes
 from .scalars import query
 
 
@@ -81,3 +84,75 @@ def src_component_metadata(spark: SparkSession, d: str) -> DataFrame:
     known = component_files.read_components(spark, folder, index_only=True)
     counts = parts.groupBy(F.lower(F.replace("p_brand", F.lit("#"), F.lit("-"))).alias("component")).agg(F.count("*").alias("parts"))
     return known.select("component", F.get_json_object("metadata", "$.graphState").alias("state"), F.get_json_object("metadata", "$.identity.sourceRecordId").alias("source_record")).join(counts, "component")
+
+
+_RULES = [
+    structure.Allowed("$", ("object",)), structure.Allowed("$.id", ("string",), pattern="^S[0-9]{4}$"), structure.Allowed("$.year", ("whole",), nullable=True), structure.Allowed("$.nodes", ("list",)),
+    structure.Allowed("$.nodes[]", ("object",)), structure.Allowed("$.nodes[].kind", ("string",), values=("lemma", "theorem")), structure.Allowed("$.nodes[].open", ("boolean",)),
+]
+
+
+@query("""SELECT c_custkey AS k, '$.extra' AS at, 'unknown-key' AS rule FROM customer WHERE c_custkey % 7 = 0
+UNION ALL SELECT c_custkey, '$.nodes[1].open', 'missing-key' FROM customer WHERE c_custkey % 5 = 0
+UNION ALL SELECT c_custkey, '$.nodes[0].kind', 'value' FROM customer WHERE c_custkey % 11 = 0
+UNION ALL SELECT c_custkey, '$.id', CASE WHEN c_custkey % 13 = 0 THEN 'type' ELSE 'pattern' END FROM customer WHERE c_custkey % 13 = 0 OR c_custkey > 9999
+UNION ALL SELECT c_custkey, '$.year', CASE WHEN c_custkey % 34 = 0 THEN 'missing-key' ELSE 'type' END FROM customer WHERE c_custkey % 17 = 0""")
+def val_structure(spark: SparkSession, d: str) -> DataFrame:
+    """A document for each customer, with violations of every kind by its key."""
+    k = F.col("c_custkey")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    key = k.cast("string")
+    id_ = F.when(k % 13 == 0, key).otherwise(text('"S', F.when(k > 9999, key).otherwise(F.lpad(key, 4, "0")), '"'))
+    year = F.when(k % 34 == 0, "").when(k % 17 == 0, ',"year":"x"').when(k % 3 == 0, ',"year":null').otherwise(text(',"year":', F.col("c_nationkey").cast("string")))
+    kind = F.when(k % 11 == 0, "idea").otherwise("lemma")
+    second = F.when(k % 5 == 0, '{"kind":"theorem"}').otherwise('{"open":false,"kind":"theorem"}')
+    extra = F.when(k % 7 == 0, ',"extra":{"deep":[1]}').otherwise("")
+    document = text('{"id":', id_, year, ',"nodes":[{"kind":"', kind, '","open":true},', second, "]", extra, "}")
+    return structure.violations(table(spark, d, "customer").select(k.alias("k"), document.alias("document")), "k", _RULES)
+
+
+_CUSTOMERS = "c AS (SELECT *, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) AS n, count(*) OVER (PARTITION BY c_nationkey) AS total FROM customer), p AS (SELECT *, n // 50 AS page, n % 50 AS place FROM c)"
+
+
+def _envelopes(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of 50 works for each nation; the last page of every third nation is not there, the first of every seventh has no date."""
+    place = W.partitionBy("c_nationkey").orderBy("c_custkey")
+    rows = table(spark, d, "customer").select("*", (F.row_number().over(place) - 1).alias("n"), F.count("*").over(W.partitionBy("c_nationkey")).alias("total"))
+    key = F.col("c_custkey").cast("string")
+    work = F.struct(
+        F.concat(F.lit("https://openalex.org/W"), key).alias("id"), F.concat(F.lit("https://doi.org/10.1/AB-"), key).alias("doi"), F.col("c_name").alias("title"),
+        F.array(F.struct(F.struct(F.col("c_mktsegment").alias("display_name")).alias("author"))).alias("authorships"), (1900 + F.col("c_nationkey")).alias("publication_year"),
+    )
+    page = F.floor(F.col("n") / 50)
+    made = rows.groupBy("c_nationkey", page.alias("page"), F.floor((F.col("total") - 1) / 50).alias("last")).agg(F.array_sort(F.collect_list(F.struct("n", work.alias("work")))).alias("works"))
+    cursor = lambda k: F.when(k == 0, "*").otherwise(F.concat(F.lit("c="), k.cast("string")))
+    url = envelopes.collection_url(F.concat(F.lit("cites:"), F.col("c_nationkey").cast("string")), cursor(F.col("page")), 50)
+    body = F.struct(F.transform("works", lambda w: w["work"]).alias("results"), F.struct(F.when(F.col("page") < F.col("last"), cursor(F.col("page") + 1)).alias("next_cursor")).alias("meta"))
+    kept = made.where((F.col("c_nationkey") % 3 != 0) | (F.col("page") < F.col("last")) | (F.col("last") == 0))
+    dated = F.when((F.col("c_nationkey") % 7 != 0) | (F.col("page") > 0), "t1")
+    return kept.select(url.alias("url"), dated.alias("retrieved_at"), F.to_json(body).alias("body"))
+
+
+def _read_back(spark: SparkSession, d: str) -> DataFrame:
+    folder = _folder(spark)
+    envelopes.write_envelopes(_envelopes(spark, d), folder)
+    return envelopes.read_envelopes(spark, folder)
+
+
+@query(f"""WITH {_CUSTOMERS} SELECT 'openalex-w' || c_custkey AS paper_id, c_name AS title, c_mktsegment AS authors, (1900 + c_nationkey)::VARCHAR AS date, '10.1/ab-' || c_custkey AS doi, 'cites:' || c_nationkey AS filter, place::INTEGER AS place
+FROM p WHERE (c_nationkey % 3 <> 0 OR page < (total - 1) // 50 OR total <= 50) AND (c_nationkey % 7 <> 0 OR page > 0)""")
+def prov_pages(spark: SparkSession, d: str) -> DataFrame:
+    """From gzipped envelopes over pages to works and papers."""
+    works = envelopes.works(envelopes.pages(_read_back(spark, d)))
+    places = works.select("id", "filter", "place")
+    papers = provider.papers_of(works).select("paper_id", "title", F.array_join("authors", ", ").alias("authors"), "date", F.try_element_at("identifiers", F.lit("doi")).alias("doi"))
+    return papers.join(places.select(identifiers.paper_id(identifiers.openalex_id(F.col("id"))).alias("paper_id"), "filter", "place"), "paper_id")
+
+
+@query(f"""WITH {_CUSTOMERS}, q AS (SELECT DISTINCT c_nationkey AS k, page, (total - 1) // 50 AS last FROM p), kept AS (SELECT * FROM q WHERE k % 3 <> 0 OR page < last OR last = 0), sound AS (SELECT * FROM kept WHERE k % 7 <> 0 OR page > 0)
+SELECT 'retrieved-at' AS rule, count(*) AS n FROM kept WHERE k % 7 = 0 AND page = 0 HAVING count(*) > 0
+UNION ALL SELECT 'missing-page', count(*) FROM sound s WHERE page < last AND NOT EXISTS (SELECT 1 FROM sound t WHERE t.k = s.k AND t.page = s.page + 1) HAVING count(*) > 0""")
+def val_envelopes(spark: SparkSession, d: str) -> DataFrame:
+    found = _read_back(spark, d)
+    wrong = found.select("rule").unionByName(envelopes.pages(found).select("rule")).where("rule is not null")
+    return wrong.groupBy("rule").agg(F.count("*").alias("n"))
