@@ -34,24 +34,67 @@ def closure(edges: DataFrame, roots: DataFrame, depth_limit: int | None = None)
     return _all(found)
 
 
+def _chains(edges: DataFrame, label: str) -> tuple[DataFrame, DataFrame] | None:
+    """edges: (src, dst, w), one for each pair. Nodes with a single edge hang on what follows them: (node, end, dist) by
+    pointer doubling, ``end`` being the first node that is none of them, null on a cycle; and the edges of the
+    other nodes, led on to such ends. None if no node has a single edge to another such node."""
+    single = edges.groupBy("src").agg(F.count("*").alias("n"), F.first("dst").alias("dst"), F.first("w").alias("w")).where("n = 1")
+    at = stash(single.select(F.col("src").alias("node"), F.col("dst").alias("end"), "w"), f"{label}-0").withColumnRenamed("w", "dist")
+    inner = at.select(F.col("node").alias("end"))
+    if not at.join(inner, "end", "left_semi").limit(1).count():
+        return None
+    size = at.count()
+    for k in range(size.bit_length() + 1):
+        hop = at.select(F.col("node").alias("via"), F.col("end").alias("beyond"), F.col("dist").alias("more"))
+        step = at.join(hop, at["end"] == hop["via"], "left").select("node", F.when(F.col("via").isNull(), F.col("end")).otherwise(F.col("beyond")).alias("end"), (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist"), F.col("via").isNotNull().alias("moved"))
+        step = stash(step, f"{label}-{k + 1}")
+        at = step.select("node", "end", "dist")
+        if not step.where("moved").limit(1).count():
+            break
+    # what still moves after as many doublings as there are nodes goes round
+    nodes = at.select(F.col("node").alias("end"), F.lit(True).alias("round"))
+    hung = stash(at.join(nodes, "end", "left").select("node", F.when(F.col("round").isNull(), F.col("end")).alias("end"), "dist"), f"{label}-hung")
+    others = edges.join(hung.select(F.col("node").alias("src")), "src", "left_anti")
+    led = others.join(hung.select(F.col("node").alias("dst"), "end", "dist", F.lit(True).alias("hangs")), "dst", "left")
+    # an edge to a cycle stays as it is: its end is never free
+    moved = F.col("hangs").isNotNull() & F.col("end").isNotNull()
+    rows = led.select("src", F.when(moved, F.col("end")).otherwise(F.col("dst")).alias("dst"), F.when(moved, F.col("w") + F.col("dist")).otherwise(F.col("w")).alias("w"))
+    return hung, stash(rows.groupBy("src", "dst").agg(F.max("w").alias("w")), f"{label}-edges")
+
+
 def peel(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Levels (node, level) by longest path to a node without prerequisites, and the nodes
-    that no round could peel off: those on cycles and whatever depends on them."""
+    that no round could peel off: those on cycles and whatever depends on them. Chains of nodes
+    with one prerequisite each are contracted first, and again where that makes new ones, in a logarithm of
+    their length; a round is then a level of what is left."""
     every = stash(nodes.select("node").distinct(), "peel-nodes")
-    rest = stash(edges.select("src", "dst").distinct(), "peel-edges")
-    free = stash(every.join(rest, F.col("node") == F.col("src"), "left_anti").withColumn("level", F.lit(0)), "peel-free0")
+    own = edges.join(every.select(F.col("node").alias("src")), "src", "left_semi")
+    rest = stash(own.select("src", "dst").distinct().withColumn("w", F.lit(1)), "peel-edges")
+    chains: list[DataFrame] = []
+    while (shorter := _chains(rest, f"peel-chain{len(chains)}")) is not None:
+        chains.append(shorter[0])
+        rest = shorter[1]
+    alone = _all([c.select("node") for c in chains]) if chains else every.limit(0)
+    free = every.join(rest.select(F.col("src").alias("node")).unionByName(alone), "node", "left_anti")
+    free = stash(free.withColumn("level", F.lit(0)), "peel-free0")
     levels: list[DataFrame] = []
+    gained: list[DataFrame] = []
     while free.limit(1).count():
         levels.append(free)
         # only nodes that lost an edge in this round can have become free
-        gone = free.select(F.col("node").alias("dst"))
-        lost = rest.join(gone, "dst", "left_semi").select(F.col("src").alias("node")).distinct()
-        rest = stash(rest.join(gone, "dst", "left_anti"), f"peel-rest{len(levels)}")
-        still = rest.select(F.col("src").alias("node")).distinct()
-        free = stash(lost.join(still, "node", "left_anti").join(every, "node", "left_semi").withColumn("level", F.lit(len(levels))), f"peel-free{len(levels)}")
-    if not levels:
-        return every.withColumn("level", F.lit(0)).limit(0), every
-    peeled = _all(levels)
+        gone = free.select(F.col("node").alias("dst"), "level")
+        lost = stash(rest.join(gone, "dst").groupBy(F.col("src").alias("node")).agg(F.max(F.col("level") + F.col("w")).alias("level")), f"peel-lost{len(levels)}")
+        gained.append(lost)
+        rest = stash(rest.join(gone, "dst", "left_anti").select("src", "dst", "w"), f"peel-rest{len(levels)}")
+        still = rest.select(F.col("src").alias("node"))
+        ready = lost.select("node").join(still, "node", "left_anti").join(every, "node", "left_semi")
+        best = _all(gained).join(ready, "node", "left_semi").groupBy("node").agg(F.max("level").alias("level"))
+        free = stash(best, f"peel-free{len(levels)}")
+    peeled = _all(levels) if levels else every.withColumn("level", F.lit(0)).limit(0)
+    for hung in reversed(chains):
+        known = peeled.select(F.col("node").alias("end"), F.col("level").alias("up"))
+        hanging = hung.join(known, "end").select("node", (F.col("up") + F.col("dist")).alias("level")).join(every, "node", "left_semi")
+        peeled = stash(peeled.unionByName(hanging), "peel-levels")
     return peeled, every.join(peeled, "node", "left_anti")
 
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import random
+import time
 
 from lemmaflow.plans import graph
+from pyspark.sql import functions as F
 
 
 def test_greedy_edges(spark):
@@ -60,3 +62,30 @@ def test_first_visits(spark):
     got = sorted(((r["parent"], r["node"], tuple(r["path"]), r["kind"]) for r in made.collect()), key=lambda r: r[2])
     assert got == walk(edges, roots)
     assert {k for *_, k in got} == {"first", "shared", "cycle"}
+
+
+def test_levels_against_longest_paths(spark):
+    rng = random.Random(9)
+    for case in range(3):
+        edges = {(a, rng.randrange(a)) for a in range(1, 60) for _ in range(rng.choice([0, 1, 1, 1, 2, 3]))}
+        if case:
+            edges |= {(100, 101), (101, 102), (102, 100), (103, 100), (104, 103), (105, 5), (5, 7), (7, 5), (110, 110), (111, 200)}
+        nodes = list(range(60)) + [100, 101, 102, 103, 104, 105, 110, 111]
+        level: dict[int, int] = {}
+        while True:
+            new = {n: max((level[b] + 1 for a, b in edges if a == n), default=0) for n in nodes if n not in level and all(b in level for a, b in edges if a == n)}
+            if not new:
+                break
+            level |= new
+        made, left = graph.peel(spark.createDataFrame([(n,) for n in nodes], "node int"), spark.createDataFrame(list(edges), "src int, dst int"))
+        assert {r["node"]: r["level"] for r in made.collect()} == level
+        assert sorted(r["node"] for r in left.collect()) == sorted(set(nodes) - set(level))
+
+
+def test_long_chain_takes_few_rounds(spark):
+    began = time.time()
+    nodes = spark.range(100_000).select(F.col("id").alias("node"))
+    edges = spark.range(1, 100_000).select(F.col("id").alias("src"), (F.col("id") - 1).alias("dst"))
+    made, left = graph.peel(nodes, edges)
+    assert made.where("level = node").count() == 100_000 and left.count() == 0
+    assert time.time() - began < 150
