@@ -135,7 +135,9 @@ def extract(docs: DataFrame) -> DataFrame:
     edges = stash(named.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pii-edges")
     good = stash(pattern_scores(edges).where(F.col("score") >= LEAST_SCORE).select(F.col("pattern").alias("p")), "pii-good")
     fresh = named.where(~F.col("seed"))
-    added = fresh.join(good.hint("merge"), fresh["pattern"] == good["p"]).groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("more"))
+    sure = stash(fresh.join(good.hint("merge"), fresh["pattern"] == good["p"]).select(F.col("instance").alias("i")).distinct(), "pii-found")
+    others = tokens.where(~F.col("seed")).select("key", "start", "end", "instance")
+    added = others.join(sure.hint("merge"), others["instance"] == sure["i"]).groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("more"))
     added = stash(added.select(F.col("key").alias("k"), "more"), "pii-added")
     out = every.join(added.hint("merge"), every["key"] == added["k"], "left")
     more = F.coalesce(F.col("more"), F.array().cast("array<struct<start:bigint,end:bigint>>"))

@@ -124,3 +124,21 @@ def test_postings_are_kept_for_other_rules(make):
     postings = secret_scan.index(texts, secret_scan.query_grams(secret_scan.BASE_RULES + secret_scan.MORE_RULES)).cache()
     for rules in (secret_scan.BASE_RULES, secret_scan.BASE_RULES[1:2]):
         assert {(r.key, *r.rules) for r in secret_scan.candidates(texts, rules, postings).collect()} == {(r.key, *r.rules) for r in secret_scan.candidates(texts, rules).collect()} != set()
+
+
+def test_found_instances_count_everywhere(spark, make):
+    """A number that a pattern gives away is found where it is doubled, and in frames that no seed names."""
+    rng = random.Random(17)
+    card = lambda: "".join(rng.choice("0123456789") for _ in range(15))
+    valid = lambda n: next(x for x in (n + str(d) for d in range(10)) if sum(sum(divmod(int(c) * 2, 10)) if k % 2 else int(c) for k, c in enumerate(reversed(x))) % 10 == 0)
+    seeds = [(k, f"please charge card number {valid(card())} today for order") for k in range(60)]
+    hidden = ["".join(rng.choice("0123456789") for _ in range(14)) for _ in range(20)]
+    named = [(100 + k, f"please charge card number {x} today for order") for k, x in enumerate(hidden)]
+    frames = ["kept under {} since spring", "{} {} was entered twice", "his old one ({}) lapsed", "see {}, then go on"]
+    unseen = [(200 + k, frames[k % 4].format(x, x)) for k, x in enumerate(hidden)]
+    clean = [(400 + k, f"the year {rng.randint(1000, 1999)} saw lot {rng.randint(100000, 999999)} sold") for k in range(30)]
+    got = {r["doc_id"]: r["context"] for r in personal_data.extract(make(seeds + named + unseen + clean)).collect()}
+    wanted = {i: text.count(x) for (i, text), x in zip(unseen, hidden)}
+    found = sum(min(len(got[i]), n) for i, n in wanted.items())
+    assert found >= 0.9 * sum(wanted.values())
+    assert all(len(got[100 + k]) == 1 for k in range(20)) and not any(got[400 + k] for k in range(30))
