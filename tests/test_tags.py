@@ -6,6 +6,7 @@ import random
 import re
 
 from lemmaflow.plans import tags
+from lemmaflow.sources import macros
 from pyspark.sql import functions as F
 
 
@@ -135,3 +136,13 @@ def test_unfolding(spark):
     assert all(r["occurrence"] == sum(u == r["unit"] for u, _ in expected[: r["ordinal"]]) for r in rows)
     assert {r["unit"] for r in made["missing"].collect()} == missing
     assert sorted((r["unit"], tuple(r["path"])) for r in made["cyclic"].collect()) == sorted(cyclic) and cyclic
+
+
+def test_reference_and_citation_macros(spark):
+    text = r"\olref{a} \Olref[sec]{b} \olref[f][s]{c}\olref[p][f][s]{d} \cref{x, {y,z} ,} \eqref{e}\Cref{} \tagrefs{big/{k1},small/k2,/no,none, big/{fig:k3}} \olreference{no} \citep*[see~][p.~\label{l} 3]{k1,k2} \cite{k3} \citet[ ]{k4}\citeyearpar[][7]{k5} \cite[open{k6}"
+    units = spark.createDataFrame([("u", text, ["p0", "f0", "s0"], {"big": True, "small": False}), ("v", None, None, None)], "unit string, content string, file_id array<string>, tags map<string,boolean>")
+    got = sorted((r["start"], r["key"], r["command"]) for r in macros.references(units).collect())
+    assert [(k, c) for _, k, c in got] == [("p0:f0:s0:a", "olref"), ("p0:f0:sec:b", "Olref"), ("p0:f:s:c", "olref"), ("p:f:s:d", "olref"), ("x", "cref"), ("y,z", "cref"), ("e", "eqref"), ("fig:k3", "tagrefs"), ("k1", "tagrefs")]
+    assert all(text[a:].startswith("\\" + c) for a, _, c in got)
+    cited = sorted((r["start"], r["key"], r["command"], r["pinpoint"]) for r in macros.citations(units).collect())
+    assert [r[1:] for r in cited] == [("k1", "citep*", "see; p. 3"), ("k2", "citep*", "see; p. 3"), ("k3", "cite", None), ("k4", "citet", None), ("k5", "citeyearpar", "7")]
