@@ -216,7 +216,9 @@ def flt_ancestor_filter(spark: SparkSession, d: str) -> DataFrame:
     return graph.keeps_ancestors(part_nodes(spark, d).select("node"), part_edges(spark, d), hits)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_EDGES}, w(root, node, path) AS (SELECT p_partkey, p_partkey, []::INTEGER[] FROM part UNION ALL SELECT root, dst, list_append(path, seq) FROM w JOIN g ON src = node),
+b AS (SELECT root, node, min(path) AS path FROM w GROUP BY root, node)
+SELECT root, node, (row_number() OVER (PARTITION BY root ORDER BY list_append(path, 9)))::INTEGER AS position FROM b""")
 def grf_reading_order(spark: SparkSession, d: str) -> DataFrame:
     return graph.reading_order(part_edges(spark, d), part_nodes(spark, d).select(F.col("node").alias("root")))
 
