@@ -83,13 +83,16 @@ def peel(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         levels.append(free)
         # only nodes that lost an edge in this round can have become free
         gone = free.select(F.col("node").alias("dst"), "level")
-        lost = stash(rest.join(gone, "dst").groupBy(F.col("src").alias("node")).agg(F.max(F.col("level") + F.col("w")).alias("level")), f"peel-lost{len(levels)}")
-        gained.append(lost)
+        lost = rest.join(gone, "dst").groupBy(F.col("src").alias("node")).agg(F.max(F.col("level") + F.col("w")).alias("level"))
+        if chains:  # edges have lengths: an earlier round may have given more
+            gained.append(stash(lost, f"peel-lost{len(levels)}"))
+            lost = gained[-1]
         rest = stash(rest.join(gone, "dst", "left_anti").select("src", "dst", "w"), f"peel-rest{len(levels)}")
-        still = rest.select(F.col("src").alias("node"))
-        ready = lost.select("node").join(still, "node", "left_anti").join(every, "node", "left_semi")
-        best = _all(gained).join(ready, "node", "left_semi").groupBy("node").agg(F.max("level").alias("level"))
-        free = stash(best, f"peel-free{len(levels)}")
+        still = rest.select(F.col("src").alias("node")).distinct()
+        ready = lost.join(still, "node", "left_anti").join(every, "node", "left_semi")
+        if chains:
+            ready = _all(gained).join(ready.select("node"), "node", "left_semi").groupBy("node").agg(F.max("level").alias("level"))
+        free = stash(ready, f"peel-free{len(levels)}")
     peeled = _all(levels) if levels else every.withColumn("level", F.lit(0)).limit(0)
     for hung in reversed(chains):
         known = peeled.select(F.col("node").alias("end"), F.col("level").alias("up"))
