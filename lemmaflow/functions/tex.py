@@ -5,10 +5,11 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from .identifiers import permalink
 from .text import clean_title, collapse, squeeze_lines, tex_statement, without_comments
@@ -23,6 +24,13 @@ def line_context(line: Column, number: Column) -> Column:
     return F.when(F.length(shown) > 0, shown).otherwise(F.concat(F.lit("Explicit source reference on line "), number.cast("string"), F.lit(".")))
 
 
+@F.pandas_udf(ArrayType(IntegerType()))
+def lines_at(contents: pd.Series, offsets: pd.Series) -> pd.Series:
+    """The lines, from 1, in which the offsets of a text stand."""
+    breaks = lambda text: np.flatnonzero(np.frombuffer((text or "").encode("utf-32-le"), dtype="<u4") == 10)
+    return pd.Series([(np.searchsorted(breaks(text), at) + 1).tolist() for text, at in zip(contents, offsets)], dtype=object)
+
+
 def shortened(value: Column, most: int = 400) -> Column:
     """The text, or its start and three dots in ``most`` characters."""
     return F.when(F.length(value) <= most, value).otherwise(F.concat(F.left(value, F.lit(most - 3)), F.lit("...")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import books, corpus, files, programs, relations, views  # noqa: F401  register their queries
+from .queries import assembly, books, corpus, files, programs, relations, views  # noqa: F401  register their queries
 from .queries.scalars import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

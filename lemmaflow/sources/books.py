@@ -45,7 +45,7 @@ def nodes_of(units: DataFrame) -> DataFrame:
 
 
 def extract_tex(units: DataFrame, alternative: str = ALTERNATIVE) -> dict[str, DataFrame]:
-    """Tables node, dependency, route and unresolved of TeX units. A proof belongs to the
+    """Tables node, dependency, route, unresolved and proof of TeX units. A proof belongs to the
     nearest theorem before it, unless a section starts in between. Two proofs or more with a
     title like ``alternative`` are a route each; else all proofs of a theorem are one route.
     Labels that two nodes have are ambiguous and stay unresolved."""
@@ -56,7 +56,7 @@ def extract_tex(units: DataFrame, alternative: str = ALTERNATIVE) -> dict[str, D
     events = events.withColumn("node", node).withColumn("node_class", F.create_map(*[F.lit(x) for pair in ENVIRONMENTS.items() for x in pair])[F.col("environment")])
     owned = preceding(events, ["component", "unit"], ["start"], F.coalesce(F.col("node_class") == "theorem-like", F.lit(False)), F.col("environment") == "section", "node")
     nodes = events.where("node_class is not null").select("component", "unit", "node", "node_class", F.col("environment").alias("kind"), "label", text.clean_title(F.col("title")).alias("title"), text.tex_statement(F.col("body")).alias("statement"), "start")
-    proofs = owned.where("environment = 'proof' and owner_of is not null").select("component", "unit", F.col("owner_of").alias("theorem"), "start", "title", "body")
+    proofs = owned.where("environment = 'proof' and owner_of is not null").select("component", "unit", F.col("owner_of").alias("theorem"), "start", "end", "title", "body")
 
     titled = F.regexp_like(F.coalesce("title", F.lit("")), F.lit(alternative))
     grouped = route_groups(proofs, ["component", "theorem"], ["unit", "start"], titled)
@@ -69,7 +69,7 @@ def extract_tex(units: DataFrame, alternative: str = ALTERNATIVE) -> dict[str, D
     in_routes = edges.select("component", "theorem", F.explode("routes").alias("route"), "target").groupBy("component", "theorem", "route").agg(F.array_sort(F.collect_set("target")).alias("targets"))
     routes = grouped.where("route is not null").select("component", "theorem", "route").distinct().join(in_routes, ["component", "theorem", "route"], "left").withColumn("targets", F.coalesce("targets", F.array().cast("array<string>")))
     unresolved = linked.where("n is null or n > 1").select("component", "theorem", "ref", F.when(F.col("n") > 1, "ambiguous").otherwise("missing").alias("reason")).distinct()
-    return {"node": nodes, "dependency": edges, "route": routes, "unresolved": unresolved}
+    return {"node": nodes, "dependency": edges, "route": routes, "unresolved": unresolved, "proof": proofs}
 
 
 def html_candidates(pages: DataFrame, key: str, source: str) -> DataFrame:
