@@ -20,6 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
+from ..common import stash
 from ..functions import tex, text
 from ..functions.json_text import json_text, quoted
 from ..operators.citations import citation_references, proof_citations
@@ -56,7 +57,8 @@ class Style:
 def stream_digests(rows: DataFrame, by: list[str], order: list[str], separator: str = ",") -> DataFrame:
     """rows: (by.., order.., text, listed). (by.., sha256) of the texts in their order; the separator stands between two that
     are both listed."""
-    kept = rows.repartition(*by).sortWithinPartitions(*by, *order).select(*[F.col(c).cast("string").alias(c) for c in by], "text", "listed")
+    # by a hash of the key: a repartition by the key itself is left out above a join on it, which may then change its own
+    kept = rows.repartition(F.xxhash64(*by)).sortWithinPartitions(*by, *order).select(*[F.col(c).cast("string").alias(c) for c in by], "text", "listed")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, digest, after = None, hashlib.sha256(), False
@@ -199,7 +201,9 @@ def tex_records(units: DataFrame, captured: DataFrame, actor: str, resolved: Dat
     """Records of TeX units (component, unit, ordinal, content): units, inventories, nodes, dependencies, routes, and as references
     what stays unresolved and what proofs cite. captured: (component, captured_at). A component's order is one order: units
     by ordinal, then places in them."""
-    made = books.extract_tex(units)
+    # texts are parsed once; nodes and edges are written, as seven kinds of records come from them
+    made = books.extract_tex(units, found=stash(books.nodes_of(units), "tex-environments"))
+    made |= {name: stash(made[name], f"tex-{name}") for name in ("node", "dependency")}
     unit_id = lambda c="unit": F.concat(F.lit("unit-"), F.col(c))
     locator = F.concat("unit", F.lit(".tex"))
     order = units.select("component", "unit", F.col("ordinal").alias("unit_order"))

@@ -44,12 +44,12 @@ def nodes_of(units: DataFrame) -> DataFrame:
     return found.withColumn("label", F.get(text.labels(F.col("body")), 0))
 
 
-def extract_tex(units: DataFrame, alternative: str = ALTERNATIVE) -> dict[str, DataFrame]:
+def extract_tex(units: DataFrame, alternative: str = ALTERNATIVE, found: DataFrame | None = None) -> dict[str, DataFrame]:
     """Tables node, dependency, route, unresolved and proof of TeX units. A proof belongs to the
     nearest theorem before it, unless a section starts in between. Two proofs or more with a
     title like ``alternative`` are a route each; else all proofs of a theorem are one route.
-    Labels that two nodes have are ambiguous and stay unresolved."""
-    found = nodes_of(units)
+    Labels that two nodes have are ambiguous and stay unresolved. found: rows of ``nodes_of``, if they are made already."""
+    found = nodes_of(units) if found is None else found
     sections = units.select("component", "unit", "content").select("component", "unit", F.inline(text.tex_sections("content")))
     events = found.where(F.col("environment").isin("proof", *ENVIRONMENTS)).unionByName(sections, allowMissingColumns=True)
     node = F.concat_ws(":", "unit", F.coalesce("label", F.concat_ws("-", "environment", "start")))

@@ -401,7 +401,8 @@ def logical_digests(records: DataFrame, headers: DataFrame) -> DataFrame:
         if component is not None:
             yield close()
 
-    return rows.repartition("component").sortWithinPartitions("component", "place", "ordinal").mapInPandas(run, "component string, sha256 string")
+    # by a hash of the key: a repartition by the key itself is left out above a join on it, which may then change its own
+    return rows.repartition(F.xxhash64("component")).sortWithinPartitions("component", "place", "ordinal").mapInPandas(run, "component string, sha256 string")
 
 
 def write_components(records: DataFrame, headers: DataFrame, folder: str, limit: int = MAX_BYTES, **options: str) -> None:
