@@ -36,7 +36,8 @@ def assign(sizes: DataFrame, by: list[str], order: str, size: str, limit: int =
             yield batch.assign(shard=out)
 
     schema = ", ".join(f"`{c}` {t}" for c, t in sizes.dtypes) + ", shard int"
-    return sizes.repartition(*by).sortWithinPartitions(*by, order).mapInPandas(run, schema)
+    # by a hash of the key: a repartition by the key itself is left out above a join on it, which may then change its own
+    return sizes.repartition(F.xxhash64(*by)).sortWithinPartitions(*by, order).mapInPandas(run, schema)
 
 
 def encode(records: DataFrame, limit: int = MAX_BYTES) -> DataFrame:
