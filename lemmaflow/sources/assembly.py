@@ -244,7 +244,8 @@ def tex_records(units: DataFrame, captured: DataFrame, actor: str, resolved: Dat
         ("directDependencies", edges, edge, F.col("start"), F.col("theorem"), F.col("target")), ("proofRoutes", routes, route, F.col("start"), F.col("theorem"), F.col("route").cast("string")),
         ("references", lost, missing, F.col("start"), F.col("theorem"), F.col("ref")), ("references", cited, citation, F.col("start"), F.col("theorem"), F.col("reference")),
     ]
-    rows = [df.select("component", F.lit(name).alias("collection"), F.col("unit_order").cast("long").alias("o"), at.cast("long").alias("at"), a.alias("a"), b.alias("b"), _typed(df, value).alias("record")) for name, df, value, at, a, b in parts]
+    # each kind is a table of its own, so that no plan holds the JSON of all
+    rows = [stash(df.select("component", F.lit(name).alias("collection"), F.col("unit_order").cast("long").alias("o"), at.cast("long").alias("at"), a.alias("a"), b.alias("b"), _typed(df, value).alias("record")), f"tex-{name}") for name, df, value, at, a, b in parts]
     number = F.row_number().over(W.partitionBy("component", "collection").orderBy("o", "at", "a", "b", "record")) - 1
     return reduce(DataFrame.unionByName, rows).select("component", "collection", number.cast("long").alias("ordinal"), "record")
 
