@@ -5,7 +5,10 @@ from __future__ import annotations
 import random
 import time
 
+import duckdb
 from lemmaflow.plans import graph
+from lemmaflow.queries import views
+from lemmaflow.registry import ORACLES
 from pyspark.sql import functions as F
 
 
@@ -35,6 +38,16 @@ def test_greedy_edges(spark):
     assert graph.greedy_acyclic(spark.createDataFrame([], "src string, dst string, seq long")).collect() == []
 
 
+def test_greedy_query_lists_the_edge_of_ring_0(spark, tmp_path):
+    parts = [(k, 1 + k % 7) for k in range(12)]
+    spark.createDataFrame(parts, "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    rows = views.grf_greedy_edges(spark, str(tmp_path)).collect()
+    assert len(rows) == 15 and {r["src"]: r["taken"] for r in rows if r["src"] == r["dst"]} == {0: True}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    assert sorted(tuple(r) for r in rows) == sorted(con.sql(ORACLES["grf_greedy_edges"]).project("src, dst, seq, taken").fetchall())
+
+
 def walk(edges, roots):
     ways, out, seen = {}, [], set()
     for a, b, n in sorted(edges, key=lambda e: e[2]):
