@@ -22,8 +22,10 @@ CITED = ("cite", "citep", "citet", "citealp", "citealt", "citeauthor", "citeyear
 
 
 def uses(units: DataFrame, names: tuple[str, ...], optional: int = 0, star: bool = False) -> DataFrame:
-    """``units`` with a row for each use of one of the macros, of one required argument: command and u (tex.invocations)."""
-    rows = [units.withColumn("command", F.lit(name)).withColumn("u", F.explode(tex.invocations(F.col("content"), name, optional, 1, star))) for name in names]
+    """``units`` without their content, with a row for each use of one of the macros, of one required argument: command and u
+    (tex.invocations). The list is a column of its own first: a row for each of its elements would else carry the whole list."""
+    listed = [units.withColumn("command", F.lit(name)).withColumn("uses", tex.invocations(F.col("content"), name, optional, 1, star)).drop("content") for name in names]
+    rows = [one.withColumn("u", F.explode("uses")).drop("uses") for one in listed]
     return reduce(DataFrame.unionByName, rows)
 
 
