@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..common import stash
 from ..functions import tex, text
@@ -36,6 +37,7 @@ _FOUND = f"array<struct<start:int,stop:int,command:string,starred:boolean,option
 _ESCAPED = re.compile(r"\\.|[{}\[\]]", re.S)
 _WORD = re.compile(r"\\[A-Za-z@]+|\\.|.", re.S)
 _BLANK = re.compile(r"\s*")
+_VISIBLE = re.compile(r"[^\n\r]")
 
 
 def _partners(source: str) -> dict[int, int]:
@@ -103,7 +105,8 @@ def nested(rows: DataFrame, by: list[str]) -> DataFrame:
 def tokens(units: DataFrame, key: str = "unit") -> DataFrame:
     """units: (key, content), comments blanked. The commands as rows (key, n, start, stop, kind, tags, value, arms,
     parent, arm, ..): arms are the ranges of a choice's two texts, arm is the one of its parent that a command stands in."""
-    found = units.select(key, F.posexplode(_commands("content")).alias("n", "c")).select(key, "n", "c.*")
+    # a list that is a column of its own is not carried along with each of its elements
+    found = units.select(key, _commands("content").alias("commands")).select(key, F.posexplode("commands").alias("n", "c")).select(key, "n", "c.*")
     kind = F.when(F.col("command").isin("iftag", "tagitem"), "choice").when(F.col("command") == "olimport", "import").otherwise("set")
     arms = F.when(kind == "choice", F.transform(F.slice("arguments", 2, 2), lambda a: F.struct(a["start"].alias("start"), a["stop"].alias("stop"))))
     tags = F.when(kind != "import", _names(F.get("arguments", 0)["text"]))
@@ -145,12 +148,22 @@ def settle(rows: DataFrame, initial: DataFrame, key: str) -> DataFrame:
 
 
 def blank_ranges(content: Column, ranges: Column) -> Column:
-    """``content`` with the ranges (start, stop), which do not overlap, blanked where they stand."""
-    sorted_ = F.array_sort(F.filter(ranges, lambda r: r["start"] < r["stop"]))
-    part = lambda a, b: F.substr(content, a + 1, b - a)
-    pieces = F.transform(sorted_, lambda r, k: F.concat(part(F.coalesce(F.get(sorted_, k - 1)["stop"], F.lit(0)), r["start"]), tex.blanked(part(r["start"], r["stop"]))))
-    rest = F.substr(content, F.coalesce(F.get(sorted_, F.size(sorted_) - 1)["stop"], F.lit(0)) + 1)
-    return F.when(F.coalesce(F.size(sorted_), F.lit(0)) <= 0, content).otherwise(F.concat(F.array_join(pieces, ""), rest))
+    """``content`` with the ranges (start, stop), which do not overlap, blanked where they stand, in one pass over the text."""
+    return _blanked(content, ranges["start"], ranges["stop"])
+
+
+@F.pandas_udf(StringType())
+def _blanked(contents: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.Series:
+    def one(content: str | None, starts, stops) -> str | None:
+        if content is None or starts is None:
+            return content
+        pieces, at = [], 0
+        for start, stop in sorted((a, b) for a, b in zip(starts, stops) if a < b):
+            pieces += [content[at:start], _VISIBLE.sub(" ", content[start:stop])]
+            at = stop
+        return "".join([*pieces, content[at:]])
+
+    return pd.Series([one(*row) for row in zip(contents, starts, stops)], dtype=object)
 
 
 def evaluated(contexts: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -166,7 +179,7 @@ def evaluated(contexts: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFra
     first = stash(first, "tags-first")
 
     # blocks that hold for some tags only, by the tags that stay set after the choices
-    blocks = first.select("context", F.explode(text.tex_environments("content")).alias("e")).where(F.col("e.environment") == BLOCK)
+    blocks = first.select("context", text.tex_environments("content").alias("found")).select("context", F.explode("found").alias("e")).where(F.col("e.environment") == BLOCK)
     condition = F.regexp_extract("e.body", r"^\s*\{([^{}]*)\}", 1)
     whole = F.struct(F.col("e.start").alias("start"), F.col("e.end").alias("stop"))
     ranges = blocks.select("context", (-1 - F.col("e.start")).alias("n"), F.col("e.start").alias("start"), F.col("e.end").alias("stop"), F.lit("choice").alias("kind"), _names(condition).alias("tags"), F.lit(None).cast("boolean").alias("value"), F.array(whole).alias("arms"))
