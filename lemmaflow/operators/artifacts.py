@@ -102,9 +102,12 @@ def source_artifacts(units: DataFrame, requested: DataFrame) -> tuple[DataFrame,
     every = reduce(DataFrame.unionByName, parts)
     lost = every.where("start_line is null or end_line is null").select("component", "label", F.lit("no-range").alias("rule"))
 
-    raw = F.split("content", "\r?\n")
-    cut = every.where("start_line is not null and end_line is not null").join(units.select(*_UNIT, "content"), _UNIT)
-    made = cut.withColumn("source", F.array_join(F.slice(raw, F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n"))
+    # a range takes its own lines, not the text of its unit
+    cut = every.where("start_line is not null and end_line is not null")
+    raw = units.select(*_UNIT, F.posexplode(F.split("content", "\r?\n")).alias("n", "raw")).select(*_UNIT, (F.col("n") + 1).alias("at"), "raw")
+    held = cut.where("start_line <= end_line").select("component", "label", "unit", F.explode(F.sequence("start_line", "end_line")).alias("at")).join(raw, [*_UNIT, "at"])
+    texts = held.groupBy("component", "label").agg(F.array_sort(F.collect_list(F.struct("at", "raw"))).alias("raw"))
+    made = cut.join(texts, ["component", "label"], "left").withColumn("source", F.coalesce(F.array_join(F.col("raw.raw"), "\n"), F.lit("")))
     return made.select("component", "label", "unit", "local", "kind", "start_line", "end_line", "source", _title(F.col("source"), F.col("kind"), F.col("local")).alias("title")), wrong.unionByName(lost)
 
 
