@@ -75,8 +75,8 @@ def extract_tex(units: DataFrame, alternative: str = ALTERNATIVE, found: DataFra
 def html_candidates(pages: DataFrame, key: str, source: str) -> DataFrame:
     """(key, position, level, title, node_class, kind) of all headings of HTML pages, one for
     each key; class and kind are null where the heading names no kind of statement."""
-    tags = pages.select(key, F.posexplode(text.scan_tags(F.col(source))).alias("n", "tag"))
-    heads = tags.where(F.regexp_like("tag.name", F.lit("^h[1-6]$")))
+    listed = pages.select(key, text.scan_tags(F.col(source), names=[f"h{n}" for n in range(1, 7)]).alias("tags"))
+    heads = listed.select(key, F.posexplode("tags").alias("n", "tag"))
     after = F.lead("tag").over(W.partitionBy(key).orderBy("n"))
     opened = heads.withColumn("close", after).where("not tag.closing").join(pages.select(key, F.col(source).alias("source__")), key)
     stop = F.when(F.col("close.closing"), F.col("close.start")).otherwise(F.length("source__"))
