@@ -7,16 +7,41 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def any_key_matches(left: DataFrame, right: DataFrame, own: str, keys: dict[str, tuple[Column, Column]]) -> DataFrame:
-    """(own, other, kinds): pairs of rows that share a value of at least one key. The keys
-    become rows (kind, value), so that one hash join serves all of them."""
+#: rows of one value that a task compares with as many of the other side; larger values are dealt out in squares
+_SQUARE = 1024
 
-    def listed(df: DataFrame, side: int, name: str) -> DataFrame:
-        entries = F.array(*[F.struct(F.lit(k).alias("kind"), pair[side].cast("string").alias("value")) for k, pair in keys.items()])
-        return df.select(F.col(own).alias(name), F.inline(entries)).where("value is not null")
 
-    pairs = listed(left, 0, "own").join(listed(right, 1, "other"), ["kind", "value"])
-    return pairs.groupBy("own", "other").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
+def any_key_matches(left: DataFrame, right: DataFrame, own: str, keys: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """(own, other, kinds): pairs of rows that share a value of at least one key. The keys
+    become rows (kind, value), so that one hash join serves all of them. A value that many rows have on both sides
+    is cut into squares of some ``_SQUARE`` rows a side, and a pair is given by the first value that it shares, so
+    neither a value nor a pair passes through one group. The number of pairs itself is that of the result."""
+    kinds = sorted(keys)
+
+    def gathered(df: DataFrame, side: int, name: str) -> DataFrame:
+        sets = [F.collect_set(keys[k][side].cast("string")).alias(f"{name}_{n}") for n, k in enumerate(kinds)]
+        return df.groupBy(F.col(own).alias(name)).agg(*sets)
+
+    def listed(df: DataFrame, name: str) -> DataFrame:
+        entry = lambda n: lambda v: F.struct(F.lit(n).alias("kind"), v.alias("value"))
+        entries = F.flatten(F.array(*[F.transform(f"{name}_{n}", entry(n)) for n in range(len(kinds))]))
+        return df.select("*", F.inline(entries))
+
+    mine, theirs = listed(gathered(left, 0, "own"), "own"), listed(gathered(right, 1, "other"), "other")
+    counts = [df.groupBy("kind", "value").agg(F.ceil(F.count("*") / _SQUARE).cast("int").alias(f"{name}_parts")) for df, name in ((mine, "own"), (theirs, "other"))]
+    parts = counts[0].join(counts[1], ["kind", "value"])
+    place = lambda name: F.pmod(F.xxhash64(name), F.col(f"{name}_parts"))
+    every = lambda name: F.explode(F.sequence(F.lit(0), F.col(f"{name}_parts") - 1))
+    mine = mine.join(parts, ["kind", "value"]).withColumn("row", place("own").cast("int")).withColumn("column", every("other")).drop("own_parts", "other_parts")
+    theirs = theirs.join(parts, ["kind", "value"]).withColumn("column", place("other").cast("int")).withColumn("row", every("own")).drop("own_parts", "other_parts")
+    square = ["kind", "value", "row", "column"]
+    # a number of its own: partitions that are small before the join, not after it, are not put together
+    tasks = max(64, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    pairs = mine.repartition(tasks, *square).join(theirs.repartition(tasks, *square).hint("shuffle_hash"), square)
+    shared = [F.array_intersect(f"own_{n}", f"other_{n}") for n in range(len(kinds))]
+    first = F.coalesce(*[F.when(F.size(x) > 0, F.struct(F.lit(n).alias("kind"), F.array_min(x).alias("value"))) for n, x in enumerate(shared)])
+    names = F.filter(F.array(*[F.when(F.arrays_overlap(f"own_{n}", f"other_{n}"), F.lit(k)) for n, k in enumerate(kinds)]), lambda x: x.isNotNull())
+    return pairs.where(first == F.struct("kind", "value")).select("own", "other", F.array_join(names, ",").alias("kinds"))
 
 
 def ambiguous(matches: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 
 from lemmaflow.functions import text
-from lemmaflow.operators import artifacts
+from lemmaflow.operators import artifacts, joins
 from lemmaflow.plans import tags
 from lemmaflow.sources import macros, webbooks
 from pyspark.sql import functions as F
@@ -53,3 +53,13 @@ def test_artifacts_of_a_long_unit(spark):
     made, wrong = artifacts.source_artifacts(units, asked)
     assert made.where(F.col("source") == F.concat(F.lit("Part "), F.regexp_extract("label", "([0-9]+)$", 1), F.lit(" \\label{lemma-"), F.regexp_extract("label", "([0-9]+)$", 1), F.lit("}is"))).count() == 6_000
     assert time.time() - began < 60
+
+
+def test_a_common_key_is_dealt_out(spark):
+    left = spark.range(3000).selectExpr("id", "id % 2 as a", "cast(null as long) as b").unionByName(spark.createDataFrame([(5, 7, 9), (5, 1, 9)], "id long, a long, b long"))
+    right = spark.range(2500).selectExpr("id", "1 as a", "9 as b")
+    made = joins.any_key_matches(left, right, "id", {"y": (F.col("a"), F.col("a")), "x": (F.col("b"), F.col("b"))})
+    assert {(r.kinds, r.n) for r in made.groupBy("kinds").agg(F.count("*").alias("n")).collect()} == {("y", 1499 * 2500), ("x,y", 2500)}
+    assert made.select("own", "other").distinct().count() == made.count()
+    most = max(made.select("own").groupBy(F.spark_partition_id()).count().collect(), key=lambda r: r["count"])["count"]
+    assert most < 1500 * 2500
