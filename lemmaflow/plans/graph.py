@@ -13,7 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..common import stash
+from .. import common
+from ..common import Buckets, buckets
+
+
+def stash(df: DataFrame, label: str) -> DataFrame:
+    """As ``common.stash``; joins with the table sort, so that no round sends it through the driver."""
+    return common.stash(df, label).hint("merge")
 
 
 def _all(tables: list[DataFrame]) -> DataFrame:
@@ -21,17 +27,27 @@ def _all(tables: list[DataFrame]) -> DataFrame:
 
 
 def closure(edges: DataFrame, roots: DataFrame, depth_limit: int | None = None) -> DataFrame:
-    """(root, node, depth) of everything that the roots (root) reach, themselves included."""
-    edges = stash(edges.select("src", "dst").distinct(), "closure-edges")
-    found = [stash(roots.select("root", F.col("root").alias("node")).distinct().withColumn("depth", F.lit(0)), "closure-0")]
-    while depth_limit is None or len(found) <= depth_limit:
-        step = found[-1].join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
-        new = step.join(_all(found).select("root", "node"), ["root", "node"], "left_anti")
-        new = stash(new.withColumn("depth", F.lit(len(found))), f"closure-{len(found)}")
-        if not new.limit(1).count():
-            break
-        found.append(new)
-    return _all(found)
+    """(root, node, depth) of everything that the roots (root) reach, themselves included. Pairs lie in buckets
+    of their root: a round moves the new ones only, to their edges and back, and meets all former ones where they are."""
+    with buckets(edges.sparkSession) as made:
+        edges = made.write(edges.select("src", "dst").distinct(), "closure-edges", "src")
+        found = [made.write(roots.select("root", F.col("root").alias("node")).distinct().withColumn("depth", F.lit(0)), "closure-pairs", "root")]
+        while depth_limit is None or len(found) <= depth_limit:
+            step = found[-1].join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node"))
+            new = _unseen(made, step, found, ["root", "node"]).withColumn("depth", F.lit(len(found)))
+            new = made.write(new, "closure-pairs", "root")
+            if not new.limit(1).count():
+                break
+            found.append(new)
+        return _all(made.files("closure-pairs"))
+
+
+def _unseen(made: Buckets, rows: DataFrame, seen: list[DataFrame], by: list[str]) -> DataFrame:
+    """The distinct rows (by) that are in none of the tables, which lie in buckets of the first of ``by``. A group over
+    both, not a join: the optimizer would move an anti-join below the exchange, and all tables with it."""
+    own = rows.select(*by, F.lit(False).alias("old")).repartition(made.n, by[0])
+    both = _all([own, *(t.select(*by, F.lit(True).alias("old")) for t in seen)])
+    return both.groupBy(*by).agg(F.bool_or("old").alias("old")).where("not old").drop("old")
 
 
 def _chains(edges: DataFrame, label: str) -> tuple[DataFrame, DataFrame] | None:
