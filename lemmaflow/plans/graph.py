@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from .. import common
 from ..common import Buckets, buckets
 
+#: rows that a task hands on at once
+BATCH_ROWS = 50_000
+
 
 def stash(df: DataFrame, label: str) -> DataFrame:
     """As ``common.stash``; joins with the table sort, so that no round sends it through the driver."""
@@ -206,29 +209,62 @@ def bounded_search(edges: DataFrame, roots: DataFrame, depth: int = 2, limit: in
 
 def reading_order(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, node, position): prerequisites first, in the stored order of the edges (src,
-    dst, seq). One task reads the closure of one root; for graphs whose closures outgrow a
-    task, peel() gives an order by levels."""
-    reach = closure(edges, roots).select("root", "node")
-    inside = reach.join(edges, F.col("node") == F.col("src"), "left").select("root", "node", "dst", "seq")
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        root = rows["root"].iloc[0]
-        ways = {n: g.sort_values("seq")["dst"].dropna().tolist() for n, g in rows.groupby("node")}
+    dst, seq). A task reads the closures of its roots as one sorted stream and holds that of one root; for
+    graphs whose closures outgrow a task, peel() gives an order by levels."""
+    reach = closure(edges, roots).select("root", "node").hint("merge")
+    ways = edges.where("dst is not null").groupBy("src").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "dst"))), lambda x: x["dst"]).alias("ways"))
+    none = F.array().cast(dict(ways.dtypes)["ways"])
+    inside = reach.join(ways, F.col("node") == F.col("src"), "left").select("root", "node", F.coalesce("ways", none).alias("ways"))
+
+    def walk(root, ways: dict) -> list:
         order, seen, todo = [], {root}, [(root, iter(ways.get(root, ())))]
         while todo:
             node, rest = todo[-1]
             for nxt in rest:
                 if nxt not in seen:
                     seen.add(nxt)
-                    todo.append((nxt, iter(ways.get(nxt, ()))))
-                    break
+                    below = ways.get(nxt)
+                    if below:
+                        todo.append((nxt, iter(below)))
+                        break
+                    order.append(nxt)
             else:
                 order.append(node)
                 todo.pop()
-        return pd.DataFrame({"root": root, "node": order, "position": range(1, len(order) + 1)})
+        return order
+
+    def walks(batches):
+        kinds, held, ways, out = None, None, {}, ([], [], [])
+
+        def close() -> None:
+            order = walk(held, ways)
+            out[0].extend([held] * len(order))
+            out[1].extend(order)
+            out[2].extend(range(1, len(order) + 1))
+
+        def full() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(out[0], kinds[0]), pa.array(out[1], kinds[1]), pa.array(out[2], pa.int32())], ["root", "node", "position"])
+
+        for batch in batches:
+            kinds = batch.schema.field("root").type, batch.schema.field("node").type
+            lists = batch.column(2)
+            at, values = lists.offsets.to_pylist(), lists.values.to_pylist()
+            for k, (root, node) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if root != held:
+                    if ways:
+                        close()
+                    held, ways = root, {}
+                    if len(out[0]) >= BATCH_ROWS:
+                        yield full()
+                        out = ([], [], [])
+                ways[node] = values[at[k] : at[k + 1]]
+        if ways:
+            close()
+            yield full()
 
     kind = dict(edges.dtypes)["dst"]
-    return inside.groupBy("root").applyInPandas(walk, f"root {dict(roots.dtypes)['root']}, node {kind}, position int")
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return inside.repartition(n, "root").sortWithinPartitions("root").mapInArrow(walks, f"root {dict(roots.dtypes)['root']}, node {kind}, position int")
 
 
 def visible(edges: DataFrame, roots: DataFrame, nodes: DataFrame, matches: DataFrame) -> DataFrame:
