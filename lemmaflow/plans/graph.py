@@ -18,6 +18,10 @@ from ..common import Buckets, buckets
 
 #: rows that a task hands on at once
 BATCH_ROWS = 50_000
+#: steps along the edges between two tables that are written
+STEPS = 4
+#: edges of a class that one task takes at once, larger ones are split by spreading numbers
+CLASS_EDGES = 50_000
 
 
 def stash(df: DataFrame, label: str) -> DataFrame:
@@ -130,40 +134,107 @@ def _trim(edges: DataFrame, label: str) -> DataFrame:
         edges = kept
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
-    """(node, component) of all nodes on cycles; component is one of its nodes. Colours spread
-    along the edges, the greatest wins, and what reaches a colour's own node within the colour
-    is a component; the rest is coloured anew. Every table has at most a row for each node or edge."""
+def _mutual(edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(node, component) of the components of two nodes or more, by Tarjan's walk."""
+    after: dict[int, list[int]] = {}
+    for a, b in edges:
+        after.setdefault(a, []).append(b)
+    place: dict[int, int] = {}
+    low: dict[int, int] = {}
+    open_: list[int] = []
+    done: set[int] = set()
+    found = []
+    for start in after:
+        if start in place:
+            continue
+        place[start] = low[start] = len(place)
+        open_.append(start)
+        todo = [(start, iter(after[start]))]
+        while todo:
+            node, rest = todo[-1]
+            for nxt in rest:
+                if nxt not in place:
+                    place[nxt] = low[nxt] = len(place)
+                    open_.append(nxt)
+                    todo.append((nxt, iter(after.get(nxt, ()))))
+                    break
+                if nxt not in done:
+                    low[node] = min(low[node], place[nxt])
+            else:
+                todo.pop()
+                if todo:
+                    low[todo[-1][0]] = min(low[todo[-1][0]], low[node])
+                if low[node] == place[node]:
+                    members = [open_.pop()]
+                    while members[-1] != node:
+                        members.append(open_.pop())
+                    done.update(members)
+                    found += [(m, node) for m in members] if len(members) > 1 else []
+    return found
+
+
+def _by_class(batches):
+    """Rows (down, up, a, b) sorted by class: (node, component) of each class."""
+    kind, held, edges, out = pa.int64(), None, [], []
+
+    def full() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k in (0, 1)], ["node", "component"])
+
+    for batch in batches:
+        for down, up, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+            if (down, up) != held:
+                out += _mutual(edges)
+                held, edges = (down, up), []
+                if len(out) >= BATCH_ROWS:
+                    yield full()
+                    out = []
+            edges.append((a, b))
+    out += _mutual(edges)
+    yield full()
+
+
+def strong_components(edges: DataFrame, class_edges: int = CLASS_EDGES) -> DataFrame:
+    """(node, component) of all nodes on cycles; component is one of its nodes. Nodes get numbers in a random order.
+    The greatest number spreads along the edges, and another one against them; nodes that both come to from the same node are
+    a component, and an edge between different pairs of numbers is in none. What is left of the edges is numbered by
+    its pairs anew: every class falls apart into several, so there are about a logarithm of rounds of spreading, not one for each
+    component on a way. Classes of no more than ``class_edges`` edges are walked, many by a task. Tables have at most four rows for an edge."""
     loops = edges.where("src = dst").select(F.col("src").alias("node"))
-    left = _trim(stash(edges.select("src", "dst").where("src <> dst").distinct(), "strong-edges"), "strong-trim")
-    found: list[DataFrame] = []
-    while left.limit(1).count():
-        colour = stash(left.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("colour", F.col("node")), "strong-colour")
-        while True:
-            best = left.join(colour, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("to")).agg(F.max("colour").alias("new"))
-            step = stash(colour.join(best, F.col("node") == F.col("to"), "left").select("node", F.col("colour").alias("old"), F.greatest("colour", "new").alias("colour")), "strong-step")
-            colour = step.select("node", "colour")
-            if not step.where("colour <> old").limit(1).count():
-                break
-        same = left.join(colour.toDF("src", "c1"), "src").join(colour.toDF("dst", "c2"), "dst").where("c1 = c2")
-        same = stash(same.select("src", "dst"), "strong-same")
-        reached = [stash(colour.where("node = colour"), "strong-roots")]
+    between = stash(edges.select("src", "dst").where("src <> dst").distinct(), "strong-edges")
+    mix = F.xxhash64("node")
+    with buckets(edges.sparkSession) as made:
+        nodes = between.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+        names = stash(nodes.repartition(made.n, mix).sortWithinPartitions(mix).withColumn("id", F.monotonically_increasing_id()), "strong-names")
+        left = between.join(names.toDF("src", "a"), "src").join(names.toDF("dst", "b"), "dst").select(F.lit(0).cast("long").alias("down"), F.lit(0).cast("long").alias("up"), "a", "b")
+        found: list[DataFrame] = []
         while True:
-            back = same.join(reached[-1], F.col("dst") == F.col("node")).select(F.col("src").alias("node"), "colour").distinct()
-            new = stash(back.join(_all(reached).select("node"), "node", "left_anti"), "strong-back")
-            if not new.limit(1).count():
+            left = stash(left, "strong-left")
+            sizes = stash(left.groupBy("down", "up").agg((F.count("*") <= class_edges).alias("small")), "strong-sizes")
+            small = left.join(sizes.where("small"), ["down", "up"], "left_semi").select("down", "up", "a", "b")
+            found.append(stash(small.repartition(made.n, "down", "up").sortWithinPartitions("down", "up").mapInArrow(_by_class, "node long, component long"), "strong-walked"))
+            if not sizes.where("not small").limit(1).count():
                 break
-            reached.append(new)
-        members = stash(_all(reached), "strong-members")
-        sizes = members.groupBy("colour").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-        found.append(stash(members.join(sizes, "colour").select("node", F.col("colour").alias("component")), "strong-found"))
-        gone = members.select("node")
-        left = _trim(left.join(gone.toDF("src"), "src", "left_anti").join(gone.toDF("dst"), "dst", "left_anti"), "strong-trim")
+            left = left.join(sizes.where("not small"), ["down", "up"], "left_semi").select("a", "b")
+            # each way in both directions, and from every node to itself
+            ways = F.inline(F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b"), F.lit(k).alias("kind")) for k, (x, y) in enumerate(("ab", "ba", "aa", "bb"))]))
+            both = made.write(left.select(ways).withColumn("kind", F.least("kind", F.lit(2))).distinct(), "strong-ways", "a")
+            state = both.where("kind = 2").select(F.col("a").alias("node"), F.col("a").alias("down"), F.col("a").alias("up"), F.lit(True).alias("fresh"))
+            while state.where("fresh").limit(1).count():
+                step = state.select("node", "down", "up", F.col("down").alias("d"), F.col("up").alias("u"))
+                for _ in range(STEPS):
+                    own = lambda c: F.when(F.col("kind") == 2, F.col(c))
+                    sent = step.join(both, F.col("node") == F.col("a")).select(F.col("b").alias("node"), F.when(F.col("kind") != 1, F.col("down")).alias("down"), F.when(F.col("kind") != 0, F.col("up")).alias("up"), own("d").alias("d"), own("u").alias("u"))
+                    step = sent.groupBy("node").agg(*[F.max(c).alias(c) for c in ("down", "up", "d", "u")])
+                state = made.write(step.select("node", "down", "up", ((F.col("down") > F.col("d")) | (F.col("up") > F.col("u"))).alias("fresh")), "strong-state", "node")
+            found.append(stash(state.where("down = up").select("node", F.col("down").alias("component")), "strong-found"))
+            one, two = (state.where("down <> up").select(F.col("node").alias(c), F.col("down").alias(f"down_{c}"), F.col("up").alias(f"up_{c}")) for c in "ab")
+            left = both.where("kind = 0").select("a", "b").join(one, "a").join(two, "b").where("down_a = down_b and up_a = up_b").select(F.col("down_a").alias("down"), F.col("up_a").alias("up"), "a", "b")
     alone = loops.distinct().withColumn("component", F.col("node"))
-    if not found:
-        return alone
     every = _all(found)
-    return every.unionByName(alone.join(every.select("node"), "node", "left_anti"))
+    large = every.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+    named = every.join(large.hint("merge"), "component").join(names.toDF("name", "node"), "node").select("name", "component")
+    named = stash(named.join(names.toDF("called", "component"), "component").select(F.col("name").alias("node"), F.col("called").alias("component")), "strong-named")
+    return named.unionByName(alone.join(named.select("node"), "node", "left_anti"))
 
 
 def on_cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
