@@ -347,19 +347,26 @@ def visible(edges: DataFrame, roots: DataFrame, nodes: DataFrame, matches: DataF
 
 def first_paths(edges: DataFrame, roots: DataFrame, targets: DataFrame) -> DataFrame:
     """(target, position, node) for an acyclic graph: the first path in the order of the
-    edges (src, dst, seq), from the first root (root, seq) that reaches the target. Every
-    node on it goes on to the first of its targets from which the end can be reached."""
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    above = stash(closure(back, targets.select(F.col("target").alias("root"))).select(F.col("root").alias("target"), "node"), "path-above")
-    beyond = above.select("target", F.col("node").alias("dst"))
-    ways = above.join(edges, F.col("node") == F.col("src")).join(beyond, ["target", "dst"]).groupBy("target", "node").agg(F.min_by("dst", "seq").alias("next"))
-    ways = stash(ways, "path-ways")
-    starts = above.join(roots, F.col("node") == F.col("root")).groupBy("target").agg(F.min_by("root", "seq").alias("node"))
-    found = [stash(starts.select("target", F.lit(1).alias("position"), "node"), "path-1")]
-    while found[-1].where("node <> target").limit(1).count():
-        on = found[-1].where("node <> target").join(ways, ["target", "node"])
-        found.append(stash(on.select("target", (F.col("position") + 1).alias("position"), F.col("next").alias("node")), f"path-{len(found) + 1}"))
-    return _all(found)
+    edges (src, dst, seq), from the first root (root, seq) that reaches the target. That is the least
+    path by the numbers of its root and edges; it is the least one to every node that it goes over, so least paths spread along
+    the edges until none gets less. No table of pairs of nodes is made."""
+    number = dict(edges.dtypes)["seq"]
+    with buckets(edges.sparkSession) as made:
+        rows = made.write(edges.select("src", "dst", "seq"), "path-edges", "src")
+        way = F.struct(F.col("seq").alias("first"), F.array().cast(f"array<{number}>").alias("path"), F.array("root").alias("nodes"))
+        start = roots.select(F.col("root").alias("node"), way.alias("way")).groupBy("node").agg(F.min("way").alias("way"))
+        found = [made.write(start, "path-best", "node")]
+        while found[-1].limit(1).count():
+            longer = F.struct("way.first", F.array_append("way.path", F.col("seq")).alias("path"), F.array_append("way.nodes", F.col("dst")).alias("nodes"))
+            step = found[-1].join(rows, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), longer.alias("way"), F.lit(False).alias("old"))
+            both = _all([step.repartition(made.n, "node"), *(t.select("node", "way", F.lit(True).alias("old")) for t in found)])
+            best = both.groupBy("node").agg(F.min("way").alias("way"), F.min(F.when(F.col("old"), F.col("way"))).alias("was"))
+            found.append(made.write(best.where("was is null or way < was").select("node", "way"), "path-best", "node"))
+        asked = targets.select(F.col("target").alias("node")).distinct().repartition(made.n, "node")
+        last = _all([t.select("node", "way", F.lit(False).alias("asked")) for t in found] + [asked.select("node", F.lit(None).cast(dict(found[0].dtypes)["way"]).alias("way"), F.lit(True).alias("asked"))])
+        last = last.groupBy("node").agg(F.min("way").alias("way"), F.bool_or("asked").alias("asked")).where("asked and way is not null")
+        paths = stash(last.select(F.col("node").alias("target"), F.posexplode("way.nodes").alias("position", "node")), "path-rows")
+    return paths.select("target", (F.col("position") + 1).alias("position"), "node")
 
 
 def end_of_chain(pointers: DataFrame, limit: int = 64) -> DataFrame:
