@@ -243,11 +243,29 @@ def on_cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def redundant_edges(edges: DataFrame) -> DataFrame:
-    """Edges (src, dst) of an acyclic graph whose end is reached by a longer way as well."""
+    """Edges (src, dst) of an acyclic graph whose end is reached by a longer way as well. A way to an end only goes over
+    nodes of higher levels, so what is searched from a node stops at the lowest level that its edges lead to; a search
+    is no closure unless an edge leads to the bottom."""
     edges = stash(edges.select("src", "dst").distinct(), "reduce-edges")
-    reached = closure(edges, edges.select(F.col("dst").alias("root"))).where("depth > 0")
-    ways = edges.join(reached, F.col("dst") == F.col("root")).select("src", F.col("node").alias("dst")).distinct()
-    return edges.join(ways, ["src", "dst"], "left_semi")
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("node"))
+    with buckets(edges.sparkSession) as made:
+        levels = peel(ends, edges)[0]
+        # a node without a level is on a cycle or above one, so above all that have one
+        named = made.write(edges.join(levels.toDF("dst", "level"), "dst", "left").select("src", "dst", "level"), "reduce-named", "src")
+        onward = F.col("level").isNull() | (F.col("level") > F.col("floor"))
+        inside = F.col("level").isNull() | (F.col("level") >= F.col("floor"))
+        floors = named.groupBy("src").agg(F.min("level").alias("floor"), F.count("*").alias("n")).where("n > 1").select(F.col("src").alias("root"), "floor")
+        fresh = made.write(named.select(F.col("src").alias("root"), F.col("dst").alias("node"), "level").join(floors, "root").where(onward).select("root", "node", "level", "floor"), "reduce-start", "root")
+        found: list[DataFrame] = []
+        columns = ["root", "node", "level", "floor"]
+        while fresh.limit(1).count():
+            step = fresh.where(onward).select("root", "node", "floor").join(named, F.col("node") == F.col("src")).where(inside).select("root", F.col("dst").alias("node"), "level", "floor")
+            fresh = made.write(_unseen(made, step, found, columns), "reduce-found", "root")
+            found.append(fresh)
+        if not found:
+            return edges.limit(0)
+        ways = _all(made.files("reduce-found")).select(F.col("root").alias("src"), F.col("node").alias("dst"))
+    return edges.join(ways.hint("merge"), ["src", "dst"], "left_semi")
 
 
 def keeps_ancestors(nodes: DataFrame, edges: DataFrame, matches: DataFrame) -> DataFrame:
