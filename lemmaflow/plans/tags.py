@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..common import stash
+from .. import common
 from ..functions import tex, text
 
 #: fixed values: commands with the number of their optional and required arguments
@@ -40,6 +40,12 @@ _BLANK = re.compile(r"\s*")
 _VISIBLE = re.compile(r"[^\n\r]")
 
 
+def stash(df: DataFrame, label: str) -> DataFrame:
+    """As ``common.stash``; joins with the table sort. Its files are small for what they hold, since texts and tags of
+    many contexts are alike: by their size they would go through the driver, where they are many times as large."""
+    return common.stash(df, label).hint("merge")
+
+
 def _partners(source: str) -> dict[int, int]:
     """The place of the closing bracket of each opening one, braces and square brackets each for themselves."""
     open_: dict[str, list[int]] = {"{": [], "[": []}
@@ -99,7 +105,7 @@ def nested(rows: DataFrame, by: list[str]) -> DataFrame:
     # a range is the parent of what follows it one level deeper, until the next of its own level
     levels = opened.select(*by, "n", "at", F.explode(F.array(F.struct("depth", F.lit(False).alias("outer")), F.struct((F.col("depth") + 1).alias("depth"), F.lit(True).alias("outer")))).alias("level"))
     around = F.last(F.when(F.col("level.outer"), F.col("n")), ignorenulls=True).over(W.partitionBy(*by, "level.depth").orderBy("at").rowsBetween(W.unboundedPreceding, -1))
-    return rows.join(levels.withColumn("parent", around).where(~F.col("level.outer")).select(*by, "n", "parent"), [*by, "n"])
+    return rows.hint("merge").join(levels.withColumn("parent", around).where(~F.col("level.outer")).select(*by, "n", "parent"), [*by, "n"])
 
 
 def tokens(units: DataFrame, key: str = "unit") -> DataFrame:
@@ -118,7 +124,7 @@ def placed(rows: DataFrame, by: list[str]) -> DataFrame:
     """Adds ``arm``: in which of its parent's arms a row stands, -1 in none."""
     above = rows.select(*by, F.col("n").alias("parent"), F.col("arms").alias("around"))
     inside = F.transform("around", lambda a: (F.col("start") >= a["start"]) & (F.col("stop") <= a["stop"]))
-    return rows.join(above, [*by, "parent"], "left").withColumn("arm", F.when(F.col("parent").isNotNull(), F.coalesce(F.array_position(inside, F.lit(True)).cast("int") - 1, F.lit(-1)))).drop("around")
+    return rows.hint("merge").join(above, [*by, "parent"], "left").withColumn("arm", F.when(F.col("parent").isNotNull(), F.coalesce(F.array_position(inside, F.lit(True)).cast("int") - 1, F.lit(-1)))).drop("around")
 
 
 def settle(rows: DataFrame, initial: DataFrame, key: str) -> DataFrame:
@@ -135,14 +141,14 @@ def settle(rows: DataFrame, initial: DataFrame, key: str) -> DataFrame:
         marks = held.select(key, "tag", "start", F.lit(None).cast("int").alias("n"), F.struct(F.col("reached").isNull().alias("open"), "value").alias("mark"))
         asked = marks.unionByName(mentions.select(key, "tag", "start", "n", F.lit(None).cast("struct<open:boolean,value:boolean>").alias("mark")))
         last = F.last("mark", ignorenulls=True).over(W.partitionBy(key, "tag").orderBy("start").rowsBetween(W.unboundedPreceding, -1))
-        seen = asked.withColumn("last", last).where("n is not null").join(at_first, [key, "tag"], "left")
+        seen = asked.withColumn("last", last).where("n is not null").hint("merge").join(at_first, [key, "tag"], "left")
         value = F.when(F.col("last").isNull(), F.coalesce("first", F.lit(False))).when(~F.col("last.open"), F.col("last.value"))
         answers = seen.groupBy(key, "n").agg(F.bool_or(F.coalesce(value, F.lit(False))).alias("yes"), F.bool_or(value.isNull()).alias("open"))
         chosen = F.when(F.col("kind") == "choice", F.when(F.coalesce("yes", F.lit(False)), 0).when(~F.coalesce("open", F.lit(False)), 1)).cast("int")
         picked = state.drop("chosen").join(answers, [key, "n"], "left").select(key, "n", "kind", "parent", "arm", "reached", chosen.alias("chosen"))
         above = picked.select(key, F.col("n").alias("parent"), F.col("reached").alias("up"), F.col("chosen").alias("way"))
         below = F.coalesce("reached", F.when(~F.col("up"), False).when(F.col("way") != F.col("arm"), False).when(F.col("up") & F.col("way").isNotNull(), True))
-        state = stash(picked.join(above, [key, "parent"], "left").select(key, "n", "kind", "parent", "arm", below.alias("reached"), "chosen"), "tags-state")
+        state = stash(picked.hint("merge").join(above, [key, "parent"], "left").select(key, "n", "kind", "parent", "arm", below.alias("reached"), "chosen"), "tags-state")
         if not state.where("reached is null or (kind = 'choice' and reached and chosen is null)").limit(1).count():
             return state.select(key, "n", "reached", "chosen")
 
@@ -169,13 +175,13 @@ def _blanked(contents: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.Ser
 def evaluated(contexts: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """contexts: (context, unit, content, tags); found: tokens(units). Texts (context, unit, active) in which what is not
     reached is blanked, and imports (context, n, owner, directory, name, starred, tags) with the tags at their place."""
-    rows = stash(contexts.select("context", "unit").join(found, "unit"), "tags-rows")
+    rows = stash(contexts.select("context", "unit").hint("merge").join(found, "unit"), "tags-rows")
     state = settle(rows, contexts, "context")
     known = stash(rows.join(state, ["context", "n"]).where("reached"), "tags-reached")
     way = F.get("arms", F.col("chosen"))
     spans = F.array(F.struct("start", way["start"].alias("stop")), F.struct(way["stop"].alias("start"), F.col("stop")))
     masked = known.where("kind = 'choice'").groupBy("context").agg(F.flatten(F.collect_list(spans)).alias("ranges"))
-    first = contexts.join(masked, "context", "left").select("context", "unit", "tags", blank_ranges(F.col("content"), F.col("ranges")).alias("content"))
+    first = contexts.hint("merge").join(masked, "context", "left").select("context", "unit", "tags", blank_ranges(F.col("content"), F.col("ranges")).alias("content"))
     first = stash(first, "tags-first")
 
     # blocks that hold for some tags only, by the tags that stay set after the choices
@@ -191,14 +197,14 @@ def evaluated(contexts: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFra
     texts = first.join(off, "context", "left").select("context", "unit", blank_ranges(F.col("content"), F.col("ranges")).alias("active"))
 
     left = again.where("reached").select("context", "n")
-    imports = known.where("kind = 'import'").join(left, ["context", "n"], "left_semi").select("context", "unit", "n", "start", "directory", "name", "starred")
+    imports = known.where("kind = 'import'").join(left, ["context", "n"], "left_semi").select("context", "unit", "n", "start", "directory", "name", "starred").hint("merge")
     changes = F.inline(F.flatten(F.transform("tags", lambda t: F.array(F.struct(t.alias("tag"), F.col("value").alias("v")), F.struct(F.concat(F.lit("not"), t).alias("tag"), (~F.col("value")).alias("v"))))))
     sets = known.where("kind = 'set'").select("context", "start", changes)
     asked = sets.select("context", "tag").distinct().join(imports.select("context", "start", "n"), "context")
     events = sets.withColumn("n", F.lit(None).cast("int")).unionByName(asked.withColumn("v", F.lit(None).cast("boolean")))
     value = F.last("v", ignorenulls=True).over(W.partitionBy("context", "tag").orderBy("start").rowsBetween(W.unboundedPreceding, -1))
     changed = events.withColumn("value", value).where("n is not null and value is not null").groupBy("context", "n").agg(F.map_from_entries(F.collect_list(F.struct("tag", "value"))).alias("changed"))
-    carried = imports.join(changed, ["context", "n"], "left").join(first.select("context", "tags"), "context")
+    carried = imports.join(changed, ["context", "n"], "left").hint("merge").join(first.select("context", "tags"), "context")
     kept = F.map_filter("tags", lambda k, _: ~F.coalesce(F.map_contains_key(F.col("changed"), k), F.lit(False)))
     tags = F.when(F.col("changed").isNull(), F.col("tags")).otherwise(F.map_concat(kept, "changed"))
     return stash(texts, "tags-texts"), stash(carried.select("context", "unit", "n", "directory", "name", "starred", tags.alias("tags")), "tags-imports")
@@ -215,23 +221,23 @@ def unfolded(units: DataFrame, entry: DataFrame) -> dict[str, DataFrame]:
     occurrence) in the order of visits, ``text`` (context, unit, active), ``missing`` (unit) and ``cyclic`` (entry, path, unit)."""
     found = stash(tokens(units), "tags-tokens")
     start = entry.select("unit", "tags").withColumn("context", context_id(F.col("unit"), F.col("tags")))
-    fresh = stash(start.join(units, "unit").select("context", "unit", "content", "tags"), "tags-contexts")
+    fresh = stash(start.hint("merge").join(units, "unit").select("context", "unit", "content", "tags"), "tags-contexts")
     texts, ways, missing, seen = [], [], [], []
     while fresh.limit(1).count():
         seen.append(fresh.select("context"))
         active, imports = evaluated(fresh, found)
         target = tex.resolve_import(F.col("unit"), F.coalesce("directory", F.lit("")), F.col("name"), F.coalesce("starred", F.lit(False)))
         named = imports.select("context", "n", target.alias("target"), "tags").withColumn("to", context_id(F.col("target"), F.col("tags")))
-        there = named.join(units.select(F.col("unit").alias("target"), "content"), "target")
+        there = named.join(units.select(F.col("unit").alias("target"), "content").hint("merge"), "target")
         texts.append(active)
         ways.append(stash(there.select("context", "n", "to", "target"), "tags-ways"))
         missing.append(stash(named.join(units.select(F.col("unit").alias("target")), "target", "left_anti").select(F.col("target").alias("unit")), "tags-missing"))
         new = there.select(F.col("to").alias("context"), F.col("target").alias("unit"), "content", "tags").dropDuplicates(["context"])
-        fresh = stash(new.join(reduce(DataFrame.unionByName, seen), "context", "left_anti"), "tags-contexts")
+        fresh = stash(new.hint("merge").join(reduce(DataFrame.unionByName, seen), "context", "left_anti"), "tags-contexts")
     ways = stash(reduce(DataFrame.unionByName, ways), "tags-all-ways") if ways else None
 
     path = F.array().cast("array<int>")
-    step = stash(start.select(F.col("unit").alias("entry"), path.alias("path"), "unit", "context", F.array("context").alias("above")).join(units.select("unit"), "unit"), "tags-instances")
+    step = stash(start.select(F.col("unit").alias("entry"), path.alias("path"), "unit", "context", F.array("context").alias("above")).hint("merge").join(units.select("unit"), "unit"), "tags-instances")
     levels, cyclic = [step], []
     while ways is not None:
         on = step.join(ways, "context").select("entry", F.array_append("path", F.col("n")).alias("path"), F.col("target").alias("unit"), F.col("to").alias("context"), "above")
