@@ -425,7 +425,7 @@ def greedy_acyclic(edges: DataFrame) -> DataFrame:
                 break
             prefix = inside.join(middle, "component").where("seq <= middle")
             round_ = _trim(stash(prefix.select("src", "dst"), "greedy-prefix"), "greedy-trim")
-            closed = round_.select(F.col("src").alias("node")).distinct().join(component, "node").select("component").distinct().withColumn("closed", F.lit(True))
+            closed = round_.select(F.col("src").alias("node")).distinct().join(component, "node").select("component").distinct().withColumn("closed", F.lit(True)).hint("merge")
             halved = bounds.join(middle, "component", "left").join(closed, "component", "left")
             known, yes = F.col("middle").isNotNull(), F.coalesce("closed", F.lit(False))
             bounds = stash(halved.select("component", F.when(known & ~yes, F.col("middle")).otherwise(F.col("low")).alias("low"), F.when(known & yes, F.col("middle")).otherwise(F.col("high")).alias("high")), "greedy-bounds")
