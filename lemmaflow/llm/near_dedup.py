@@ -14,8 +14,10 @@ Texts that meet in a prefix are compared with one of their bucket, first the lea
 by round, the one that has most links, the next one and so on, as long as that links many; then those of a bucket
 that are still in different components are compared with each other. Sizes,
 places and profiles (how many shingles have each of 64 to 2048 hashed values, so that the sum
-of the lesser counts bounds what two sets share) rule out most pairs; the others are settled by the
-sets themselves, which are made again for the texts that are in any such pair only.
+of the lesser counts bounds what two sets share) rule out most pairs, and for the last ones already where they
+meet: there, parities of such counts bound what they do not share. The others are settled by the
+sets themselves, which are made again for the texts that are in any such pair only. Shingles that have the same texts in
+their buckets are one bucket.
 
 Defined cases: words are as in SimHash (lower case in ASCII); fewer than five words are
 one shingle; texts with equal sets, null and empty ones among them, are copies; sets and
@@ -48,6 +50,7 @@ FREQUENT_IN = 3
 FREQUENT = 200_000
 _FILTER_WORDS = 1 << 18
 _LEAST_PROFILE, _MOST_PROFILE = 64, 2048
+_PARITY_WORDS = 16
 #: texts that are named by a broadcast table of that many hashes at most, more by a bit table
 BROADCAST_ROWS = 200_000
 #: rounds of one against all of a bucket end when the pairs that are left are no more than this times the rows
@@ -103,6 +106,12 @@ def profile(found: np.ndarray) -> np.ndarray:
     return np.bincount(found.view(np.uint64) & np.uint64(values - 1), minlength=values).astype(np.int32)
 
 
+def parities(found: np.ndarray) -> np.ndarray:
+    """Whether the shingles with each value of their lowest ten bits are odd in number, as 16 words of 64 bits."""
+    odd = np.bincount(found.view(np.uint64) & np.uint64(64 * _PARITY_WORDS - 1), minlength=64 * _PARITY_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def most_shared(x: np.ndarray, y: np.ndarray) -> int:
     """A bound on the shingles that two sets with these profiles share."""
     values = min(len(x), len(y))
@@ -110,10 +119,10 @@ def most_shared(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def prefixes(text: Column, frequent: np.ndarray, spark) -> Column:
-    """A struct of the set's hash, its size, its prefix in the common order, profile and SimHash."""
+    """A struct of the set's hash, its size, its prefix in the common order, profile, parities and SimHash."""
     shared = spark.sparkContext.broadcast(frequent)
 
-    @F.pandas_udf("fp long, size int, prefix array<long>, profile array<int>, sim long")
+    @F.pandas_udf("fp long, size int, prefix array<long>, profile array<int>, parity array<long>, sim long")
     def made(texts: pd.Series) -> pd.DataFrame:
         late, rows = shared.value, []
         for x in texts:
@@ -124,9 +133,9 @@ def prefixes(text: Column, frequent: np.ndarray, spark) -> Column:
             is_late[inside] = late[at[inside]] == found[inside]
             ordered = np.concatenate((found[~is_late], found[is_late]))
             sim = int(np.uint64(simhash.majority(found.view(np.uint64))).astype(np.int64))
-            rows.append((set_print(found), len(found), ordered[: prefix_length(len(found))], profile(found), sim))
-        out = pd.DataFrame(rows, columns=["fp", "size", "prefix", "profile", "sim"])
-        return out.astype({"prefix": object, "profile": object})
+            rows.append((set_print(found), len(found), ordered[: prefix_length(len(found))], profile(found), parities(found), sim))
+        out = pd.DataFrame(rows, columns=["fp", "size", "prefix", "profile", "parity", "sim"])
+        return out.astype({"prefix": object, "profile": object, "parity": object})
 
     return made(text)
 
@@ -138,11 +147,16 @@ def _packed(size: str, at: str) -> Column:
 
 def meets(sets: DataFrame) -> DataFrame:
     """sets: (fp, size, prefix). Distinct (h, fp, size, at, first, first_size, first_at): the
-    members of each shingle that is in two prefixes or more, with the least of them."""
+    members of each shingle that is in two prefixes or more, with the least of them. Of the shingles that have the
+    same members, as those of a passage have, only the first in the common order stays: it is the first of them
+    for every pair, and no later place leaves more pairs possible."""
     entries = sets.select("fp", "size", F.posexplode("prefix").alias("at", "h")).select("h", "fp", _packed("size", "at").alias("spot"))
     bucket = W.partitionBy("h")
     both = entries.select("h", "fp", "spot", F.min(F.struct("fp", "spot")).over(bucket).alias("least"), F.max("fp").over(bucket).alias("most"))
     both = both.where(F.col("least")["fp"] < F.col("most")).select("h", "fp", "spot", F.col("least")["fp"].alias("first"), F.col("least")["spot"].alias("first_spot")).distinct()
+    members = [F.bit_xor(F.xxhash64("fp", F.lit(k))).over(bucket).alias(f"members{k}") for k in range(2)]
+    least = F.min(F.struct("spot", "h", "first", "first_spot")).alias("row")
+    both = both.select("*", *members).groupBy("members0", "members1", "fp").agg(least).select("fp", "row.*")
     size, place = lambda c: F.shiftright(c, 32).cast("int"), lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
     return both.select("h", "fp", size("spot").alias("size"), place("spot").alias("at"), "first", size("first_spot").alias("first_size"), place("first_spot").alias("first_at"))
 
@@ -155,6 +169,13 @@ def possible(size: str, at: str, other_size: str, other_at: str) -> Column:
     return (shared * (NUMERATOR + DENOMINATOR) >= (a + b) * NUMERATOR) & (F.least(a, b) * DENOMINATOR >= F.greatest(a, b) * NUMERATOR)
 
 
+def near_parities(size: str, parity: str, other_size: str, other_parity: str) -> Column:
+    """False only if the sets cannot be similar enough: each odd place of one of them alone is a shingle
+    at least that they do not share, and those are no more than a ninth of both."""
+    apart = sum(F.bit_count(F.col(parity)[k].bitwiseXOR(F.col(other_parity)[k])) for k in range(_PARITY_WORDS))
+    return apart * (NUMERATOR + DENOMINATOR) <= (F.col(size) + F.col(other_size)) * (DENOMINATOR - NUMERATOR)
+
+
 def alike(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
     """The distinct pairs (a, b) whose profiles leave the similarity possible."""
     one, two = profiles.select(F.col("fp").alias("fa"), F.col("profile").alias("pa")), profiles.select(F.col("fp").alias("fb"), F.col("profile").alias("pb"))
@@ -230,9 +251,9 @@ def by_simhash(sets: DataFrame) -> DataFrame:
 
 
 def links(sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """sets: (fp, size, prefix, profile, sim, print), any row of it repeated; texts: (print, text).
+    """sets: (fp, size, prefix, profile, parity, sim, print), any row of it repeated; texts: (print, text).
     Edges (a, b) with the same components as all pairs of sets with the similarity."""
-    profiles = stash(sets.groupBy("fp").agg(F.any_value("profile").alias("profile"), F.any_value("sim").alias("sim"), F.any_value("print").alias("print")), "near-profiles")
+    profiles = stash(sets.groupBy("fp").agg(F.any_value("profile").alias("profile"), F.any_value("parity").alias("parity"), F.any_value("sim").alias("sim"), F.any_value("print").alias("print")), "near-profiles")
     members = stash(meets(sets.select("fp", "size", "prefix")), "near-members")
     close = by_simhash(profiles.select("fp", "sim"))
     stars = members.where("fp <> first").where(possible("size", "at", "first_size", "first_at"))
@@ -274,9 +295,12 @@ def links(sets: DataFrame, texts: DataFrame) -> DataFrame:
             break
     labels = stash(components(found), "near-round")
     named = members.select("h", "fp", "size", "at").join(labels.hint("merge"), members["fp"] == labels["node"], "left")
-    apart = stash(named.select("h", "fp", "size", "at", F.coalesce("label", "fp").alias("label")), "near-apart")
-    other = apart.select(F.col("h").alias("h2"), F.col("fp").alias("b"), F.col("size").alias("size2"), F.col("at").alias("at2"), F.col("label").alias("label2"))
-    crossed = apart.join(other.hint("merge"), (apart["h"] == other["h2"]) & (F.col("fp") > F.col("b")) & (F.col("label") != F.col("label2")) & possible("size", "at", "size2", "at2"))
+    named = named.select("h", F.col("fp").alias("f"), "size", "at", F.coalesce("label", "fp").alias("label"))
+    parity = profiles.select("fp", "parity")
+    apart = stash(named.join(parity.hint("merge"), named["f"] == parity["fp"]).select("h", "fp", "size", "at", "label", "parity"), "near-apart")
+    other = apart.select(F.col("h").alias("h2"), F.col("fp").alias("b"), F.col("size").alias("size2"), F.col("at").alias("at2"), F.col("label").alias("label2"), F.col("parity").alias("parity2"))
+    near = possible("size", "at", "size2", "at2") & near_parities("size", "parity", "size2", "parity2")
+    crossed = apart.join(other.hint("merge"), (apart["h"] == other["h2"]) & (F.col("fp") > F.col("b")) & (F.col("label") != F.col("label2")) & near)
     crossed = crossed.select(F.col("fp").alias("a"), "b").distinct()
     crossed = stash(crossed.join(tested.hint("merge"), ["a", "b"], "left_anti"), "near-crossed")
     release(apart, members)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import numpy as np
+
 import corpus_pipeline
 from lemmaflow.llm import near_dedup, simhash
 
@@ -72,3 +74,25 @@ def test_pairs_beyond_four_bits(make):
     assert 0.8 <= len(a & b) / len(a | b) < 1
     kept = corpus_pipeline.one_of_each_group(None, make([(1, text), (2, far)]), "").collect()
     assert Counter(r.doc_id for r in kept) == {1: 1}
+
+
+def test_a_passage_is_one_bucket(spark):
+    sets = [(10, 40, [7, 1, 2, 3, 5]), (20, 41, [1, 2, 3, 5]), (20, 41, [1, 2, 3, 5]), (30, 42, [8, 5]), (40, 43, [9])]
+    met = near_dedup.meets(spark.createDataFrame(sets, "fp long, size int, prefix array<long>")).collect()
+    assert sorted((r.h, r.fp, r.size, r.at, r.first, r.first_size, r.first_at) for r in met) == [(1, 10, 40, 1, 10, 40, 1), (1, 20, 41, 0, 10, 40, 1), (5, 10, 40, 4, 10, 40, 4), (5, 20, 41, 3, 10, 40, 4), (5, 30, 42, 1, 10, 40, 4)]
+
+
+def test_parities_lose_no_similar_pair(spark):
+    rng = random.Random(4)
+    rows, similar, apart = [], [], []
+    for n in (1, 5, 9, 70, 700, 3000):
+        for k in (0, 1, n // 10, n // 9, n // 8, n // 2, n):
+            a = [rng.randrange(-(2**63), 2**63) for _ in range(n)]
+            b = a[k:] + [rng.randrange(-(2**63), 2**63) for _ in range(k)]
+            similar.append(5 * (n - k) >= 4 * (n + k))
+            apart.append(k >= n // 2 and 70 <= n <= 700)
+            rows.append((n, *(near_dedup.parities(np.unique(np.array(x, np.int64))).tolist() for x in (a, b))))
+    pairs = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, n int, a array<long>, b array<long>")
+    near = [r.near for r in pairs.select("k", near_dedup.near_parities("n", "a", "n", "b").alias("near")).orderBy("k").collect()]
+    assert all(found for found, must in zip(near, similar) if must) and any(similar)
+    assert not any(found for found, far in zip(near, apart) if far) and any(apart)
