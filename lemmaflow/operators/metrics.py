@@ -13,9 +13,9 @@ def routed_theorems(routes: DataFrame, dependencies: DataFrame, nodes: DataFrame
     used = routes.select("component", "theorem", F.explode("dependency_ids").alias("dependency"))
     edges = dependencies.select("component", "dependency", "prerequisite_type", "prerequisite")
     real = nodes.where("node_class <> 'source-artifact'").select("component", F.col("node").alias("prerequisite"))
-    joined = used.join(edges, ["component", "dependency"])
+    joined = used.join(edges.hint("merge"), ["component", "dependency"])
     outside = joined.where("prerequisite_type = 'external-input'").select("component", "theorem")
-    inside = joined.where("prerequisite_type = 'node'").join(real, ["component", "prerequisite"], "left_semi").select("component", "theorem")
+    inside = joined.where("prerequisite_type = 'node'").join(real.hint("merge"), ["component", "prerequisite"], "left_semi").select("component", "theorem")
     return roots.unionByName(outside).unionByName(inside).distinct()
 
 

@@ -239,7 +239,7 @@ def strong_components(edges: DataFrame, class_edges: int = CLASS_EDGES) -> DataF
 
 def on_cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The nodes (node) on a cycle."""
-    return nodes.select("node").distinct().join(strong_components(edges).select("node"), "node", "left_semi")
+    return nodes.select("node").distinct().join(strong_components(edges).select("node").hint("merge"), "node", "left_semi")
 
 
 def redundant_edges(edges: DataFrame) -> DataFrame:

@@ -29,8 +29,8 @@ def unique(df: DataFrame, rule: str, key: list[str]) -> DataFrame:
 
 
 def refers(child: DataFrame, rule: str, entity: str, key: list[str], parent: DataFrame, parent_key: list[str]) -> DataFrame:
-    """Rows of ``child`` whose key is no key of ``parent``."""
-    known = parent.select(*[F.col(p).alias(f"p{n}__") for n, p in enumerate(parent_key)]).distinct()
+    """Rows of ``child`` whose key is no key of ``parent``. The join sorts, no table of keys goes through the driver."""
+    known = parent.select(*[F.col(p).alias(f"p{n}__") for n, p in enumerate(parent_key)]).distinct().hint("merge")
     same = reduce(lambda a, b: a & b, [child[k] == known[f"p{n}__"] for n, k in enumerate(key)])
     return _rows(child.join(known, same, "left_anti"), rule, F.col(entity), F.concat_ws("|", *[F.col(k).cast("string") for k in key]))
 
@@ -68,8 +68,8 @@ def evidence_rules(df: DataFrame, name: str, entity: str, units: DataFrame) -> l
 def _inventory_rules(t: Tables) -> list[DataFrame]:
     inventory, node, unit = t["unit_inventory"], t["node"], t["source_unit"]
     listed = inventory.select("component", "unit", F.inline(F.concat(*[F.transform(c, lambda x: F.struct(x.alias("node"), F.lit(k).alias("listed_as"))) for c, k in (("theorems", "theorem-like"), ("supports", "support"), ("artifacts", "source-artifact"))])))
-    both = listed.join(node.select("component", "node", "node_class", "evidence"), ["component", "node"], "left")
-    own = inventory.join(unit.select("component", "unit", "content_sha256"), ["component", "unit"], "left")
+    both = listed.join(node.select("component", "node", "node_class", "evidence").hint("merge"), ["component", "node"], "left")
+    own = inventory.join(unit.select("component", "unit", "content_sha256").hint("merge"), ["component", "unit"], "left")
     extracted = t["component"].where(F.col("extraction_status").isin("extracted", "reviewed")).select("component")
     return [
         unique(inventory, "inventory-unique", ["component", "unit"]),
@@ -103,7 +103,7 @@ def _route_rules(t: Tables) -> list[DataFrame]:
     route, dependency = t["proof_route"], t["dependency"]
     theorems = t["node"].where("node_class = 'theorem-like'")
     used = route.select("component", "route", "theorem", F.explode("dependency_ids").alias("dependency"))
-    owned = used.join(dependency.select("component", "dependency", "dependent"), ["component", "dependency"])
+    owned = used.join(dependency.select("component", "dependency", "dependent").hint("merge"), ["component", "dependency"])
     signature = route.withColumns({"sorted": F.array_join(F.array_sort("dependency_ids"), ","), "sha": F.coalesce("evidence.sha256", F.lit("pending"))})
     return [
         refers(route, "route-theorem", "route", ["component", "theorem"], theorems, ["component", "node"]),
@@ -119,7 +119,7 @@ def _reference_rules(t: Tables) -> list[DataFrame]:
     reference, node, dependency = t["reference"], t["node"], t["dependency"]
     resolved = reference.where("status = 'resolved'")
     proof = resolved.where(F.col("basis").isin("proof-xref", "proof-citation"))
-    linked = resolved.where("dependency is not null").join(dependency.select("component", "dependency", "dependent", "prerequisite_type", "prerequisite"), ["component", "dependency"])
+    linked = resolved.where("dependency is not null").join(dependency.select("component", "dependency", "dependent", "prerequisite_type", "prerequisite").hint("merge"), ["component", "dependency"])
     return [
         refers(reference, "reference-owner", "reference", ["component", "owner"], node, ["component", "node"]),
         unique(reference.withColumn("pin", F.coalesce("pinpoint", F.lit(""))), "reference-once", ["component", "owner", "basis", "ref", "pin", "locator"]),
