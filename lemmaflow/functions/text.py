@@ -9,11 +9,12 @@ import unicodedata
 from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, MapType, StringType, StructType
 
@@ -288,30 +289,53 @@ def cuts(sources: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.Series:
 _SPANS = ArrayType(StructType().add("start", IntegerType()).add("end", IntegerType()).add("environment", StringType()).add("title", StringType()).add("body", StringType()))
 
 
+_ENVIRONMENT = re.compile(r"\\(begin|end)\s*\{([A-Za-z*]+)\}(?:\[([^\]]*)\])?")
+#: rows of environments that a task hands on at once
+_ROWS = 5_000
+
+
+def _environments(source: str | None) -> Iterator[tuple]:
+    """(start, end, environment, title, body) of a text, each when it ends."""
+    blank = lambda m: re.sub(r"[^\n]", " ", m[0])
+    text = re.sub(r"(?<!\\)%[^\n]*", blank, source or "")
+    text = re.sub(r"(?<=\\begin\{verbatim\}).*?(?=\\end\{verbatim\})", blank, text, flags=re.S)
+    open_ = []
+    for m in _ENVIRONMENT.finditer(text):
+        if m[1] == "begin":
+            open_.append((m[2], m.start(), m.end(), m[3]))
+        elif any(o[0] == m[2] for o in open_):
+            while open_:
+                name, start, inner, title = open_.pop()
+                yield start, m.end(), name, title, text[inner : m.start()]
+                if name == m[2]:
+                    break
+    for name, start, inner, title in open_:
+        yield start, len(text), name, title, text[inner:]
+
+
 @F.pandas_udf(_SPANS)
 def tex_environments(sources: pd.Series) -> pd.Series:
     """Environments of TeX texts, nested ones included, in order of their start; comments
     and verbatim bodies are blanked first, an unclosed one runs to the end."""
-    token = re.compile(r"\\(begin|end)\s*\{([A-Za-z*]+)\}(?:\[([^\]]*)\])?")
-
-    def one(source: str | None) -> list[dict]:
-        blank = lambda m: re.sub(r"[^\n]", " ", m[0])
-        text = re.sub(r"(?<!\\)%[^\n]*", blank, source or "")
-        text = re.sub(r"(?<=\\begin\{verbatim\}).*?(?=\\end\{verbatim\})", blank, text, flags=re.S)
-        open_, found = [], []
-        for m in token.finditer(text):
-            if m[1] == "begin":
-                open_.append((m[2], m.start(), m.end(), m[3]))
-            elif any(o[0] == m[2] for o in open_):
-                while open_:
-                    name, start, inner, title = open_.pop()
-                    found.append((start, m.end(), name, title, text[inner : m.start()]))
-                    if name == m[2]:
-                        break
-        found += [(start, len(text), name, title, text[inner:]) for name, start, inner, title in open_]
-        return [dict(zip(("start", "end", "environment", "title", "body"), f)) for f in sorted(found, key=lambda f: f[:2])]
-
-    return sources.map(one)
+    return sources.map(lambda x: [dict(zip(_SPANS.elementType.names, f)) for f in sorted(_environments(x), key=lambda f: f[:2])])
+
+
+def tex_environment_rows(texts: DataFrame, source: str) -> DataFrame:
+    """``tex_environments`` as rows beside the other columns of ``texts``, for texts of any number of
+    environments: a task holds one text and some rows, no list of all."""
+    kept = [c for c in texts.columns if c != source]
+    schema = texts.select(*kept).schema
+    for field in _SPANS.elementType:
+        schema = schema.add(field)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for *key, text in batch[[*kept, source]].itertuples(index=False, name=None):
+                found = _environments(text)
+                while rows := list(islice(found, _ROWS)):
+                    yield pd.DataFrame([(*key, *r) for r in rows], columns=schema.names)
+
+    return texts.select(*kept, source).mapInPandas(run, schema)
 
 
 def tex_sections(content: Column) -> Column:

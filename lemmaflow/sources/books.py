@@ -40,7 +40,7 @@ def tag_rows(lines: DataFrame) -> DataFrame:
 def nodes_of(units: DataFrame) -> DataFrame:
     """One row for each environment or section of TeX units: (component, unit, start, end,
     environment, title, body, label)."""
-    found = units.select("component", "unit", F.inline(text.tex_environments("content")))
+    found = text.tex_environment_rows(units.select("component", "unit", "content"), "content")
     return found.withColumn("label", F.get(text.labels(F.col("body")), 0))
 
 

@@ -22,6 +22,7 @@ import posixpath
 import re
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import pandas as pd
@@ -48,6 +49,8 @@ INDEX_KEYS = ("storageSchemaVersion", "logicalSchemaVersion", "logicalContentSha
 SHARD_KEYS = ("schemaVersion", "path", "recordCount", "byteLength", "sha256")
 DISTRIBUTIONS = ("open-derived-data", "metadata-only", "restricted-derived-data", "review-required")
 PHASE = "source-dependency-graph"
+#: bytes that a task's Python takes at once
+BATCH_BYTES = 8 << 20
 _TOP = ("sourceUnits", "unitInventories")
 _DIGEST = re.compile("[a-f0-9]{64}")
 
@@ -405,6 +408,18 @@ def logical_digests(records: DataFrame, headers: DataFrame) -> DataFrame:
     return rows.repartition(F.xxhash64("component")).sortWithinPartitions("component", "place", "ordinal").mapInPandas(run, "component string, sha256 string")
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs meanwhile hands Python no more than BATCH_BYTES at once, or one row: 10,000 shards, as a batch has else, are all of a task's."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def write_components(records: DataFrame, headers: DataFrame, folder: str, limit: int = MAX_BYTES, **options: str) -> None:
     """records: (component, collection, ordinal, record); headers: (component, source_record, metadata, distribution),
     the last two as JSON, distribution may be null: then the old index's stays. Replaces the components in headers."""
@@ -415,4 +430,5 @@ def write_components(records: DataFrame, headers: DataFrame, folder: str, limit:
     digests = logical_digests(records.join(headers.select("component"), "component", "left_semi"), headers)
     parts = F.concat(F.lit('{"metadata":'), "metadata", F.lit(',"distribution":'), F.coalesce("distribution", F.lit("null")), F.lit(',"logicalContentSha256":"'), "sha256", F.lit('"}'))
     heads = headers.join(digests, "component").select("source_record", "component", F.lit(None).cast("string").alias("collection"), F.lit(None).cast("int").alias("shard"), F.lit(None).cast("int").alias("record_count"), parts.alias("content"))
-    shards.unionByName(heads).write.format("component_files").mode("append").options(**options).save(folder)
+    with small_batches(spark):
+        shards.unionByName(heads).write.format("component_files").mode("append").options(**options).save(folder)
