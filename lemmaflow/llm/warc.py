@@ -9,9 +9,11 @@ Every record is judged alone and nothing is shuffled.
 
 Records are rows (record_type, record_id, refers_to, target_uri, date, content_type,
 headers: all WARC headers in order, block). write_warc() and read_warc() exchange them with
-WARC files. A record's end followed by the next one's version is the separator of Spark's text
-source, so large files are split among tasks and no file is held whole; a block that
-holds such bytes itself is put together again by its Content-Length, and blocks stay bytes.
+WARC files. The beginning of a version is the separator of Spark's text source, so large files are
+split among tasks and no file is held whole; headers and blocks that hold such bytes themselves are put
+together again, blocks by their Content-Length, and blocks stay bytes. (With the line ends before the version
+in the separator, records were lost where a split or buffer ended between them: the text source looks for a
+separator anew in the next buffer only, so one that begins like its own middle can be overlooked.)
 Versions 1.0 and 1.1 are read, 1.1 is written.
 
 Defined cases: a null page or block is an empty one and still gives both records; a
@@ -21,8 +23,7 @@ that don't fit become replacement characters; malformed markup never fails and i
 one pass, and an unclosed tag, script, style or comment runs to the end; ids come from the
 source's id, so repeated rows give repeated records. Reading: a record without the blank line
 after its headers has an empty block; one that ends before its length is there is not
-``complete``, and that goes too for a block with a separator in it that two splits of one
-uncompressed file share.
+``complete``. Writing: where a record's columns and its headers differ, the columns are written.
 """
 
 from __future__ import annotations
@@ -173,19 +174,25 @@ def responses(pages: DataFrame) -> DataFrame:
 
 def write_warc(records: DataFrame, path: str) -> None:
     """Write records as uncompressed WARC files, one for each partition. Content-Length is
-    written as the block's own length."""
+    written as the block's own length, and the values of the record's other columns as those of
+    their headers: of the first of that name, or of one more at the end. Null columns, and those
+    that ``records`` lacks, leave the headers as they are."""
     block = F.coalesce("block", F.lit(b""))
-    own = F.filter("headers", lambda h: F.lower(h["name"]) != "content-length")
-    lines = F.concat(F.transform(own, lambda h: F.concat(h["name"], F.lit(": "), h["value"])), F.array(F.concat(F.lit("Content-Length: "), F.octet_length(block))))
+    own = F.filter(F.coalesce("headers", F.array()), lambda h: F.lower(h["name"]) != "content-length")
+    names = F.transform(own, lambda h: F.lower(h["name"]))
+    told = [(name, F.array_position(names, name.lower()), F.col(column).cast("string")) for column, name in _NAMED.items() if column in records.columns]
+    said = F.transform(own, lambda h, k: F.concat(h["name"], F.lit(": "), F.coalesce(*[F.when(at == k + 1, value) for _, at, value in told], h["value"])))
+    more = [F.when(at == 0, F.concat(F.lit(f"{name}: "), value)) for name, at, value in told]
+    lines = F.concat(said, F.array(*more, F.concat(F.lit("Content-Length: "), F.octet_length(block))))
     head = F.concat(F.lit(f"{_VERSION}\r\n"), F.array_join(lines, "\r\n"), F.lit("\r\n\r\n"))
     rows = records.select(F.concat(F.encode(head, "UTF-8"), block).cast("string").alias("value"))
     rows.write.option("lineSep", _END.decode()).text(path)
 
 
 _END = b"\r\n\r\n"
-_CUT = _END + b"WARC/1."
+_MARK = b"WARC/1."
 _READ = RECORD + ", complete boolean"
-_NAMED = {"record_type": "warc-type", "record_id": "warc-record-id", "refers_to": "warc-refers-to", "target_uri": "warc-target-uri", "date": "warc-date", "content_type": "content-type"}
+_NAMED = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "refers_to": "WARC-Refers-To", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "content_type": "Content-Type"}
 
 
 def _head(piece: bytes) -> tuple[list[dict], int, int | None]:
@@ -204,35 +211,53 @@ def _head(piece: bytes) -> tuple[list[dict], int, int | None]:
 
 
 def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """batches: (file, piece) in the order of the files, each file's pieces together."""
+    """batches: (file, piece) in the order of the files, each file's pieces together: what stands
+    before its first mark, and after each. A mark begins a record if it comes after an empty line
+    and the length of the one before does not go beyond it."""
     held: list[bytes] = []
-    source, missing, head = None, 0, ([], 0, None)
-
-    def row() -> tuple:
-        headers, start, length = head
-        block = b"".join(held)[start:]
-        if length is not None and len(block) > length and not block[length:].strip(b"\r\n"):
-            block = block[:length]  # the end of the file's last record
+    source, missing, head = None, 0, None
+
+    def put(*more: bytes) -> None:
+        nonlocal held, missing, head
+        held += more
+        if head is not None:
+            missing -= sum(map(len, more))
+        elif _END in more[-1]:
+            held = [b"".join(held)]
+            head = _head(held[0])
+            missing = (head[2] or 0) - (len(held[0]) - head[1])
+
+    def rows(ended: bool) -> list[tuple]:
+        whole = b"".join(held)
+        if not whole:
+            return []
+        headers, start, length = head or _head(whole)
+        block = whole[start:]
+        if length is not None and len(block) >= length and not block[length:].strip(b"\r\n"):
+            block = block[:length]
+        elif ended:
+            block = block.removesuffix(_END)
         first = {}
         for h in headers:
             first.setdefault(h["name"].lower(), h["value"])
-        return (*[first.get(x) for x in _NAMED.values()], headers, block, length == len(block))
+        return [(*[first.get(x.lower()) for x in _NAMED.values()], headers, block, length == len(block))]
 
     for batch in batches:
-        rows = []
+        made = []
         for file, piece in zip(batch["file"], batch["piece"]):
-            if held and source == file and missing > 0:
-                held += [_CUT, piece]
-                missing -= len(_CUT) + len(piece)
-                continue
-            if held:
-                rows.append(row())
-            source, held = file, [piece]
-            head = _head(piece)
-            missing = (head[2] or 0) - (len(piece) - head[1])
-        yield pd.DataFrame(rows, columns=[*_NAMED, "headers", "block", "complete"])
-    if held:
-        yield pd.DataFrame([row()], columns=[*_NAMED, "headers", "block", "complete"])
+            if source != file:
+                made += rows(False)
+                source, held, head = file, [], None
+                if piece.strip(b"\r\n"):
+                    put(piece)
+            elif held and not (held[-1].endswith(_END) and missing < len(_MARK)):
+                put(_MARK, piece)
+            else:
+                made += rows(True)
+                held, head = [], None
+                put(piece)
+        yield pd.DataFrame(made, columns=[*_NAMED, "headers", "block", "complete"])
+    yield pd.DataFrame(rows(False), columns=[*_NAMED, "headers", "block", "complete"])
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -240,13 +265,13 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     a block that isn't as long as its Content-Length says. A record ends where its length says, so a file's
     pieces are read in one order: as they come from a gzipped file, which is never split; those of
     other files, which may come from several splits, are brought together by file first."""
-    text = spark.read.option("lineSep", _CUT.decode()).text(path)
+    text = spark.read.option("lineSep", _MARK.decode()).text(path)
     packed = F.col("_metadata.file_name").endswith(".gz")
     piece = [F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("piece")]
     whole = text.where(packed).select(*piece)
     split = text.where(~packed).select(*piece, F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("place"))
     split = split.repartition("file").sortWithinPartitions("file", "split", "place").select("file", "piece")
-    made = [rows.where(F.octet_length("piece") > 0).mapInPandas(_records, _READ) for rows in (whole, split)]
+    made = [rows.mapInPandas(_records, _READ) for rows in (whole, split)]
     return made[0].unionByName(made[1])
 
 

@@ -14,6 +14,7 @@ from time import time
 from urllib.parse import urljoin
 
 import corpus_pipeline
+import pandas as pd
 from lemmaflow.llm import language_id, source_mix, warc
 from lemmaflow.llm.common import table
 from pyspark.sql import functions as F
@@ -265,6 +266,45 @@ def test_read_bytes_and_versions(spark, tmp_path):
     assert bytes(old[0].block) == b"abc" and next(h.value for h in old[2].headers if h.name == "X") == "a b"
 
 
+def test_columns_are_written_as_headers(spark, tmp_path):
+    """A record's columns and its headers may differ: the columns are written."""
+    listed = [("x", "1"), ("WARC-Record-ID", "<urn:old>"), ("warc-type", "resource"), ("WARC-Concurrent-To", "<urn:a>"), ("WARC-Concurrent-To", "<urn:b>"), ("WARC-RECORD-ID", "<urn:second>"), ("Content-Length", "99")]
+    rows = [("<urn:new>", None, "http://a.org/", b"abc", listed), ("<urn:bare>", "metadata", None, b"", None), (None, "response", None, b"z", listed)]
+    made = spark.createDataFrame(rows, "record_id string, record_type string, target_uri string, block binary, headers array<struct<name:string,value:string>>")
+    warc.write_warc(made, str(tmp_path / "w"))
+    back = {r.record_id: r for r in warc.read_warc(spark, str(tmp_path / "w")).collect()}
+    pairs = {k: [tuple(h) for h in r.headers] for k, r in back.items()}
+    assert pairs["<urn:new>"] == [("x", "1"), ("WARC-Record-ID", "<urn:new>"), *listed[2:6], ("WARC-Target-URI", "http://a.org/"), ("Content-Length", "3")]
+    assert pairs["<urn:bare>"] == [("WARC-Type", "metadata"), ("WARC-Record-ID", "<urn:bare>"), ("Content-Length", "0")]
+    assert pairs["<urn:old>"] == [*listed[:2], ("warc-type", "response"), *listed[3:6], ("Content-Length", "1")]
+    assert {k: (r.record_type, r.target_uri, bytes(r.block), r.complete) for k, r in back.items()} == {"<urn:new>": ("resource", "http://a.org/", b"abc", True), "<urn:bare>": ("metadata", None, b"", True), "<urn:old>": ("response", None, b"z", True)}
+
+
+def test_separators_that_spark_overlooks(spark, tmp_path):
+    """Blocks that end in line ends, hold separators or nothing else, cut at all places: every record comes back."""
+    cut = b"\r\n\r\nWARC/1."
+    blocks = [b"\r\n" * k for k in range(5)] + [cut, cut + cut, b"a" + cut + b"1\r\n", b"\r\n" + cut + b"\r\n", b"b" * 90 + b"\r\n"]
+    rows = [(f"<urn:{k}>", "resource", blocks[k % len(blocks)]) for k in range(60)]
+    made = spark.createDataFrame(rows, "record_id string, record_type string, block binary").withColumn("headers", F.array().cast("array<struct<name:string,value:string>>"))
+    warc.write_warc(made.coalesce(1), str(tmp_path / "w"))
+    usual = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (61, 64, 67):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            back = warc.read_warc(spark, str(tmp_path / "w")).collect()
+            assert sorted((r.record_id, r.record_type, bytes(r.block)) for r in back) == sorted(rows) and all(r.complete for r in back)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", usual)
+
+    def read(*pieces):
+        frame = pd.DataFrame({"file": "f", "piece": pieces})
+        return [(r.record_type, r.block, r.complete) for made in warc._records(iter([frame])) for r in made.itertuples()]
+
+    one, two = b"1\r\nWARC-Type: a\r\nContent-Length: 2\r\n\r\n\r\n", b"1\r\nWARC-Type: b\r\nX: WARC/1.0\r\nContent-Length: 12\r\n\r\n" + cut + b"2"
+    bare, short = b"1\r\nWARC-Type: c\r\n\r\nx", b"1\r\nWARC-Type: d\r\nContent-Length: 12\r\n\r\nshort"
+    assert read(*cut.join([b"WARC/1." + one, two, bare, short, one + b"\r\n"]).split(b"WARC/1.")) == [("a", b"\r\n", True), ("b", cut + b"2", True), ("c", b"x", False), ("d", b"short", False), ("a", b"\r\n", True)]
+
+
 def test_pipeline(spark):
     docs = table(spark, SF, "documents")
     last = docs
