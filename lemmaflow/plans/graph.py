@@ -6,8 +6,10 @@ shared folder, so plans stay short and a lost executor costs one round's tasks a
 
 from __future__ import annotations
 
+from array import array
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -20,8 +22,12 @@ from ..common import Buckets, buckets
 BATCH_ROWS = 50_000
 #: steps along the edges between two tables that are written
 STEPS = 4
-#: edges of a class that one task takes at once, larger ones are split by spreading numbers
-CLASS_EDGES = 50_000
+#: edges of a class that one task takes at once (some 100 bytes each), larger ones are split by spreading numbers
+CLASS_EDGES = 1_000_000
+#: edges of small classes that are walked together
+WALK_EDGES = 200_000
+#: rounds that take off what has no way in or no way on, before numbers are spread
+SHED_ROUNDS = 8
 
 
 def stash(df: DataFrame, label: str) -> DataFrame:
@@ -134,63 +140,99 @@ def _trim(edges: DataFrame, label: str) -> DataFrame:
         edges = kept
 
 
-def _mutual(edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """(node, component) of the components of two nodes or more, by Tarjan's walk."""
-    after: dict[int, list[int]] = {}
-    for a, b in edges:
-        after.setdefault(a, []).append(b)
-    place: dict[int, int] = {}
-    low: dict[int, int] = {}
-    open_: list[int] = []
-    done: set[int] = set()
-    found = []
-    for start in after:
-        if start in place:
+def _mutual(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, components) of the components of two nodes or more, by Tarjan's walk over arrays."""
+    size = 0
+    while len(a) != size:  # ends without a way in or a way on, as long as this is worth its pass
+        size = len(a)
+        kept = np.isin(a, b) & np.isin(b, a)
+        if 10 * np.count_nonzero(kept) > 9 * size:
+            break
+        a, b = a[kept], b[kept]
+    names, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
+    flat, n = flat.reshape(-1).astype(np.int32), len(names)
+    from_, to = flat[: len(a)], flat[len(a) :]
+    after = array("i", to[np.argsort(from_, kind="stable")].tobytes())
+    last = array("i", np.cumsum(np.bincount(from_, minlength=n)).astype(np.int32).tobytes())
+    at = array("i", [0]) + last[:-1] if n else array("i")
+    place, low = array("i", bytes(4 * n)), array("i", bytes(4 * n))
+    done, count = n + 1, 0
+    open_, path, members, components = array("i"), array("i"), array("i"), array("i")
+    for start in range(n):
+        if place[start]:
             continue
-        place[start] = low[start] = len(place)
-        open_.append(start)
-        todo = [(start, iter(after[start]))]
-        while todo:
-            node, rest = todo[-1]
-            for nxt in rest:
-                if nxt not in place:
-                    place[nxt] = low[nxt] = len(place)
-                    open_.append(nxt)
-                    todo.append((nxt, iter(after.get(nxt, ()))))
+        nxt = start
+        while True:
+            if nxt >= 0:
+                count += 1
+                place[nxt] = low[nxt] = count
+                open_.append(nxt)
+                path.append(nxt)
+            node, nxt = path[-1], -1
+            for k in range(at[node], last[node]):
+                seen = place[after[k]]
+                if not seen:
+                    at[node], nxt = k + 1, after[k]
                     break
-                if nxt not in done:
-                    low[node] = min(low[node], place[nxt])
-            else:
-                todo.pop()
-                if todo:
-                    low[todo[-1][0]] = min(low[todo[-1][0]], low[node])
-                if low[node] == place[node]:
-                    members = [open_.pop()]
-                    while members[-1] != node:
-                        members.append(open_.pop())
-                    done.update(members)
-                    found += [(m, node) for m in members] if len(members) > 1 else []
-    return found
+                if seen < low[node]:
+                    low[node] = seen
+            if nxt >= 0:
+                continue
+            path.pop()
+            if path and low[node] < low[path[-1]]:
+                low[path[-1]] = low[node]
+            if low[node] == place[node]:
+                alone = open_[-1] == node
+                while True:
+                    one = open_.pop()
+                    place[one] = done
+                    if not alone:
+                        members.append(one)
+                        components.append(node)
+                    if one == node:
+                        break
+            if not path:
+                break
+    return names[np.frombuffer(members, np.int32)], names[np.frombuffer(components, np.int32)]
 
 
 def _by_class(batches):
-    """Rows (down, up, a, b) sorted by class: (node, component) of each class."""
-    kind, held, edges, out = pa.int64(), None, [], []
+    """Rows (down, up, a, b) sorted by class: (node, component) of each class. No edge leads from class to class, so
+    whole classes are walked together, some WALK_EDGES edges or one larger class at a time."""
+    held, n, due = [], 0, WALK_EDGES
 
-    def full() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k in (0, 1)], ["node", "component"])
+    def walked(rows: np.ndarray):
+        nodes, components = _mutual(rows[2], rows[3])
+        for k in range(0, len(nodes), BATCH_ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(x[k : k + BATCH_ROWS], pa.int64()) for x in (nodes, components)], ["node", "component"])
 
     for batch in batches:
-        for down, up, a, b in zip(*(c.to_pylist() for c in batch.columns)):
-            if (down, up) != held:
-                out += _mutual(edges)
-                held, edges = (down, up), []
-                if len(out) >= BATCH_ROWS:
-                    yield full()
-                    out = []
-            edges.append((a, b))
-    out += _mutual(edges)
-    yield full()
+        held.append(np.stack([c.to_numpy() for c in batch.columns]))
+        n += batch.num_rows
+        if n < due:
+            continue
+        rows = np.concatenate(held, axis=1)
+        ends = np.flatnonzero(np.any(rows[:2, 1:] != rows[:2, :-1], axis=0))
+        cut = int(ends[-1]) + 1 if len(ends) else 0
+        if cut:
+            yield from walked(rows[:, :cut])
+        held, n = [rows[:, cut:].copy()], rows.shape[1] - cut
+        due = max(WALK_EDGES, 2 * n)
+    if n:
+        yield from walked(np.concatenate(held, axis=1))
+
+
+def _shed(left: DataFrame) -> DataFrame:
+    """Edges (down, up, a, b) without those whose ends have no way in or no way on, in some rounds, as long as a round
+    takes a tenth of them. What is in a component stays."""
+    n = left.count()
+    for _ in range(SHED_ROUNDS):
+        ends = lambda x, as_: left.select(F.col(x).alias(as_)).distinct()
+        kept = stash(left.join(ends("b", "a"), "a", "left_semi").join(ends("a", "b"), "b", "left_semi").select("down", "up", "a", "b"), "strong-shed")
+        before, n, left = n, kept.count(), kept
+        if 10 * n > 9 * before:
+            break
+    return left
 
 
 def strong_components(edges: DataFrame, class_edges: int = CLASS_EDGES) -> DataFrame:
@@ -198,7 +240,8 @@ def strong_components(edges: DataFrame, class_edges: int = CLASS_EDGES) -> DataF
     The greatest number spreads along the edges, and another one against them; nodes that both come to from the same node are
     a component, and an edge between different pairs of numbers is in none. What is left of the edges is numbered by
     its pairs anew: every class falls apart into several, so there are about a logarithm of rounds of spreading, not one for each
-    component on a way. Classes of no more than ``class_edges`` edges are walked, many by a task. Tables have at most four rows for an edge."""
+    component on a way. Classes of no more than ``class_edges`` edges are walked, many by a task; larger ones first lose
+    some layers of edges that lead in or out only. Tables have at most four rows for an edge."""
     loops = edges.where("src = dst").select(F.col("src").alias("node"))
     between = stash(edges.select("src", "dst").where("src <> dst").distinct(), "strong-edges")
     mix = F.xxhash64("node")
@@ -207,6 +250,7 @@ def strong_components(edges: DataFrame, class_edges: int = CLASS_EDGES) -> DataF
         names = stash(nodes.repartition(made.n, mix).sortWithinPartitions(mix).withColumn("id", F.monotonically_increasing_id()), "strong-names")
         left = between.join(names.toDF("src", "a"), "src").join(names.toDF("dst", "b"), "dst").select(F.lit(0).cast("long").alias("down"), F.lit(0).cast("long").alias("up"), "a", "b")
         found: list[DataFrame] = []
+        shed = False
         while True:
             left = stash(left, "strong-left")
             sizes = stash(left.groupBy("down", "up").agg((F.count("*") <= class_edges).alias("small")), "strong-sizes")
@@ -214,7 +258,10 @@ def strong_components(edges: DataFrame, class_edges: int = CLASS_EDGES) -> DataF
             found.append(stash(small.repartition(made.n, "down", "up").sortWithinPartitions("down", "up").mapInArrow(_by_class, "node long, component long"), "strong-walked"))
             if not sizes.where("not small").limit(1).count():
                 break
-            left = left.join(sizes.where("not small"), ["down", "up"], "left_semi").select("a", "b")
+            left = left.join(sizes.where("not small"), ["down", "up"], "left_semi").select("down", "up", "a", "b")
+            if not shed:
+                left, shed = _shed(stash(left, "strong-large")), True
+                continue
             # each way in both directions, and from every node to itself
             ways = F.inline(F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b"), F.lit(k).alias("kind")) for k, (x, y) in enumerate(("ab", "ba", "aa", "bb"))]))
             both = made.write(left.select(ways).withColumn("kind", F.least("kind", F.lit(2))).distinct(), "strong-ways", "a")
