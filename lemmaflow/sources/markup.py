@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..common import stash
 from ..functions import text
 from ..operators.joins import innermost, preceding
 from ..operators.merge import union_by
@@ -32,8 +33,7 @@ def elements(units: DataFrame) -> DataFrame:
     every element, with the bounds of what is between its tags and the start of the element
     around it. An element that is never closed runs to the end of its unit. The windows
     carry offsets only, no text."""
-    scanned = units.select(*_PLACE, F.length("content").alias("length"), text.scan_tags(F.col("content"), xml=True).alias("tags"))
-    tags = scanned.select(*_PLACE, "length", F.posexplode("tags").alias("n", "tag")).select(*_PLACE, "length", "n", "tag.*")
+    tags = text.tag_rows(units.select(*_PLACE, F.length("content").alias("length"), "content"), "content", xml=True)
     step = F.when(F.col("closing"), -1).when(F.col("single"), 0).otherwise(1)
     before = F.coalesce(F.sum(step).over(W.partitionBy(*_PLACE).orderBy("n").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     tags = tags.withColumn("depth", F.when(F.col("closing"), before).otherwise(before + 1))
@@ -61,33 +61,40 @@ def extract_xml(units: DataFrame) -> dict[str, DataFrame]:
     innermost statement around it, or else to the nearest theorem before it among its
     siblings, unless that theorem has a proof inside. Ids that two nodes have are in no
     lookup; a theorem has a route only if it depends on something."""
-    every = elements(units)
-    inner = F.substr("content", F.col("inner_start") + 1, F.col("inner_stop") - F.col("inner_start"))
+    every = stash(elements(units), "xml-elements")
     ordinal = F.row_number().over(W.partitionBy(*_PLACE, "name").orderBy("start"))
-    named = every.where(F.col("name").isin(*XML_NODES)).withColumn("ordinal", ordinal).join(units.select(*_PLACE, "content"), _PLACE).withColumn("inner", inner)
+    named = every.where(F.col("name").isin(*XML_NODES)).withColumn("ordinal", ordinal)
     own = F.col("attributes")["xml:id"]
     fallback = F.concat_ws("-", "name", "unit", F.lpad(F.col("ordinal").cast("string"), 4, "0"))
+    keys = stash(named.select(*_PLACE, F.coalesce(own, fallback).alias("node"), own.alias("xml_id"), _mapped(0).alias("node_class"), _mapped(1).alias("kind"), "start", "stop", "inner_start", "inner_stop"), "xml-nodes")
+    # texts are cut in one pass over their unit, beside what the rest needs of the nodes
+    places = keys.groupBy(*_PLACE).agg(F.array_sort(F.collect_list(F.struct("start", "inner_start", "inner_stop"))).alias("p"))
+    places = places.select(*_PLACE, F.col("p.start").alias("starts"), F.col("p.inner_start").alias("from"), F.col("p.inner_stop").alias("to"))
+    cut = text.cut_rows(units.select(*_PLACE, "content").join(places.drop("starts"), _PLACE), "content", "from", "to").withColumnRenamed("piece", "inner")
+    at = places.select(*_PLACE, F.posexplode("starts").alias("n", "start"))
     stated = F.regexp_extract("inner", r"(?s)<statement\b[^>]*>(.*?)</statement\s*>", 1)
     body = F.when(F.length(stated) > 0, _without(stated, "idx")).otherwise(_without(F.col("inner"), "idx", "title", "proof", "solution"))
     title = F.regexp_extract("inner", r"(?s)<title\b[^>]*>(.*?)</title\s*>", 1)
-    nodes = named.select(*_PLACE, F.coalesce(own, fallback).alias("node"), own.alias("xml_id"), _mapped(0).alias("node_class"), _mapped(1).alias("kind"), text.decode_entities(text.strip_tags(title)).alias("title"), text.decode_entities(text.strip_tags(body)).alias("statement"), "start", "stop")
+    texts = cut.join(at, [*_PLACE, "n"]).select(*_PLACE, "start", text.decode_entities(text.strip_tags(title)).alias("title"), text.decode_entities(text.strip_tags(body)).alias("statement"))
+    nodes = keys.join(texts, [*_PLACE, "start"]).select(*_PLACE, "node", "xml_id", "node_class", "kind", "title", "statement", "start", "stop")
 
     proofs = every.where("name = 'proof'").select(*_PLACE, "start", "stop")
-    nested = innermost(proofs, nodes.select(*_PLACE, F.col("start").alias("s"), F.col("stop").alias("e"), F.col("node").alias("around"), F.col("node_class").alias("around_class")), _PLACE, "start", "s", "e", ["around", "around_class"])
+    nested = innermost(proofs, keys.select(*_PLACE, F.col("start").alias("s"), F.col("stop").alias("e"), F.col("node").alias("around"), F.col("node_class").alias("around_class")), _PLACE, "start", "s", "e", ["around", "around_class"])
     full = nested.where("around_class = 'theorem-like'").select(F.col("component"), F.col("around").alias("node")).distinct().withColumn("full", F.lit(True))
-    siblings = every.where(F.col("name").isin("proof", *XML_NODES)).join(nodes.select(*_PLACE, "start", "node", "node_class"), [*_PLACE, "start"], "left")
+    siblings = every.where(F.col("name").isin("proof", *XML_NODES)).join(keys.select(*_PLACE, "start", "node", "node_class"), [*_PLACE, "start"], "left")
     siblings = preceding(siblings, [*_PLACE, "parent"], ["start"], F.coalesce(F.col("node_class") == "theorem-like", F.lit(False)), F.lit(False), "node")
     alone = siblings.where("name = 'proof' and owner_of is not null").select(*_PLACE, "start", F.col("owner_of").alias("node")).join(full, ["component", "node"], "left").where("full is null").select(*_PLACE, "start", F.col("node").alias("before"))
     owned = nested.join(alone, [*_PLACE, "start"], "left").withColumn("owner", F.when(F.col("around").isNotNull(), F.when(F.col("around_class") == "theorem-like", F.col("around"))).otherwise(F.col("before"))).where("owner is not null")
+    owned = stash(owned, "xml-proofs")
 
     links = every.where("name = 'xref'").select(*_PLACE, "start", F.coalesce(F.col("attributes")["ref"], F.lit("missing-ref-attribute")).alias("ref"))
-    in_proof = innermost(links, owned.select(*_PLACE, F.col("start").alias("s"), F.col("stop").alias("e"), "owner"), _PLACE, "start", "s", "e", ["owner"])
+    in_proof = stash(innermost(links, owned.select(*_PLACE, F.col("start").alias("s"), F.col("stop").alias("e"), "owner"), _PLACE, "start", "s", "e", ["owner"]), "xml-links")
     stated_in = every.where("name = 'statement'").select(*_PLACE, F.col("start").alias("s"), F.col("stop").alias("e"), F.lit(True).alias("in_statement"))
-    in_node = innermost(in_proof.where("owner is null").drop("owner"), nodes.select(*_PLACE, F.col("start").alias("s"), F.col("stop").alias("e"), F.col("node").alias("owner")), _PLACE, "start", "s", "e", ["owner"])
+    in_node = innermost(in_proof.where("owner is null").drop("owner"), keys.select(*_PLACE, F.col("start").alias("s"), F.col("stop").alias("e"), F.col("node").alias("owner")), _PLACE, "start", "s", "e", ["owner"])
     in_statement = innermost(in_node.where("owner is not null"), stated_in, _PLACE, "start", "s", "e", ["in_statement"]).where("in_statement").drop("in_statement")
     captured = in_proof.where("owner is not null").withColumn("basis", F.lit("proof-xref")).unionByName(in_statement.withColumn("basis", F.lit("statement-xref")))
 
-    lookup = nodes.where("xml_id is not null").groupBy("component", F.col("xml_id").alias("ref")).agg(F.count("*").alias("n"), F.min(F.struct("node", "kind")).alias("t")).where("n = 1").select("component", "ref", F.col("t.node").alias("target"), F.col("t.kind").alias("kind"))
+    lookup = keys.where("xml_id is not null").groupBy("component", F.col("xml_id").alias("ref")).agg(F.count("*").alias("n"), F.min(F.struct("node", "kind")).alias("t")).where("n = 1").select("component", "ref", F.col("t.node").alias("target"), F.col("t.kind").alias("kind"))
     resolved = captured.join(lookup, ["component", "ref"], "left").withColumn("target", F.when((F.col("basis") != "proof-xref") | (F.col("target") != F.col("owner")), F.col("target")))
     used = resolved.where("basis = 'proof-xref' and target is not null")
     role = F.when(F.col("kind").isin("definition", "notation", "construction", "calculation"), F.col("kind")).otherwise("logical")
