@@ -17,14 +17,19 @@ problem blocks that a command switches on and off are not evaluated.
 
 from __future__ import annotations
 
+import io
 import re
+from array import array
+from bisect import bisect_left
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructType
 
 from .. import common
 from ..functions import tex, text
@@ -33,7 +38,7 @@ from ..functions import tex, text
 COMMANDS = {"iftag": (0, 3), "tagitem": (0, 3), "tagtrue": (0, 1), "tagfalse": (0, 1), "olimport": (1, 1)}
 BLOCK = "tagblock"
 _ARGUMENTS = "array<struct<start:int,stop:int,text:string>>"
-_FOUND = f"array<struct<start:int,stop:int,command:string,starred:boolean,optional:array<string>,arguments:{_ARGUMENTS}>>"
+_FOUND = f"n int, start int, stop int, command string, starred boolean, optional array<string>, arguments {_ARGUMENTS}"
 _ESCAPED = re.compile(r"\\.|[{}\[\]]", re.S)
 _WORD = re.compile(r"\\[A-Za-z@]+|\\.|.", re.S)
 _BLANK = re.compile(r"\s*")
@@ -46,51 +51,50 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return common.stash(df, label).hint("merge")
 
 
-def _partners(source: str) -> dict[int, int]:
-    """The place of the closing bracket of each opening one, braces and square brackets each for themselves."""
-    open_: dict[str, list[int]] = {"{": [], "[": []}
-    found = {}
+def _partners(source: str) -> tuple[array, array]:
+    """The places of opening brackets, and for each that of the closing one, -1 without one; braces and square brackets
+    each for themselves."""
+    open_ = {"{": array("i"), "[": array("i")}
+    places, ends = array("i"), array("i")
     for m in _ESCAPED.finditer(source):
         if m[0] in open_:
-            open_[m[0]].append(m.start())
+            open_[m[0]].append(len(places))
+            places.append(m.start())
+            ends.append(-1)
         elif m[0] in "}]" and open_["{" if m[0] == "}" else "["]:
-            found[open_["{" if m[0] == "}" else "["].pop()] = m.start()
-    return found
+            ends[open_["{" if m[0] == "}" else "["].pop()] = m.start()
+    return places, ends
 
 
-def commands_of(source: str) -> list[dict]:
+def commands_of(source: str) -> Iterator[dict]:
     """The uses of COMMANDS that have all their arguments, in order of their start."""
-    partners, found = _partners(source), []
+    places, ends = _partners(source)
+
+    def closed(at: int) -> int:
+        k = bisect_left(places, at)
+        return ends[k] if k < len(places) and places[k] == at else -1
+
     for m in re.finditer(rf"\\({'|'.join(COMMANDS)})(?![A-Za-z@])", source):
         optional, required = COMMANDS[m[1]]
         at = _BLANK.match(source, m.end()).end()
         starred = m[1] == "olimport" and source[at : at + 1] == "*"
         at = _BLANK.match(source, at + 1).end() if starred else at
         options, arguments = [], []
-        while len(options) < optional and source[at : at + 1] == "[" and at in partners:
-            options.append(source[at + 1 : partners[at]])
-            at = _BLANK.match(source, partners[at] + 1).end()
+        while len(options) < optional and source[at : at + 1] == "[" and (end := closed(at)) >= 0:
+            options.append(source[at + 1 : end])
+            at = _BLANK.match(source, end + 1).end()
         while len(arguments) < required and at < len(source):
             if source[at] == "{":
-                if at not in partners:
+                if (end := closed(at)) < 0:
                     break
-                inner, end = (at + 1, partners[at]), partners[at] + 1
+                inner, end = (at + 1, end), end + 1
             else:
                 end = _WORD.match(source, at).end()
                 inner = (at, end)
             arguments.append({"start": inner[0], "stop": inner[1], "text": source[slice(*inner)]})
             at = _BLANK.match(source, end).end()
         if len(arguments) == required:
-            found.append({"start": m.start(), "stop": at, "command": m[1], "starred": starred, "optional": options, "arguments": arguments})
-    return found
-
-
-def _commands(source: str) -> Column:
-    @F.pandas_udf(_FOUND)
-    def found(sources: pd.Series) -> pd.Series:
-        return pd.Series([commands_of(x or "") for x in sources], dtype=object)
-
-    return found(source)
+            yield {"start": m.start(), "stop": at, "command": m[1], "starred": starred, "optional": options, "arguments": arguments}
 
 
 def _names(value: Column) -> Column:
@@ -111,8 +115,8 @@ def nested(rows: DataFrame, by: list[str]) -> DataFrame:
 def tokens(units: DataFrame, key: str = "unit") -> DataFrame:
     """units: (key, content), comments blanked. The commands as rows (key, n, start, stop, kind, tags, value, arms,
     parent, arm, ..): arms are the ranges of a choice's two texts, arm is the one of its parent that a command stands in."""
-    # a list that is a column of its own is not carried along with each of its elements
-    found = units.select(key, _commands("content").alias("commands")).select(key, F.posexplode("commands").alias("n", "c")).select(key, "n", "c.*")
+    # rows as they are found: a list of a long text's commands would be many times as large as the text
+    found = text.rows_of(units.select(key, "content"), ["content"], StructType.fromDDL(_FOUND), lambda x: ({"n": n, **c} for n, c in enumerate(commands_of(x or ""))))
     kind = F.when(F.col("command").isin("iftag", "tagitem"), "choice").when(F.col("command") == "olimport", "import").otherwise("set")
     arms = F.when(kind == "choice", F.transform(F.slice("arguments", 2, 2), lambda a: F.struct(a["start"].alias("start"), a["stop"].alias("stop"))))
     tags = F.when(kind != "import", _names(F.get("arguments", 0)["text"]))
@@ -163,11 +167,15 @@ def _blanked(contents: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.Ser
     def one(content: str | None, starts, stops) -> str | None:
         if content is None or starts is None:
             return content
-        pieces, at = [], 0
-        for start, stop in sorted((a, b) for a, b in zip(starts, stops) if a < b):
-            pieces += [content[at:start], _VISIBLE.sub(" ", content[start:stop])]
-            at = stop
-        return "".join([*pieces, content[at:]])
+        made, at, order = io.StringIO(), 0, np.lexsort((stops, starts))
+        for k in order:
+            start, stop = int(starts[k]), int(stops[k])
+            if start < stop:
+                made.write(content[at:start])
+                made.write(_VISIBLE.sub(" ", content[start:stop]))
+                at = stop
+        made.write(content[at:])
+        return made.getvalue()
 
     return pd.Series([one(*row) for row in zip(contents, starts, stops)], dtype=object)
 
@@ -185,10 +193,10 @@ def evaluated(contexts: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFra
     first = stash(first, "tags-first")
 
     # blocks that hold for some tags only, by the tags that stay set after the choices
-    blocks = first.select("context", text.tex_environments("content").alias("found")).select("context", F.explode("found").alias("e")).where(F.col("e.environment") == BLOCK)
-    condition = F.regexp_extract("e.body", r"^\s*\{([^{}]*)\}", 1)
-    whole = F.struct(F.col("e.start").alias("start"), F.col("e.end").alias("stop"))
-    ranges = blocks.select("context", (-1 - F.col("e.start")).alias("n"), F.col("e.start").alias("start"), F.col("e.end").alias("stop"), F.lit("choice").alias("kind"), _names(condition).alias("tags"), F.lit(None).cast("boolean").alias("value"), F.array(whole).alias("arms"))
+    blocks = text.tex_environment_rows(first.select("context", "content"), "content").where(F.col("environment") == BLOCK)
+    condition = F.regexp_extract("body", r"^\s*\{([^{}]*)\}", 1)
+    whole = F.struct("start", F.col("end").alias("stop"))
+    ranges = blocks.select("context", (-1 - F.col("start")).alias("n"), "start", F.col("end").alias("stop"), F.lit("choice").alias("kind"), _names(condition).alias("tags"), F.lit(None).cast("boolean").alias("value"), F.array(whole).alias("arms"))
     others = known.where("kind <> 'choice'").select("context", "n", "start", "stop", "kind", "tags", "value", F.lit(None).cast("array<struct<start:int,stop:int>>").alias("arms"))
     inner = stash(placed(nested(ranges.unionByName(others), ["context"]), ["context"]), "tags-blocks")
     again = settle(inner, first, "context")
