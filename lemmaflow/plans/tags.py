@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
 from .. import common
+from ..common import buckets
 from ..functions import tex, text
 
 #: fixed values: commands with the number of their optional and required arguments
@@ -134,13 +135,17 @@ def placed(rows: DataFrame, by: list[str]) -> DataFrame:
 def settle(rows: DataFrame, initial: DataFrame, key: str) -> DataFrame:
     """rows: tokens of each ``key``; initial: (key, tags as a map). (key, n, reached, chosen): whether a command is
     reached, and which arm a choice takes: the first if one of its tags is set, else the second."""
-    places = stash(rows.select(key, "n", "start", "kind", "tags", "value", "parent", "arm"), "tags-places")
+    choosing = F.max(F.col("kind") == "choice").over(W.partitionBy(key))
+    every = stash(rows.select(key, "n", "start", "kind", "tags", "value", "parent", "arm", choosing.alias("choosing")), "tags-places")
+    # where nothing is chosen, all is reached that stands in no other command's arguments
+    plain = every.where("not choosing").select(key, "n", F.col("parent").isNull().alias("reached"), F.lit(None).cast("int").alias("chosen"))
+    places = every.where("choosing").drop("choosing")
     mentions = places.where("kind = 'choice'").select(key, "n", "start", F.explode("tags").alias("tag"))
     both = F.inline(F.flatten(F.transform("tags", lambda t: F.array(F.struct(t.alias("tag"), F.col("value").alias("value")), F.struct(F.concat(F.lit("not"), t).alias("tag"), (~F.col("value")).alias("value"))))))
     sets = places.where("kind = 'set'").select(key, "n", "start", both)
     at_first = initial.select(key, F.explode("tags").alias("tag", "first"))
     state = stash(places.select(key, "n", "kind", "parent", "arm", F.when(F.col("parent").isNull(), True).when(F.col("arm") < 0, False).alias("reached"), F.lit(None).cast("int").alias("chosen")), "tags-state")
-    while True:
+    while state.where("reached is null or (kind = 'choice' and reached and chosen is null)").limit(1).count():
         held = sets.join(state.select(key, "n", "reached"), [key, "n"]).where("reached is null or reached")
         marks = held.select(key, "tag", "start", F.lit(None).cast("int").alias("n"), F.struct(F.col("reached").isNull().alias("open"), "value").alias("mark"))
         asked = marks.unionByName(mentions.select(key, "tag", "start", "n", F.lit(None).cast("struct<open:boolean,value:boolean>").alias("mark")))
@@ -153,8 +158,7 @@ def settle(rows: DataFrame, initial: DataFrame, key: str) -> DataFrame:
         above = picked.select(key, F.col("n").alias("parent"), F.col("reached").alias("up"), F.col("chosen").alias("way"))
         below = F.coalesce("reached", F.when(~F.col("up"), False).when(F.col("way") != F.col("arm"), False).when(F.col("up") & F.col("way").isNotNull(), True))
         state = stash(picked.hint("merge").join(above, [key, "parent"], "left").select(key, "n", "kind", "parent", "arm", below.alias("reached"), "chosen"), "tags-state")
-        if not state.where("reached is null or (kind = 'choice' and reached and chosen is null)").limit(1).count():
-            return state.select(key, "n", "reached", "chosen")
+    return state.select(key, "n", "reached", "chosen").unionByName(plain)
 
 
 def blank_ranges(content: Column, ranges: Column) -> Column:
@@ -193,19 +197,23 @@ def evaluated(contexts: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFra
     first = stash(first, "tags-first")
 
     # blocks that hold for some tags only, by the tags that stay set after the choices
-    blocks = text.tex_environment_rows(first.select("context", "content"), "content").where(F.col("environment") == BLOCK)
+    blocks = text.tex_environment_rows(first.where(F.contains("content", F.lit(BLOCK))).select("context", "content"), "content").where(F.col("environment") == BLOCK)
     condition = F.regexp_extract("body", r"^\s*\{([^{}]*)\}", 1)
     whole = F.struct("start", F.col("end").alias("stop"))
     ranges = blocks.select("context", (-1 - F.col("start")).alias("n"), "start", F.col("end").alias("stop"), F.lit("choice").alias("kind"), _names(condition).alias("tags"), F.lit(None).cast("boolean").alias("value"), F.array(whole).alias("arms"))
-    others = known.where("kind <> 'choice'").select("context", "n", "start", "stop", "kind", "tags", "value", F.lit(None).cast("array<struct<start:int,stop:int>>").alias("arms"))
-    inner = stash(placed(nested(ranges.unionByName(others), ["context"]), ["context"]), "tags-blocks")
-    again = settle(inner, first, "context")
-    off = inner.join(again, ["context", "n"]).where("kind = 'choice' and reached and chosen = 1")
-    off = off.groupBy("context").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
-    texts = first.join(off, "context", "left").select("context", "unit", blank_ranges(F.col("content"), F.col("ranges")).alias("active"))
-
-    left = again.where("reached").select("context", "n")
-    imports = known.where("kind = 'import'").join(left, ["context", "n"], "left_semi").select("context", "unit", "n", "start", "directory", "name", "starred").hint("merge")
+    ranges = stash(ranges, "tags-ranges")
+    texts, imports = first.select("context", "unit", F.col("content").alias("active")), known.where("kind = 'import'")
+    if ranges.limit(1).count():  # without a block all that is reached stays so
+        blocked = ranges.select("context").distinct()
+        others = known.where("kind <> 'choice'").select("context", "n", "start", "stop", "kind", "tags", "value", F.lit(None).cast("array<struct<start:int,stop:int>>").alias("arms"))
+        inner = stash(placed(nested(ranges.unionByName(others.join(blocked, "context", "left_semi")), ["context"]), ["context"]), "tags-blocks")
+        again = settle(inner, first, "context")
+        off = inner.join(again, ["context", "n"]).where("kind = 'choice' and reached and chosen = 1")
+        off = off.groupBy("context").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
+        texts = first.join(off, "context", "left").select("context", "unit", blank_ranges(F.col("content"), F.col("ranges")).alias("active"))
+        imports = imports.join(again.where("not reached").select("context", "n"), ["context", "n"], "left_anti")
+
+    imports = imports.select("context", "unit", "n", "start", "directory", "name", "starred").hint("merge")
     changes = F.inline(F.flatten(F.transform("tags", lambda t: F.array(F.struct(t.alias("tag"), F.col("value").alias("v")), F.struct(F.concat(F.lit("not"), t).alias("tag"), (~F.col("value")).alias("v"))))))
     sets = known.where("kind = 'set'").select("context", "start", changes)
     asked = sets.select("context", "tag").distinct().join(imports.select("context", "start", "n"), "context")
@@ -227,21 +235,27 @@ def context_id(unit: Column, tags: Column) -> Column:
 def unfolded(units: DataFrame, entry: DataFrame) -> dict[str, DataFrame]:
     """units: (unit, content), comments blanked; entry: (unit, tags). Tables ``instance`` (entry, path, ordinal, unit, context,
     occurrence) in the order of visits, ``text`` (context, unit, active), ``missing`` (unit) and ``cyclic`` (entry, path, unit)."""
-    found = stash(tokens(units), "tags-tokens")
-    start = entry.select("unit", "tags").withColumn("context", context_id(F.col("unit"), F.col("tags")))
-    fresh = stash(start.hint("merge").join(units, "unit").select("context", "unit", "content", "tags"), "tags-contexts")
-    texts, ways, missing, seen = [], [], [], []
-    while fresh.limit(1).count():
-        seen.append(fresh.select("context"))
-        active, imports = evaluated(fresh, found)
-        target = tex.resolve_import(F.col("unit"), F.coalesce("directory", F.lit("")), F.col("name"), F.coalesce("starred", F.lit(False)))
-        named = imports.select("context", "n", target.alias("target"), "tags").withColumn("to", context_id(F.col("target"), F.col("tags")))
-        there = named.join(units.select(F.col("unit").alias("target"), "content").hint("merge"), "target")
-        texts.append(active)
-        ways.append(stash(there.select("context", "n", "to", "target"), "tags-ways"))
-        missing.append(stash(named.join(units.select(F.col("unit").alias("target")), "target", "left_anti").select(F.col("target").alias("unit")), "tags-missing"))
-        new = there.select(F.col("to").alias("context"), F.col("target").alias("unit"), "content", "tags").dropDuplicates(["context"])
-        fresh = stash(new.hint("merge").join(reduce(DataFrame.unionByName, seen), "context", "left_anti"), "tags-contexts")
+    with buckets(units.sparkSession) as made:
+        # in buckets of their unit: a level moves its own contexts and imports, not all texts and commands
+        units = made.write(units.select("unit", "content"), "tags-units", "unit")
+        found = made.write(tokens(units), "tags-tokens", "unit")
+        start = entry.select("unit", "tags").withColumn("context", context_id(F.col("unit"), F.col("tags")))
+        fresh = stash(start.hint("merge").join(units, "unit").select("context", "unit", "content", "tags"), "tags-contexts")
+        texts, ways, missing, seen = [], [], [], []
+        while fresh.limit(1).count():
+            seen.append(fresh.select("context"))
+            active, imports = evaluated(fresh, found)
+            target = tex.resolve_import(F.col("unit"), F.coalesce("directory", F.lit("")), F.col("name"), F.coalesce("starred", F.lit(False)))
+            named = imports.select("context", "n", target.alias("target"), "tags").withColumn("to", context_id(F.col("target"), F.col("tags")))
+            known = units.select(F.col("unit").alias("target"), F.lit(True).alias("known"))
+            named = stash(named.hint("merge").join(known, "target", "left"), "tags-ways")
+            texts.append(active)
+            ways.append(named.where("known").select("context", "n", "to", "target"))
+            missing.append(named.where("known is null").select(F.col("target").alias("unit")))
+            new = named.where("known").select(F.col("to").alias("context"), F.col("target").alias("unit"), "tags").dropDuplicates(["context"])
+            new = new.hint("merge").join(reduce(DataFrame.unionByName, seen), "context", "left_anti")
+            fresh = stash(new.hint("merge").join(units, "unit").select("context", "unit", "content", "tags"), "tags-contexts")
+        units = made.files("tags-units")[0]
     ways = stash(reduce(DataFrame.unionByName, ways), "tags-all-ways") if ways else None
 
     path = F.array().cast("array<int>")
